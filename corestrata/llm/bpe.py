@@ -28,10 +28,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PairTable:
-    """Open addressing from a pair of ids to the id of their joined bytes."""
+    """Open addressing from a pair of ids to the id of the two joined; a lower id merges first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        known = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+    def __init__(self, known: dict[tuple[int, int], int]):
         keys = np.array([a << 32 | b for a, b in known], np.uint64)
         values = np.array(list(known.values()), np.int32)
         self.bits = max(12, (8 * max(1, len(keys))).bit_length())
@@ -73,6 +72,67 @@ class PairTable:
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def merge_rows(ids: np.ndarray, length: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Each round every row merges its leftmost pair of least rank; rows without one leave. ids: int32, padded with -1. Returns each row's ids as little-endian unsigned 32-bit numbers."""
+    rank = pairs.look_up(ids[:, :-1], ids[:, 1:])
+    row = np.arange(len(ids))
+    out: list = [b""] * len(ids)
+    while len(row):
+        line = np.arange(len(row))
+        at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
+        best = rank[line, at] if rank.shape[1] else np.full(len(row), _NONE)
+        over = best == _NONE
+        if over.any():
+            raw, step = ids[over].astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, (i, n) in enumerate(zip(row[over].tolist(), (4 * length[over]).tolist(), strict=True)):
+                out[i] = raw[k * step : k * step + n]
+            stay = ~over
+            row, ids, rank, length, at, best = row[stay], ids[stay], rank[stay], length[stay], at[stay], best[stay]
+            if not len(row):
+                break
+            most = int(length.max())
+            if most < ids.shape[1]:  # columns that no row needs any more
+                ids, rank = ids[:, :most].copy(), rank[:, : most - 1].copy()
+            line = np.arange(len(row))
+        last = ids.shape[1] - 1
+        move = np.arange(last) > at[:, None]
+        ids[:, :-1] = np.where(move, ids[:, 1:], ids[:, :-1])  # compaction: what follows the pair moves up
+        ids[:, -1] = -1
+        ids[line, at] = best
+        length = length - 1
+        if last > 1:
+            later = np.arange(last - 1) > at[:, None]
+            rank[:, :-1] = np.where(later, rank[:, 1:], rank[:, :-1])
+        rank[:, -1] = _NONE
+        for shift in (-1, 0):  # only the merged id's own pairs are new
+            left = at + shift
+            ok = np.flatnonzero((left >= 0) & (left < last))
+            rank[ok, left[ok]] = pairs.look_up(ids[ok, left[ok]], ids[ok, left[ok] + 1])
+    return out
+
+
+def merge_words(words: list[bytes], first: np.ndarray, pairs: PairTable, final: np.ndarray | None = None) -> list[bytes]:
+    """Ids of words of at most MATRIX bytes, bucketed by length and padded. first: the id of each byte; final: of a word's last byte, if that differs."""
+    out: list = [b""] * len(words)
+    buckets: dict[int, list[int]] = {}
+    for i, n in enumerate(map(len, words)):
+        if n:
+            buckets.setdefault(n if n <= 16 else -(-n // 8) * 8 if n <= 64 else -(-n // 64) * 64, []).append(i)
+    for width, rows in buckets.items():
+        step = max(1, CELLS // width)
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            some = [words[j] for j in part]
+            length = np.fromiter(map(len, some), np.int64, len(some))
+            raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in some), np.uint8).reshape(-1, width)
+            ids = np.where(np.arange(width) < length[:, None], first[raw], np.int32(-1))
+            if final is not None:
+                ids[np.arange(len(some)), length - 1] = final[raw[np.arange(len(some)), length - 1]]
+            for i, x in zip(part, merge_rows(ids, length, pairs), strict=True):
+                out[i] = x
+    return out
+
+
 class BytePairs:
     """Encodes and decodes as the tiktoken library does with these ranks and this pattern, without special tokens."""
 
@@ -81,69 +141,22 @@ class BytePairs:
 
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.pairs = PairTable(self.ranks)
+        ranks = self.ranks
+        self.pairs = PairTable({(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks})
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
 
-    def pieces(self, words: list[bytes]) -> list[np.ndarray]:
+    def pieces(self, words: list[bytes]) -> list[bytes]:
         """Ids of each piece, alone. A piece that is a token as a whole is that token."""
-        out: list = [None] * len(words)
-        buckets: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            r = self.ranks.get(w)
-            if r is not None:
-                out[i] = np.array([r], np.int32)
-            elif len(w) > MATRIX:
-                out[i] = self._long(w)
-            else:
-                n = len(w)
-                buckets.setdefault(n if n <= 16 else -(-n // 8) * 8 if n <= 64 else -(-n // 64) * 64, []).append(i)
-        for width, rows in buckets.items():
-            step = max(1, CELLS // width)
-            for k in range(0, len(rows), step):
-                part = rows[k : k + step]
-                for i, ids in zip(part, self._matrix([words[j] for j in part], width), strict=True):
-                    out[i] = ids
-        return out
-
-    def _matrix(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """Each round every row merges its leftmost pair of least rank; rows without one leave."""
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        column = np.arange(width)
-        ids = np.where(column < length[:, None], self.first[raw], np.int32(-1))
-        rank = self.pairs.look_up(ids[:, :-1], ids[:, 1:]) if width > 1 else np.full((len(words), 0), _NONE)
-        row = np.arange(len(words))
-        out: list = [None] * len(words)
-        while len(row):
-            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
-            best = rank[np.arange(len(row)), at] if rank.shape[1] else np.full(len(row), _NONE)
-            over = best == _NONE
-            if over.any():
-                for i in np.flatnonzero(over).tolist():
-                    out[row[i]] = ids[i, : length[i]].copy()
-                stay = ~over
-                row, ids, rank, length, at, best = row[stay], ids[stay], rank[stay], length[stay], at[stay], best[stay]
-                if not len(row):
-                    break
-                most = int(length.max())
-                if most < ids.shape[1]:  # columns that no row needs any more
-                    ids, rank = ids[:, :most].copy(), rank[:, : most - 1].copy()
-            line, last = np.arange(len(row)), ids.shape[1] - 1
-            move = np.arange(last) > at[:, None]
-            ids[:, :-1] = np.where(move, ids[:, 1:], ids[:, :-1])  # compaction: what follows the pair moves up
-            ids[:, -1] = -1
-            ids[line, at] = best
-            length -= 1
-            if last > 1:
-                later = np.arange(last - 1) > at[:, None]
-                rank[:, :-1] = np.where(later, rank[:, 1:], rank[:, :-1])
-            rank[:, -1] = _NONE
-            for shift in (-1, 0):  # only the merged id's own pairs are new
-                left = at + shift
-                ok = np.flatnonzero((left >= 0) & (left < last))
-                rank[ok, left[ok]] = self.pairs.look_up(ids[ok, left[ok]], ids[ok, left[ok] + 1])
+        whole = list(map(self.ranks.get, words))
+        rest = [i for i, r in enumerate(whole) if r is None and len(words[i]) <= MATRIX]
+        out = [b"" if r is None else r.to_bytes(4, "little") for r in whole]
+        for i, x in zip(rest, merge_words([words[i] for i in rest], self.first, self.pairs), strict=True):
+            out[i] = x
+        for i, r in enumerate(whole):
+            if r is None and len(words[i]) > MATRIX:
+                out[i] = self._long(words[i]).astype("<u4").tobytes()
         return out
 
     def _long(self, word: bytes) -> np.ndarray:
@@ -178,7 +191,7 @@ class BytePairs:
         missing = list(set().union(*split).difference(self.known)) if split else []
         once: dict[str, bytes] = {}
         for w, ids in zip(missing, self.pieces([w.encode() for w in missing]), strict=True):
-            (self.known if len(w) <= LONGEST else once)[w] = ids.astype("<u4").tobytes()
+            (self.known if len(w) <= LONGEST else once)[w] = ids
         get = self.known.__getitem__ if not once else lambda w: self.known[w] if w in self.known else once[w]
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 

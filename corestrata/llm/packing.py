@@ -20,7 +20,8 @@ SENTENCE_COST, HARD_COST = 8, 64
 HARD_STEP = 512
 #: Tokens that a task holds before it decides; the last, unfinished sequence is carried on.
 HELD = 1 << 19
-_ENDS = frozenset(".!?;:。！？…")
+#: Texts whose new words are encoded at a time.
+TOGETHER = 256
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -112,18 +113,17 @@ def _pack(path: str, length: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         context = TaskContext.get()
         cache, packer = WordCache(path), _Packer((context.partitionId() if context else 0) << 36, length)
-        tail = np.array([END_ID], "<u4")
+        tail, stop = np.array([END_ID], "<u4"), cache.sentence_ends()
 
         def out(pieces):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
         for batch in source:
             some = texts(batch.column(1))
-            for k in range(0, len(some), 64):
-                for doc_id, (words, ids) in zip(batch.column(0)[k : k + 64].to_pylist(), cache.ids(some[k : k + 64]), strict=True):
-                    stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-                    ends = np.unique(stops[np.fromiter((w[-1:] in _ENDS for w in words), bool, len(words))])
-                    packer.add(doc_id, np.concatenate((np.frombuffer(b"".join(ids), "<u4"), tail)), ends[ends > 0])
+            for k in range(0, len(some), TOGETHER):
+                for doc_id, raw in zip(batch.column(0)[k : k + TOGETHER].to_pylist(), cache.ids(some[k : k + TOGETHER]), strict=True):
+                    ids = np.concatenate((np.frombuffer(raw, "<u4"), tail))
+                    packer.add(doc_id, ids, np.flatnonzero(stop[ids[:-1]]) + 1)
                 if packer.tokens >= HELD and (pieces := packer.flush(False)):
                     yield out(pieces)
         if pieces := packer.flush(True):

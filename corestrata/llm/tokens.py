@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from importlib.metadata import version
 
@@ -11,21 +12,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corestrata.llm.bpe import PairTable, merge_words
 from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, texts
 
 #: Words that one Python worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 #: Longer words are encoded each time.
 LONGEST = 64
-_SPACES = re.compile("[\t\n\r]")
+_ENDS = frozenset(".!?;:")
+#: Characters of Latin-1 alone: their lower case and composition are the same everywhere.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,100}").fullmatch
+_STOPS = re.compile("(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([.,])(?=[ \n])")
 
 
 class WordCache:
-    """Ids of whole texts, word by word, each distinct word encoded once by the library.
+    """Ids of whole texts, word by word, each distinct word encoded once.
 
     Sound only for a tokenizer whose white space is dropped and whose matches never cross it: what lies between
     blanks, tabs, line feeds and carriage returns is then encoded as it would be within the text, added tokens
-    included, for these hold no white space either. __init__ refuses others.
+    included, for these hold no white space either. __init__ refuses others. A full stop or comma between a letter
+    or digit and white space is a match of its own and so counts as a word. Words of Latin letters alone are lowered
+    and merged in matrices, if the tokenizer lowers letters and marks the ends of words; the library encodes the rest.
     """
 
     def __init__(self, path: str):
@@ -34,32 +41,66 @@ class WordCache:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        for a, b in (("of the", ("of", "the")), ("x\n'll 9", ("x", "'ll", "9"))):
+        for a, b in (("of the", ("of", "the")), ("x\n'll 9.", ("x", "'ll", "9", "."))):
             if self._encode([a])[0] != b"".join(self._encode(list(b))):
                 raise ValueError(f"{path}: white space is part of its tokens")
         if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in self.library.get_added_tokens_decoder().values()):
             raise ValueError(f"{path}: an added token looks at white space")
         self.known: dict[str, bytes] = {}
+        self.letters = _letter_merges(json.loads(self.library.to_str()))
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def ids(self, some: list[str]) -> list[tuple[list[str], list[bytes]]]:
-        """For each text its words and each word's ids as little-endian unsigned 32-bit numbers."""
+    def _fill(self, missing: list[str], into: dict[str, bytes]) -> None:
+        plain = [w for w in missing if _LETTERS(w)] if self.letters else []
+        if plain:
+            into.update(zip(plain, merge_words([w.lower().encode() for w in plain], *self.letters), strict=True))
+            missing = [w for w in missing if w not in into]
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            into.update(zip(part, self._encode(part), strict=True))
+
+    def ids(self, some: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [_SPACES.sub(" ", t).split(" ") for t in some]
+        split = [_STOPS.sub(r" \1", t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
         missing = set().union(*split).difference(self.known) if split else set()
+        self._fill([w for w in missing if len(w) <= LONGEST], self.known)
         once: dict[str, bytes] = {}
-        listed = list(missing)
-        for i in range(0, len(listed), 20_000):
-            part = listed[i : i + 20_000]
-            for w, b in zip(part, self._encode(part), strict=True):
-                (self.known if len(w) <= LONGEST else once)[w] = b
+        self._fill([w for w in missing if len(w) > LONGEST], once)
         if not once:
             get = self.known.__getitem__
-            return [(words, list(map(get, words))) for words in split]
-        return [(words, [self.known[w] if w in self.known else once[w] for w in words]) for words in split]
+            return [b"".join(map(get, words)) for words in split]
+        return [b"".join([self.known[w] if w in self.known else once[w] for w in words]) for words in split]
+
+    def sentence_ends(self) -> np.ndarray:
+        """By id, whether a token ends with a mark that ends sentences or clauses."""
+        vocab = self.library.get_vocab()
+        end = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for t, i in vocab.items() if t.removesuffix(end)[-1:] in _ENDS]] = True
+        return out
+
+
+def _letter_merges(settings: dict):
+    """Ids of bytes, merges, and ids of last bytes, for words of Latin letters; None unless the settings are those that allow it: letters lowered, runs of letters matched whole, bytes as symbols, ends of words marked, merges in the order of their ids."""
+    model, parts = settings["model"], (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    normal = [x["type"] for x in (settings["normalizer"] or {}).get("normalizers", [])]
+    end = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not end or model.get("dropout") or model.get("ignore_merges") or normal != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"] or r"|[\p{L}]+|" not in parts[0]["pattern"].get("Regex", "") or parts[1].get("add_prefix_space"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    hidden = iter(range(256, 512))
+    symbol = [chr(b if b in shown else next(hidden)) for b in range(256)]
+    vocab = model["vocab"]
+    pairs, least = {}, -1
+    for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+        if (new := vocab[a + b]) <= least:
+            return None
+        pairs[vocab[a], vocab[b]] = least = new
+    return np.array([vocab[c] for c in symbol], np.int32), PairTable(pairs), np.array([vocab[c + end] for c in symbol], np.int32)
 
 
 def tokenizer_digest(path: str) -> str:
@@ -88,7 +129,7 @@ def _counter(path: str):
         library.no_padding()
         library.no_truncation()
         return lambda some: [len(x.ids) for x in library.encode_batch_fast(some, add_special_tokens=False)]
-    return lambda some: [sum(map(len, ids)) // 4 for _, ids in cache.ids(some)]
+    return lambda some: [len(ids) // 4 for ids in cache.ids(some)]
 
 
 def _count_misses(path: str):
