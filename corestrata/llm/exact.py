@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corestrata.llm.common import spool
+
 #: Cells of the filter for a row, to a power of two; with two probes about one single text in 70 passes wrongly, which costs only its shuffle.
 CELLS_A_ROW = 16
 #: Bits of one bitmap of Spark's bitmap functions.
@@ -61,7 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = ["_row"] if keep_columns else []
     alone = seen.where("not _maybe").select("_id", "_digest", *more, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = seen.where("_maybe").select("_id", "_digest", *more)
-    groups = maybe.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written first: the join then has nothing but two exchanges below it, so that adaptive execution may split a group that holds a large share of the rows.
+    groups = spool(maybe.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return alone.unionByName(maybe.join(groups, "_digest")).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), *more
     )
