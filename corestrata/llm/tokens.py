@@ -22,7 +22,7 @@ LONGEST = 64
 _ENDS = frozenset(".!?;:")
 #: Characters of Latin-1 alone: their lower case and composition are the same everywhere.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,100}").fullmatch
-_STOPS = re.compile("(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([.,])(?=[ \n])")
+_STOPS = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n])")
 
 
 class WordCache:
@@ -30,8 +30,8 @@ class WordCache:
 
     Sound only for a tokenizer whose white space is dropped and whose matches never cross it: what lies between
     blanks, tabs, line feeds and carriage returns is then encoded as it would be within the text, added tokens
-    included, for these hold no white space either. __init__ refuses others. A full stop or comma between a letter
-    or digit and white space is a match of its own and so counts as a word. Words of Latin letters alone are lowered
+    included, for these hold no white space either. __init__ refuses others. A run of punctuation between a letter
+    or digit and white space is a match of its own and so counts as a word, in texts without added tokens. Words of Latin letters alone are lowered
     and merged in matrices, if the tokenizer lowers letters and marks the ends of words; the library encodes the rest.
     """
 
@@ -41,11 +41,12 @@ class WordCache:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        for a, b in (("of the", ("of", "the")), ("x\n'll 9.", ("x", "'ll", "9", "."))):
+        for a, b in (("of the", ("of", "the")), ("x\n'll 9.!", ("x", "'ll", "9", ".!"))):
             if self._encode([a])[0] != b"".join(self._encode(list(b))):
                 raise ValueError(f"{path}: white space is part of its tokens")
         if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in self.library.get_added_tokens_decoder().values()):
             raise ValueError(f"{path}: an added token looks at white space")
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.letters = _letter_merges(json.loads(self.library.to_str()))
 
@@ -61,11 +62,16 @@ class WordCache:
             part = missing[i : i + 20_000]
             into.update(zip(part, self._encode(part), strict=True))
 
+    def _words(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            text = _STOPS.sub(r" \1", text)
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def ids(self, some: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [_STOPS.sub(r" \1", t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
+        split = [self._words(t) for t in some]
         missing = set().union(*split).difference(self.known) if split else set()
         self._fill([w for w in missing if len(w) <= LONGEST], self.known)
         once: dict[str, bytes] = {}
