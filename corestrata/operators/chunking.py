@@ -27,16 +27,22 @@ def fixed_chunks(content: DataFrame, size: int, payload: bool = False) -> DataFr
     """A chunk every size bytes, the remainder last; an empty content has none. Native: no Python, no shuffle."""
     keys = [c for c in content.columns if c != "bytes"]
     n = F.octet_length("bytes")
-    cut_at = content.where(n > 0).select(*keys, "bytes", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("i"))
+    step = (F.lit(size) * F.greatest(F.lit(1), F.ceil(F.sqrt(n / size)))).cast("long")
+    part = content.where(n > 0).select(*keys, "bytes", step.alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step).cast("long"))).alias("p"))
+    base = F.col("p") * F.col("step")
+    # First into as many stretches as each has chunks: substring copies the whole of its input every time.
+    stretch = part.select(*keys, base.alias("base"), F.substring("bytes", (base + 1).cast("int"), F.col("step").cast("int")).alias("bytes"))
+    m = F.octet_length("bytes")
+    cut_at = stretch.select(*keys, "base", "bytes", F.explode(F.sequence(F.lit(0), F.floor((m - 1) / size).cast("int"))).alias("i"))
     piece = F.substring(F.col("bytes"), F.col("i") * size + 1, F.lit(size))
-    out = cut_at.select(*keys, F.col("i").cast("long").alias("idx"), (F.col("i") * F.lit(size).cast("long")).alias("off"), F.octet_length(piece).cast("long").alias("len"), F.sha2(piece, 256).alias("id"), *([piece.alias("payload")] if payload else []))
+    out = cut_at.select(*keys, (F.floor(F.col("base") / size) + F.col("i")).cast("long").alias("idx"), (F.col("base") + F.col("i") * F.lit(size).cast("long")).alias("off"), F.octet_length(piece).cast("long").alias("len"), F.sha2(piece, 256).alias("id"), *([piece.alias("payload")] if payload else []))
     return out
 
 
 def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_SUITE, payload: bool = False, on_chunk: Callable | None = None) -> DataFrame:
-    """Content-defined chunks with ids of the suite; SHA-256 ids are taken by Spark, others in the cutter.
+    """Content-defined chunks with ids of the suite.
 
-    One pass over Arrow batches, without a shuffle; contents are cut and dropped row by row. on_chunk(index, offset,
+    One pass over Arrow batches, without a shuffle; contents are cut, hashed and dropped row by row, and bytes return to Spark only where payload asks for them. on_chunk(index, offset,
     bytes) -> value, if given, adds a binary column value for each chunk, in order.
     """
     spark = content.sparkSession
@@ -44,40 +50,33 @@ def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_S
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     keys = [c for c in content.columns if c != "bytes"]
     types = dict(content.dtypes)
-    native = suite == fixed.SHA256_SUITE and not on_chunk
-    with_bytes = payload or native
-    extra = ("payload binary, " if with_bytes else "") + ("" if native else "id string, ") + ("value binary, " if on_chunk else "")
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx long, off long, len long", *([extra.rstrip(", ")] if extra else [])])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx long, off long, len long", *(["payload binary"] if payload else []), "id string", *(["value binary"] if on_chunk else [])])
     place = content.columns.index("bytes")
 
     def run(source):
         for batch in source:
             rows, idx, off, size, data, ids, values = [], [], [], [], [], [], []
-            for r, raw in enumerate(batch.column(place).to_pylist()):
-                raw, at = raw or b"", 0
+            for r, value in enumerate(batch.column(place)):
+                raw, at = value.as_py() or b"", 0
                 for i, n in enumerate(cut(raw, profile)):
                     part = raw[at : at + n]
                     rows.append(r), idx.append(i), off.append(at), size.append(n)
-                    if with_bytes:
+                    if payload:
                         data.append(part)
-                    if not native:
-                        ids.append(digest(suite, part).hex())
+                    ids.append(digest(suite, part).hex())
                     if on_chunk:
                         values.append(on_chunk(i, at, part))
                     at += n
             take = pa.array(rows, pa.int64())
             out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(idx, pa.int64()), pa.array(off, pa.int64()), pa.array(size, pa.int64())]
             names = [*keys, "idx", "off", "len"]
-            for name, column, use in (("payload", pa.array(data, pa.binary()), with_bytes), ("id", pa.array(ids, pa.string()), not native), ("value", pa.array(values, pa.binary()), bool(on_chunk))):
+            for name, column, use in (("payload", pa.array(data, pa.binary()), payload), ("id", pa.array(ids, pa.string()), True), ("value", pa.array(values, pa.binary()), bool(on_chunk))):
                 if use:
                     out.append(column)
                     names.append(name)
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    chunks = content.mapInArrow(run, schema)
-    if native:
-        chunks = chunks.withColumn("id", F.sha2("payload", 256))
-    return chunks if payload else chunks.drop("payload")
+    return content.mapInArrow(run, schema)
 
 
 def with_index(chunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,28 +11,11 @@ from corestrata.functions.cutting import cut, rolling
 from corestrata.functions.hashing import super_features
 from corestrata.functions.profiles import Malformed, Profile
 from corestrata.operators import candidates, chunking, reuse
+from corestrata.operators.arrow import each_row
 from corestrata.sources import manifests
 from corestrata.sources import patches as binary
 
 
-def _each(df: DataFrame, keys: list[str], inputs: list[str], schema: str, arrow: pa.Schema, make) -> DataFrame:
-    """make(*inputs) -> rows after the keys, for each row of df."""
-    types = dict(df.dtypes)
-
-    def run(source):
-        for batch in source:
-            take, rows = [], []
-            for r, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(keys) :]), strict=True)):
-                for row in make(*values):
-                    take.append(r)
-                    rows.append(row)
-            which = pa.array(take, pa.int64())
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow]
-            yield pa.RecordBatch.from_arrays([c.take(which) for c in batch.columns[: len(keys)]] + cols, names=[*keys, *arrow.names])
-
-    return df.select(*keys, *inputs).mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), schema]))
-
-
 def _both(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     return target.select(*keys, F.col("bytes").alias("target_bytes")).join(base.select(*keys, F.col("bytes").alias("base_bytes")), keys, "left")
 
@@ -72,7 +55,7 @@ def entries(base: DataFrame, target: DataFrame, keys: list[str], profile: Profil
             e, which = pick(chunk, t[at : at + n], binary.dictionaries(m, b, at, run), level=level)
             yield i, chunk.hex(), n, e.encoding, [c.hex() for c in e.dictionary], e.stored, which
 
-    out = _each(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "idx long, id string, len long, encoding int, dict array<string>, stored binary, choice int", _ENTRY, make)
+    out = each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "idx long, id string, len long, encoding int, dict array<string>, stored binary, choice int", _ENTRY, make)
     return out.withColumn("stored_len", F.octet_length("stored").cast("long")).withColumn("dict_count", F.size("dict"))
 
 
@@ -90,7 +73,7 @@ def trace(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile,
             best = min(costs, key=lambda x: (x[1], x[0]))[0]
             yield from ((i, k, c, k == best) for k, c in costs)
 
-    return _each(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "idx long, ordinal int, cost long, selected boolean", schema, make)
+    return each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "idx long, ordinal int, cost long, selected boolean", schema, make)
 
 
 def statistics(made: DataFrame, keys: list[str]) -> DataFrame:
@@ -122,7 +105,7 @@ def study(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile,
                 out[f"dict_k{k}"] += codecs.cost(len(e.stored), len(e.dictionary))
         yield tuple(out.values())
 
-    return _each(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], ", ".join(f"{x} long" for x in lanes), schema, make)
+    return each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], ", ".join(f"{x} long" for x in lanes), schema, make)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -150,8 +133,9 @@ def apply_entries(target: DataFrame, base: DataFrame, made: DataFrame, keys: lis
     decoded = with_dict.select(*keys, "id", _decoded("encoding", "stored", "len", "dictionary").alias("entry_payload"))
     resolved = target.join(decoded, [*keys, "id"], "left").join(have, [*keys, "id"], "left").withColumn("payload", F.coalesce("entry_payload", "base_payload"))
     good = (F.sha2("payload", 256) == F.col("id")) & (F.octet_length("payload") == F.col("len"))
-    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("idx", "payload"))), F.lit(b""), lambda a, x: F.concat(a, x["payload"]))
-    return resolved.groupBy(*keys).agg(whole.alias("bytes"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+    parts = resolved.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "payload"))).alias("parts"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+    # Joined outside Spark, whose concat would copy what there is for every record.
+    return each_row(parts, [*keys, "bad"], ["parts"], "bytes binary", pa.schema([("bytes", pa.binary())]), lambda p: [(b"".join(x["payload"] or b"" for x in p),)])
 
 
 def roundtrip(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile, level: int = 19) -> DataFrame:
@@ -172,7 +156,7 @@ def patch_files(base: DataFrame, target: DataFrame, keys: list[str], profile: Pr
         tm = manifests.write(manifests.create(t, profile, profile_id, suite), index=True)
         yield bm, b, binary.create(tm, t, bm, b, level)
 
-    return _each(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "base_manifest binary, base_bytes binary, patch binary", schema, make)
+    return each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "base_manifest binary, base_bytes binary, patch binary", schema, make)
 
 
 def apply_files(made: DataFrame, keys: list[str], recheck: str = "boundary") -> DataFrame:
@@ -189,13 +173,13 @@ def apply_files(made: DataFrame, keys: list[str], recheck: str = "boundary") ->
         except ValueError as e:
             yield None, 0, f"unsupported: {e}"
 
-    return _each(made, keys, ["base_manifest", "base_bytes", "patch"], "bytes binary, flags long, error string", schema, make)
+    return each_row(made, keys, ["base_manifest", "base_bytes", "patch"], "bytes binary, flags long, error string", schema, make)
 
 
 def ledgers(made: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes of each patch by what they hold."""
     names = ("fixed", "headers", "manifest", "base", "entry_headers", "references", "stored", "index", "checksums")
-    return _each(made, keys, ["patch"], ", ".join(f"`{n}` long" for n in names), pa.schema([(n, pa.int64()) for n in names]), lambda p: [tuple(binary.ledger(p)[n] for n in names)])
+    return each_row(made, keys, ["patch"], ", ".join(f"`{n}` long" for n in names), pa.schema([(n, pa.int64()) for n in names]), lambda p: [tuple(binary.ledger(p)[n] for n in names)])
 
 
 def binding(given: DataFrame) -> DataFrame:
@@ -223,7 +207,7 @@ def dictionary_cost(stored: Column, references: Column) -> Column:
 def super_feature_keys(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., idx, off, key): three rows for each chunk (with payload); key as 16 hexadecimal digits."""
     schema = pa.schema([("key", pa.string())])
-    return _each(chunks, [*keys, "idx", "off"], ["payload"], "key string", schema, lambda p: [(f"{k:016x}",) for k in super_features(p)])
+    return each_row(chunks, [*keys, "idx", "off"], ["payload"], "key string", schema, lambda p: [(f"{k:016x}",) for k in super_features(p)])
 
 
 def exact_windows(base: DataFrame, target: DataFrame, keys: list[str], size: int, grid: int) -> DataFrame:
@@ -246,8 +230,8 @@ def exact_windows(base: DataFrame, target: DataFrame, keys: list[str], size: int
 
         return make
 
-    b = _each(base, keys, ["bytes"], "h long, at long", schema, windows(grid)).withColumnRenamed("at", "base_at")
-    t = _each(target, keys, ["bytes"], "h long, at long", schema, windows(1)).join(b.select(*keys, "h").distinct(), [*keys, "h"], "left_semi")
+    b = each_row(base, keys, ["bytes"], "h long, at long", schema, windows(grid)).withColumnRenamed("at", "base_at")
+    t = each_row(target, keys, ["bytes"], "h long, at long", schema, windows(1)).join(b.select(*keys, "h").distinct(), [*keys, "h"], "left_semi")
     near = b.join(t, [*keys, "h"]).join(_both(base, target, keys), keys)
     cut_out = lambda c, at: F.substring(F.col(c), (F.col(at) + 1).cast("int"), F.lit(size))
     return near.where(cut_out("base_bytes", "base_at") == cut_out("target_bytes", "at")).groupBy(*keys, "base_at").agg(F.min("at").alias("target_at"))
@@ -256,14 +240,14 @@ def exact_windows(base: DataFrame, target: DataFrame, keys: list[str], size: int
 def boundaries_hold(content: DataFrame, chunks: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     """Per content whether its recorded chunk lengths are those that its bytes give; nothing is hashed."""
     told = chunks.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "len"))), lambda r: r["len"]).alias("lengths"))
-    return _each(content.join(told, keys), keys, ["bytes", "lengths"], "holds boolean", pa.schema([("holds", pa.bool_())]), lambda raw, lengths: [(cut(raw or b"", profile) == lengths,)])
+    return each_row(content.join(told, keys), keys, ["bytes", "lengths"], "holds boolean", pa.schema([("holds", pa.bool_())]), lambda raw, lengths: [(cut(raw or b"", profile) == lengths,)])
 
 
 def classified(content: DataFrame) -> DataFrame:
     """What each content is by its structure."""
     keys = [c for c in content.columns if c != "bytes"]
     names = ("executable", "architecture", "container")
-    return _each(content, keys, ["bytes"], ", ".join(f"{n} string" for n in names), pa.schema([(n, pa.string()) for n in names]), lambda raw: [(*classify.executable(raw or b"")[:2], classify.container(raw or b"")[0])])
+    return each_row(content, keys, ["bytes"], ", ".join(f"{n} string" for n in names), pa.schema([(n, pa.string()) for n in names]), lambda raw: [(*classify.executable(raw or b"")[:2], classify.container(raw or b"")[0])])
 
 
 def wanted_starts(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
