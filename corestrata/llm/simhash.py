@@ -15,6 +15,8 @@ SHINGLE = 3
 RADIUS = 2
 #: Fingerprints that one bucket compares at once; larger buckets are divided by further bits.
 BUCKET = 4096
+#: So many ids of dropped documents are broadcast at most (16 MB).
+BROADCAST_IDS = 1 << 20
 #: Pairs of a query and a word of 64 lanes that are under way at a time.
 UNDER_WAY = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -259,8 +261,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id names its component: one document of each group. Rows of a null doc_id stay if their component has no doc_id."""
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id names its component: one document of each group. Rows without a doc_id cannot be named and all stay.
+
+    The ids that go are counted; up to broadcast_ids of them are broadcast, so that no text moves. Beyond, texts are shuffled by doc_id.
+    """
     groups = near_groups(docs, radius, id_col, text_col)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = spool(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= broadcast_ids
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")

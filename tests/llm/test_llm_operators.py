@@ -200,9 +200,10 @@ def test_simhash_corpus(spark, sf, corpus):
 def test_simhash_edges(spark):
     assert as_groups(simhash.near_groups(edge_docs(spark))) == slow_groups(EDGE)
     assert simhash.near_groups(edge_docs(spark, [])).count() == 0
-    kept = simhash.drop_near_copies(edge_docs(spark))
-    assert kept.columns == edge_docs(spark).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 5, 6, 7]
+    for most in (simhash.BROADCAST_IDS, 0):
+        kept = simhash.drop_near_copies(edge_docs(spark), broadcast_ids=most)
+        assert kept.columns == edge_docs(spark).columns
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 5, 6, 7]
 
 
 def test_links_of_crowded_buckets(spark, monkeypatch):
