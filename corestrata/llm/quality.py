@@ -81,14 +81,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled, by best-bin estimation: the ratio of upper tails where its upper bound is least, under a classifier of the one from the other, on the halves that did not train it."""
     p1, p2, u1, u2 = positive[::2], positive[1::2], unlabelled[::2], unlabelled[1::2]
-    x, y = np.vstack([p1, u1]), np.r_[np.ones(len(p1)), np.zeros(len(u1))]
-    weight = np.where(y == 1, 0.5 / max(1, len(p1)), 0.5 / max(1, len(u1)))
 
     def step(w):
-        e = weight * (_sigmoid(x @ w[:-1] + w[-1]) - y)
-        return np.r_[e @ x + 1e-3 * w[:-1], e.sum()]
+        v = w[:-1].astype(np.float32)
+        e1, e0 = 0.5 / max(1, len(p1)) * (_sigmoid(p1 @ v + w[-1]) - 1), 0.5 / max(1, len(u1)) * _sigmoid(u1 @ v + w[-1])
+        return np.r_[e1.astype(np.float32) @ p1 + e0.astype(np.float32) @ u1 + 1e-3 * w[:-1], e1.sum() + e0.sum()]
 
-    w = _adam(step, x.shape[1] + 1, 150, 0.05)
+    w = _adam(step, positive.shape[1] + 1, 150, 0.05)
     a, b = np.sort(p2 @ w[:-1]), np.sort(u2 @ w[:-1])
     best, prior = np.inf, 1.0
     slack = lambda n: np.sqrt(np.log(40) / (2 * max(1, n)))
@@ -105,14 +104,16 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     risk = prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]), with l(z) = log(1 + exp(-z)). Where the
     second part falls below 0 the model overfits the positives, and the step goes against it instead.
     """
-    both = np.vstack([positive, unlabelled]).astype(np.float64)
-    mean, spread = both.mean(axis=0), both.std(axis=0)
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / n
+    spread = np.sqrt((((positive - mean.astype(np.float32)) ** 2).sum(axis=0, dtype=np.float64) + ((unlabelled - mean.astype(np.float32)) ** 2).sum(axis=0, dtype=np.float64)) / n)
     spread = np.where(spread < 1e-6, np.inf, spread + 2e-3)
-    p, u = (positive - mean) / spread, (unlabelled - mean) / spread
+    p, u = (((x - mean) / spread).astype(np.float32) for x in (positive, unlabelled))  # single precision halves what the driver holds
     prior = estimate_prior(p, u) if prior is None else prior
 
     def step(w):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        v = w[:-1].astype(np.float32)
+        zp, zu = p @ v + w[-1], u @ v + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = np.zeros(len(p)), np.zeros(len(u))
         sp, su = _sigmoid(zp), _sigmoid(zu)
@@ -121,7 +122,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
             gu = su / len(u)
         else:
             gp, gu = prior * sp / len(p), -su / len(u)
-        return np.r_[gp @ p + gu @ u + decay * w[:-1], gp.sum() + gu.sum()]
+        return np.r_[gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + decay * w[:-1], gp.sum() + gu.sum()]
 
     w = _adam(step, p.shape[1] + 1, rounds, 0.02)
     scale = w[:-1] / spread
@@ -140,7 +141,7 @@ def _vectors(source):
 def _gather(rows: DataFrame) -> np.ndarray:
     """Features of a bounded sample, in the order of doc_id; rows that repeat a doc_id count once."""
     got = sorted(rows.mapInArrow(_vectors, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect())
-    return np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(-1, HASHED + SHAPES)
+    return np.array([np.frombuffer(r.x, np.float32) for r in got], np.float32).reshape(-1, HASHED + SHAPES)
 
 
 def _share(column: Column, most: int, n: int) -> Column:
