@@ -54,7 +54,21 @@ QUERIES = {
     for f in (op1_token_counts, op2_pii_pseudonyms, op3_simhash_groups, op4_secret_scan, op5_warc_revisits, op6_embedding_groups, op7_packing, op8_quality, op9_byte_bpe, op10_exact_dedup)
 }
 
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h || '0', (5 * j) // 4 + 1, 2))::INT >> (3 - (5 * j) % 4)) & 31), 1)), '')"
+
 ORACLES = {
+    "op5_warc_revisits": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), o AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+        SELECT page_id, octet_length(encode(t)) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to, true AS sound, true AS resolved FROM p JOIN o USING (t)
+    """,
+    "op6_embedding_groups": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+            r AS (SELECT vec_id AS a, vec_id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l USING (a)),
+            c AS (SELECT a AS vec_id, min(root) AS component_id FROM r GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
