@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.llm.bpe import PairTable, merge_words
-from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, texts
+from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, spool, texts
 
 #: Words that one Python worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 700_000
@@ -172,5 +172,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         wanted = wanted.join(stored().select("digest"), "digest", "left_anti")
     misses = wanted.groupBy("digest").agg(F.first("_text").alias("_text"))
     misses.mapInArrow(_count_misses(tokenizer_path), "digest string, n_tokens long").write.mode("append").parquet(at)
-    counts = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two writers may have appended the same digest. Written first, so that adaptive execution may split the join at a content that many rows have.
+    counts = spool(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return rows.drop("_text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("digest").alias("text_sha256"))
