@@ -92,8 +92,8 @@ def mean_match(plan: DataFrame, results: DataFrame, tolerance: float) -> DataFra
 def lane_totals(rows: DataFrame, lane: str, value: str, reference: str) -> DataFrame:
     """Sums by lane and each one's share of the reference lane's."""
     per = rows.groupBy(lane).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("rows"))
-    whole = per.where(F.col(lane) == reference).agg(F.first("total").alias("whole"))
-    return per.join(F.broadcast(whole)).select(lane, "total", "rows", (F.col("total") / F.col("whole")).alias("share"))
+    whole = rows.where(F.col(lane) == reference).agg(F.sum(value).alias("whole")).first()[0]  # one number, known before the plan
+    return per.select(lane, "total", "rows", (F.col("total") / F.lit(whole)).alias("share"))
 
 
 def throughput(samples: DataFrame, keys: list[str]) -> DataFrame:
