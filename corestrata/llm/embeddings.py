@@ -147,6 +147,7 @@ class Shard:
         self.beam = BEAM
         self._audit()
         self.root = np.arange(len(ids))
+        self.met = np.zeros(len(ids), np.int64)  # links to vectors of other shards
 
     def _audit(self) -> None:
         """Widens the beam until it finds RECALL of the links of AUDITED members, spread evenly."""
@@ -183,15 +184,21 @@ class Shard:
         counts = [(int(self.ids[i]), int(self.weights[linked[i]].sum())) for i in np.flatnonzero(linked.any(axis=1))]
         return counts, [(int(self.ids[i]), int(self.ids[self.root[i]])) for i in np.flatnonzero(self.root != np.arange(n))]
 
-    def others(self, ids: np.ndarray, vectors: np.ndarray):
+    def others(self, ids: np.ndarray, weights: np.ndarray, vectors: np.ndarray):
+        """(count rows, link rows) of vectors that pass by; what a link adds to the members' own counts is held for close()."""
         counts, links = [], []
-        for i, q in zip(ids.tolist(), _unit(vectors), strict=True):
+        for i, n, q in zip(ids.tolist(), weights.tolist(), _unit(vectors), strict=True):
             near = self.find(q)
             if len(near):
                 counts.append((i, int(self.weights[near].sum())))
+                self.met[near] += n
                 links += [(i, int(self.ids[r])) for r in np.unique(self.root[near])]
         return counts, links
 
+    def close(self) -> list[tuple[int, int]]:
+        """Count rows of the members that vectors of other shards linked to."""
+        return [(int(self.ids[i]), int(self.met[i])) for i in np.flatnonzero(self.met)]
+
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -203,7 +210,7 @@ def _search(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], schema=_FOUND)
 
     def run(source):
-        """Rows sorted by (key, other): a shard's members come first and make its graph, then the label's other vectors pass by."""
+        """Rows sorted by (key, other): a shard's members come first and make its graph, then vectors of other shards pass by."""
         key, members, shard = None, [], None
 
         def build():
@@ -223,6 +230,8 @@ def _search(threshold: float):
                 if now != key:
                     if members and shard is None:
                         yield from build()
+                    elif shard is not None and (rows := shard.close()):
+                        yield out(0, rows)
                     key, members, shard = now, [], None
                 x = flat[offsets[a] : offsets[b]].reshape(b - a, int(dim[a])).astype(np.float64)
                 if not other[a]:
@@ -232,11 +241,13 @@ def _search(threshold: float):
                     if not members:
                         continue
                     yield from build()
-                for kind, rows in enumerate(shard.others(ids[a:b], x)):
+                for kind, rows in enumerate(shard.others(ids[a:b], weights[a:b], x)):
                     if rows:
                         yield out(kind, rows)
         if members and shard is None:
             yield from build()
+        elif shard is not None and (rows := shard.close()):
+            yield out(0, rows)
 
     return run
 
@@ -246,7 +257,8 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, shard: int = SH
 
     Vectors of equal labels and lengths link at a cosine of threshold or more, in double precision. Identical
     vectors are one class, which is searched once and counts with its size. Each label's classes are dealt to
-    shards of about shard members by a hash; every class asks every shard of its label. A row with a null vec_id,
+    shards of about shard members by a hash; of two shards of a label the classes of one ask the other, in a ring,
+    so that each shard answers about half of the others, and a link found counts for both its ends. A row with a null vec_id,
     label or vector, or a vector that is empty, zero or holds null or non-finite components, links with nothing
     and is its own component. Repeated rows count as vectors of their own. An empty table gives none. Links are
     those that the beams find: RECALL of them at least in each shard's audit; none found is below threshold.
@@ -259,8 +271,10 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, shard: int = SH
     classes = spool(sound.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     placed = classes.withColumn("dim", F.size("v"))
     counts = placed.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = placed.join(counts, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    ready = dealt.select("label", "dim", "part", (F.col("part") != F.col("own")).alias("other"), F.col("rep").alias("id"), "n", "v")
+    own, ahead = F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"), F.explode(F.sequence(F.lit(0), F.floor(F.col("shards") / 2).cast("int")))
+    dealt = placed.join(counts, ["label", "dim"]).withColumn("own", own).withColumn("ahead", ahead).withColumn("part", F.pmod(F.col("own") + F.col("ahead"), F.col("shards")))
+    # Two shards opposite each other in an even ring would meet twice.
+    ready = dealt.where((F.col("ahead") * 2 < F.col("shards")) | (F.col("own") < F.col("part"))).select("label", "dim", "part", (F.col("part") != F.col("own")).alias("other"), F.col("rep").alias("id"), "n", "v")
     k = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = spool(ready.repartition(k, "label", "dim", "part").sortWithinPartitions("label", "dim", "part", "other", "id").mapInArrow(_search(threshold), "kind int, a long, b long"), "found")
     more = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("found")).withColumnRenamed("a", "rep")
