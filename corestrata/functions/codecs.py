@@ -18,12 +18,12 @@ def usable_dictionary(data: bytes) -> bool:
     return len(data) <= DICTIONARY_BYTES and not data.startswith(ZSTD_DICTIONARY_MAGIC)
 
 
-def compress(data: bytes, dictionary: bytes = b"", level: int = 19) -> bytes:
-    """One frame that tells its content's size, no dictionary id and no checksum, with a window of a MiB at most."""
+def compress(data: bytes, dictionary: bytes = b"", level: int = 19, window_log: int = WINDOW_LOG) -> bytes:
+    """One frame that tells its content's size, no dictionary id and no checksum, with a window of 1 << window_log bytes at most."""
     d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
     p = zstandard.ZstdCompressionParameters.from_level(level, source_size=len(data), dict_size=len(dictionary))
-    if p.window_log > WINDOW_LOG or p.hash_log > 20 or p.chain_log > 20:
-        p = zstandard.ZstdCompressionParameters.from_level(level, source_size=len(data), dict_size=len(dictionary), window_log=min(WINDOW_LOG, p.window_log), hash_log=min(20, p.hash_log), chain_log=min(20, p.chain_log), write_content_size=1, write_checksum=0, write_dict_id=0)
+    if p.window_log > window_log or p.hash_log > 20 or p.chain_log > 20:
+        p = zstandard.ZstdCompressionParameters.from_level(level, source_size=len(data), dict_size=len(dictionary), window_log=min(window_log, p.window_log), hash_log=min(20, p.hash_log), chain_log=min(20, p.chain_log), write_content_size=1, write_checksum=0, write_dict_id=0)
         return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress(data)
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True, write_checksum=False, write_dict_id=False).compress(data)
 

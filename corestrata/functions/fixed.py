@@ -45,3 +45,11 @@ STRIDE_DOMAIN = "PATCH-ENC-005/INDEX-STRIDE"
 ZSTD_DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
 # The domain of tree identities.
 TREE_DOMAIN = b"chunkshift.patch-tree-candidate.t4a.v0\0"
+# Dictionary envelopes, each nested in the next: name, most references, most bytes of the dictionary, bits of the window.
+ENVELOPES = (
+    ("G1-H0", 4, 1 << 20, 20),
+    ("G1-B1-R64", 64, 1 << 20, 20),
+    ("G1-B4-R256", 256, 4 << 20, 23),
+    ("G1-B8-R512", 512, 8 << 20, 24),
+    ("G1-B32-R2048", 2048, 32 << 20, 26),
+)

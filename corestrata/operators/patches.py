@@ -188,12 +188,21 @@ def binding(given: DataFrame) -> DataFrame:
     return given.withColumn("flags", wrong)
 
 
+def manifest_size(chunks: Column) -> Column:
+    """Bytes of a manifest of so many chunks, with its block index."""
+    blocks = F.greatest(F.lit(1), F.ceil(chunks / 4096))
+    return (32 + 16 + 184 + blocks * (16 + 24 + 4) + chunks * 36 + (16 + 48) + (16 + 48) + 64).cast("long")
+
+
+def framing_size(chunks: Column, made: Column, references: Column, with_base: bool = True) -> Column:
+    """Bytes of a patch besides its stored bytes."""
+    entries_size = F.ceil(made / 4096) * (16 + 16 + 4) + made * 40 + references * 32 + 16 + 8 + made * 24 + 4
+    return (32 + 16 + manifest_size(chunks) + (16 + 32 if with_base else 0) + entries_size + 16 + 56 + 64).cast("long")
+
+
 def framing(df: DataFrame, chunks: Column, made: Column, references: Column) -> DataFrame:
     """Bytes of a manifest and of a patch besides its stored bytes."""
-    blocks = F.greatest(F.lit(1), F.ceil(chunks / 4096))
-    manifest = 32 + 16 + 184 + blocks * (16 + 24 + 4) + chunks * 36 + (16 + 48) + (16 + 48) + 64
-    whole = 32 + 16 + manifest + 16 + 32 + F.ceil(made / 4096) * (16 + 16 + 4) + made * 40 + references * 32 + 16 + 8 + made * 24 + 4 + 16 + 56 + 64
-    return df.withColumn("manifest_bytes", manifest.cast("long")).withColumn("framing_bytes", whole.cast("long"))
+    return df.withColumn("manifest_bytes", manifest_size(chunks)).withColumn("framing_bytes", framing_size(chunks, made, references))
 
 
 def usable(dictionary: Column, most: int = codecs.DICTIONARY_BYTES, magic: bytes = fixed.ZSTD_DICTIONARY_MAGIC) -> Column:

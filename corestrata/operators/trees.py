@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 VERSIONED = r"^(?:(.*)/)?([A-Za-z0-9][A-Za-z0-9_.+-]{0,127}_)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\.dll$"
 LEAST, MOST, POOL = 65_536, 64 << 20, 8
 _REFERENCE_HEADER = 9
+#: Bytes of the concatenation where files and the ranges to be read meet.
+READ_BUCKET = 1 << 20
 
 
 def offsets(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,11 +20,18 @@ def offsets(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_ranges(placed: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges (range_id, start, size) of the concatenation as pieces of files: (keys..., range_id, path, file_off, length)."""
-    end = F.col("start") + F.col("size")
-    hit = placed.join(ranges, keys).where((F.col("off") < end) & (F.col("off") + F.col("length") > F.col("start")))
-    low = F.greatest("off", "start")
-    return hit.select(*keys, "range_id", "path", (low - F.col("off")).alias("file_off"), (F.least(F.col("off") + F.col("length"), end) - low).alias("length"))
+    """Ranges (range_id, start, size) of the concatenation as pieces of files: (keys..., range_id, path, file_off, length).
+
+    Files and ranges meet by buckets of the concatenation, so that a tree of many files isn't held against all of its ranges; a piece counts in the bucket where it begins.
+    """
+    touched = lambda first, end: F.explode(F.sequence(F.floor(first / READ_BUCKET), F.floor((end - 1) / READ_BUCKET)))
+    files = placed.where("length > 0").select(*keys, "path", "off", (F.col("off") + F.col("length")).alias("end"))
+    files = files.select("*", touched(F.col("off"), F.col("end")).alias("bucket"))
+    wanted = ranges.where("size > 0").select(*keys, "range_id", "start", (F.col("start") + F.col("size")).alias("stop"))
+    wanted = wanted.select("*", touched(F.col("start"), F.col("stop")).alias("bucket"))
+    low, high = F.greatest("off", "start"), F.least("end", "stop")
+    hit = files.join(wanted, [*keys, "bucket"]).where((low < high) & (F.floor(low / READ_BUCKET) == F.col("bucket")))
+    return hit.select(*keys, "range_id", "path", (low - F.col("off")).alias("file_off"), (high - low).alias("length"))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

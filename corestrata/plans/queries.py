@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corestrata.functions import fixed
 from corestrata.functions.profiles import SMALL, STABLE, Profile, gear_table, lab_profile
-from corestrata.operators import candidates, chunking, families, identity, incremental, metrics, mutations, patches, reuse, trees
+from corestrata.operators import accounting, candidates, chunking, envelopes, families, identity, incremental, metrics, mutations, patches, reuse, trees
 from corestrata.plans import base
 from corestrata.plans.base import PAIR, SQL_DOCUMENT_CHUNKS, SQL_DOCUMENTS, SQL_HISTORIES, SQL_TREES, sql_chunks, sql_pairs
 
@@ -649,6 +649,39 @@ def exact_windows(spark, sf_dir):
     return patches.exact_windows(b, t, PAIR, 64, 32)
 
 
+#: Envelopes of the fixed ones' form, small enough for runs of 64-byte chunks to meet both bounds.
+ENVELOPES = (("a", 2, 200, 20), ("b", 4, 200, 20), ("c", 8, 700, 20), ("d", 64, 2000, 20))
+
+
+@query(
+    f"""WITH {NEAR_SQL}, en AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {r}, {b})" for n, r, b, _ in ENVELOPES)}) t(envelope, refs, budget))
+    SELECT near.family, near.version, near.idx, CAST(rank AS INT) AS rank, start, envelope, count(*) AS records, CAST(sum(r.len) AS BIGINT) AS bytes
+    FROM near JOIN base s ON s.family = near.family AND s.version = near.version AND s.idx = near.start CROSS JOIN en JOIN base r ON r.family = near.family AND r.version = near.version AND r.idx >= start AND r.idx < start + refs AND r.off + r.len - s.off <= budget GROUP BY ALL"""
+)
+def envelope_prefixes(spark, sf_dir):
+    b, t = base.pair_chunks(spark, sf_dir)
+    return envelopes.prefixes(b, candidates.nearest_starts(b, reuse.missing(b, t, PAIR), PAIR, 512, 4), PAIR, ENVELOPES)
+
+
+@query()
+def envelope_trials(spark, sf_dir):
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    return envelopes.trials(b, t, PAIR, SMALL, level=3)
+
+
+@query()
+def envelope_lanes(spark, sf_dir):
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    return envelopes.lanes(envelopes.trials(b, t, PAIR, SMALL, level=3), PAIR)
+
+
+@query()
+def patch_ledgers(spark, sf_dir):
+    """Bytes of binary patches by what they hold; they sum to the patch."""
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    return patches.ledgers(patches.patch_files(b, t, PAIR, STABLE, level=1), PAIR)
+
+
 # Trees
 
 
@@ -737,6 +770,34 @@ def tree_boundary_attribution(spark, sf_dir):
     return trees.file_reuse(_tree_chunks(old), _tree_chunks(new), ["family"])
 
 
+_SQL_MANIFEST = "32 + 16 + 184 + greatest(1, ceil({0} / 4096.0)) * 44 + {0} * 36 + 64 + 64 + 64"
+_SQL_PATCH = f"32 + 16 + ({_SQL_MANIFEST}) + 48 + ceil({{1}} / 4096.0) * 36 + {{1}} * 40 + 28 + {{1}} * 24 + 136"
+COSTS_SQL = f"""{TREE_CHUNKS_SQL}, st AS (SELECT new.family, new.path, new.length, old.path IS NOT NULL AS changed FROM new LEFT JOIN old USING (family, path) WHERE old.path IS NULL OR old.sha256 <> new.sha256),
+    ids AS (SELECT family, path, id, count(*) AS n, min(len) AS len FROM nk GROUP BY ALL),
+    fl AS (SELECT *, EXISTS (SELECT 1 FROM ok WHERE ok.family = ids.family AND ok.path = ids.path AND ok.id = ids.id) AS s, EXISTS (SELECT 1 FROM ok WHERE ok.family = ids.family AND ok.id = ids.id) AS w FROM ids),
+    pe AS (SELECT family, path, sum(n) AS c, count(*) FILTER (NOT s) AS es, coalesce(sum(len) FILTER (NOT s), 0) AS bs, count(*) AS eo, sum(len) AS bo, count(*) FILTER (NOT w) AS ew, coalesce(sum(len) FILTER (NOT w), 0) AS bw FROM fl GROUP BY ALL),
+    z AS (SELECT family, path, length, changed, coalesce(c, 0) AS c, coalesce(es, 0) AS es, coalesce(bs, 0) AS bs, coalesce(eo, 0) AS eo, coalesce(bo, 0) AS bo, coalesce(ew, 0) AS ew, coalesce(bw, 0) AS bw FROM st LEFT JOIN pe USING (family, path)),
+    fc AS (SELECT family, path, CASE WHEN changed THEN 'changed' ELSE 'added' END AS status, length, CAST(CASE WHEN changed THEN {_SQL_PATCH.format('c', 'es')} + bs ELSE length END AS BIGINT) AS same_path,
+        CAST(CASE WHEN changed THEN {_SQL_PATCH.format('c', 'es')} + bs ELSE {_SQL_PATCH.format('c', 'eo')} - 48 + bo END AS BIGINT) AS own, CAST({_SQL_PATCH.format('c', 'ew')} + bw AS BIGINT) AS whole_tree FROM z)"""
+
+
+@query(f"WITH {COSTS_SQL} SELECT * FROM fc")
+def tree_file_costs(spark, sf_dir):
+    old, new = base.trees(spark, sf_dir)
+    return accounting.file_costs(old, new, _tree_chunks(old), _tree_chunks(new), ["family"])
+
+
+@query(
+    f"""WITH {COSTS_SQL}, mp AS (SELECT family, CAST(sum(octet_length(encode(path)) + 46) + 4 AS BIGINT) AS map_bytes FROM new GROUP BY family), t AS (SELECT family, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'added') AS added, sum(same_path) AS a, sum(own) AS b, sum(whole_tree) AS w FROM fc GROUP BY family),
+    g AS (SELECT family, count(*) AS removed FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.family = old.family AND new.path = old.path) GROUP BY family), kn AS (SELECT family, count(*) AS k FROM ok GROUP BY family)
+    SELECT family, coalesce(changed, 0) AS changed, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, map_bytes, CAST(coalesce(a, 0) + map_bytes AS BIGINT) AS same_path, CAST(coalesce(b, 0) + map_bytes AS BIGINT) AS own, CAST(coalesce(w, 0) + map_bytes AS BIGINT) AS whole_tree,
+    CAST(coalesce(w, 0) + map_bytes + {_SQL_MANIFEST.format('coalesce(k, 0)')} AS BIGINT) AS whole_tree_cold FROM mp LEFT JOIN t USING (family) LEFT JOIN g USING (family) LEFT JOIN kn USING (family)"""
+)
+def tree_update_costs(spark, sf_dir):
+    old, new = base.trees(spark, sf_dir)
+    return accounting.update_costs(old, new, _tree_chunks(old), _tree_chunks(new), ["family"])
+
+
 @query(f"WITH {TREE_CHUNKS_SQL}, s AS (SELECT family, EXISTS (SELECT 1 FROM nk WHERE nk.family = ok.family AND nk.id = ok.id AND nk.off = ok.off) AS h, EXISTS (SELECT 1 FROM nk WHERE nk.family = ok.family AND nk.id = ok.id) AS t FROM ok) SELECT family, count(*) FILTER (h) AS same_place, count(*) FILTER (NOT h AND t) AS moved, count(*) FILTER (NOT t) AS gone FROM s GROUP BY family")
 def chunks_preserved(spark, sf_dir):
     old, new = base.trees(spark, sf_dir)

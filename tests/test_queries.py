@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corestrata import cli
 from corestrata.functions import fixed
 from corestrata.functions.cutting import cut
-from corestrata.functions.profiles import SMALL
-from corestrata.operators import candidates, chunking, families, identity, incremental, metrics, patches, reuse, trees
+from corestrata.functions.profiles import SMALL, STABLE
+from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, metrics, patches, reuse, trees
 from corestrata.plans import base
 from corestrata.plans.queries import ORACLES, QUERIES
 from corestrata.sources import corpus, files, manifests
@@ -111,6 +111,36 @@ def test_incremental_of_several_edits(spark):
     assert [r.len for r in incremental.rechunk(old, edited, ["k"], SMALL).orderBy("idx").collect()] == cut(new, SMALL)
 
 
+def test_envelopes(spark):
+    b, t = base.pair_contents(base.histories(spark, SMALLEST))
+    tried = envelopes.trials(b, t, base.PAIR, SMALL, level=3)
+    rows, by = tried.collect(), {}
+    for r in rows:
+        by.setdefault((r.family, r.version, r.idx), []).append(r)
+    sizes = {(r.family, r.version, r.idx): r.len for r in chunking.cdc_chunks(t, SMALL).collect()}
+    for key, some in by.items():
+        plain = [r for r in some if r.envelope == 0]
+        best, won = plain[0].cost, plain[0]
+        assert len(plain) == 1 and best <= sizes[key]
+        for r in some[1:]:
+            assert (r.cost is None) == r.repeated and r.records <= fixed.ENVELOPES[r.envelope][1] and 0 < r.dictionary_bytes <= fixed.ENVELOPES[r.envelope][2]
+            if not r.repeated and r.cost < best:
+                best, won = r.cost, r
+        assert [r for r in some if r.selected] == [won]
+    lanes = {(r.family, r.version, r.lane): r for r in envelopes.lanes(tried, base.PAIR).collect()}
+    for (f, v, lane), r in lanes.items():
+        mine = [min(x.cost for x in some if x.envelope <= lane and x.cost is not None) for (a, b_, _), some in by.items() if (a, b_) == (f, v)]
+        assert (r.entries, r.cost) == (len(mine), sum(mine)) and r.saved == lanes[f, v, 0].cost - r.cost
+    assert envelopes.trials(b.limit(0), t.limit(0), base.PAIR, SMALL).count() == 0
+
+
+def test_ledgers_sum_to_the_patch(spark):
+    b, t = base.pair_contents(base.histories(spark, SMALLEST))
+    made = patches.patch_files(b, t, base.PAIR, STABLE, level=1)
+    told = {(r.family, r.version): sum(r[2:]) for r in patches.ledgers(made, base.PAIR).collect()}
+    assert told == {(r.family, r.version): len(r.patch) for r in made.collect()}
+
+
 def test_rename_reasons(spark):
     rows = lambda r: spark.createDataFrame([("t", *x) for x in r], "tree string, path string, length long, sha256 string")
     old = rows([("d/a_1.0.0.0.dll", 100, "1"), ("d/b_1.0.0.0.dll", 100, "2"), ("d/b_1.1.0.0.dll", 100, "3"), ("d/c_1.0.0.0.dll", 100, "4")])
