@@ -359,6 +359,23 @@ def test_dense_shard_widens():
     assert [n for _, n in counts] == [699] * 700 and {b for _, b in links} == {0}
 
 
+def test_links_between_shards_count_for_both_ends():
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(20, 24))
+    v = centres[rnd.integers(0, 20, 300)] + 0.22 * rnd.normal(size=(300, 24))
+    weights, ids = rnd.integers(1, 4, 300), np.arange(300) * 7
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cross = unit[:150] @ unit[150:].T >= 0.93
+    assert 0 < cross.sum() < cross.size
+    shard = embeddings.Shard(ids[:150], weights[:150], v[:150], 0.93)
+    own, _ = shard.own()
+    asked, _ = shard.others(ids[150:], weights[150:], v[150:])
+    met = shard.close()
+    assert dict(asked) == {int(ids[150 + j]): int(weights[:150][cross[:, j]].sum()) for j in range(150) if cross[:, j].any()}
+    assert dict(met) == {int(ids[i]): int(weights[150:][cross[i]].sum()) for i in range(150) if cross[i].any()}
+    assert sum(n * int(weights[i // 7]) for i, n in asked) == sum(n * int(weights[i // 7]) for i, n in met) and own
+
+
 # 7 packing
 
 
