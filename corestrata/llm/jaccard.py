@@ -1,0 +1,143 @@
+"""Near copies by word shingles: an exact similarity join by prefixes, components united."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corestrata.llm.common import batches, bounded_batches, spool, texts, unspool
+from corestrata.llm.graph import components
+from corestrata.llm.simhash import BROADCAST_IDS, SEED, shingles
+
+WORDS = 5
+#: Similarity from which texts are near copies, as a fraction.
+LEAST = (4, 5)
+#: Texts that are looked at for common shingles, and so many of these are told to the tasks at most. Both bear on the order alone.
+SAMPLE, COMMON = 1 << 15, 1 << 18
+#: Sets that those which share a hash are held against before any pairs are made; bears on the work alone.
+LEADS = 6
+_SETS = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+
+
+def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
+    """The distinct shingles' XXH64, ascending as signed numbers."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _sets(size: int, least: tuple[int, int], common):
+    def run(source):
+        from xxhash import xxh64_intdigest
+
+        known, counts = common.value if common is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def make(batch):
+            own = [shingle_set(t, size) for t in texts(batch.column(2))]
+            keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
+            if len(known):
+                seen = []
+                for s in own:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    seen.append(s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")])
+                own = seen
+            n = np.array([len(s) for s in own], np.int64)
+            p = np.where(n > 0, n - -(-n * least[0] // least[1]) + 1, 0)
+            return [batch.column(0), batch.column(1), keys, n, p, _lists([s[:k] for s, k in zip(own, p.tolist(), strict=True)]), _lists([s[k:] for s, k in zip(own, p.tolist(), strict=True)])]
+
+        yield from batches(source, make, _SETS)
+
+    return run
+
+
+def _mark(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(id, mark, key, n, p, prefix, rest) for each row, written: mark tells rows apart, key stands for the set, prefix and rest are its n hashes in one order for all rows.
+
+    Any order gives the same links; here those that a sample shows to be common come last, by their count.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _mark(id_col, text_col).alias("mark"), F.col(f"`{text_col}`").alias("value"))
+    shape = "id long, mark long, key long, n long, p long, prefix array<long>, rest array<long>"
+    some = rows.where(F.pmod(F.xxhash64("mark"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+    seen = some.mapInArrow(_sets(size, least, None), shape).select(F.explode(F.concat("prefix", "rest")).alias("h")).groupBy("h").count().where("count > 1")
+    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    known, counts = (c.to_numpy().astype(np.int64) for c in top.columns)
+    order = np.argsort(known)
+    return spool(rows.mapInArrow(_sets(size, least, spark.sparkContext.broadcast((known[order], counts[order]))), shape), "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those pairs (a, b) of sets that are similar, by the whole sets."""
+    whole = sets.select("key", "n", F.concat("prefix", "rest").alias("h"))
+    for side in ("a", "b"):
+        pairs = pairs.join(whole.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}")), side)
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.where((least[0] + least[1]) * both >= least[0] * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _worth(met: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """met (a, na, pa, b, nb, pb), a row for each shared hash of two prefixes -> (a, b) that may be similar: beyond the prefix that ends first lie no more hashes than that set has left."""
+    near = met.where((least[1] * F.least("na", "nb") >= least[0] * F.greatest("na", "nb")))
+    most = F.col("c") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return near.groupBy("a", "na", "pa", "b", "nb", "pb").agg(F.count(F.lit(1)).alias("c")).where((least[0] + least[1]) * most >= least[0] * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def similar_links(written: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """shingle_sets() -> links (a, b) of keys that join all sets of similarity least or more, and none below.
+
+    Similar sets share a hash of their prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007). First each set is
+    held against a few that share a hash, the least in LEADS orders; what this unites is one component, however many copies it has.
+    Then all pairs that share a hash and lie in different components are compared, so nothing is capped.
+    """
+    ones = written.groupBy("key").agg(F.min("mark").alias("mark"))
+    sets = spool(written.where("n > 0").join(ones, ["key", "mark"], "left_semi").dropDuplicates(["key"]), "sets") if written.count() > ones.count() else written.where("n > 0")
+    posts = sets.select(F.explode("prefix").alias("h"), "key", "n", "p")
+    often = posts.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h")
+    shared = spool(posts.join(often, "h"), "shared")
+    # A set's place in the orders is the same for all its hashes, so that sets alike meet the same leads.
+    first = shared.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("at"), "key", "n", "p")).alias(f"lead{i}") for i in range(LEADS)))
+    leads = F.array_distinct(F.array(*(F.struct(*(F.col(f"lead{i}.{c}").alias(c) for c in ("key", "n", "p"))) for i in range(LEADS))))
+    side = lambda name, key, n, p: (F.col(key).alias(name), F.col(n).alias(f"n{name}"), F.col(p).alias(f"p{name}"))
+    stars = shared.join(first.select("h", leads.alias("leads")), "h").withColumn("lead", F.explode("leads")).where("key <> lead.key").select(*side("a", "lead.key", "lead.n", "lead.p"), *side("b", "key", "n", "p"))
+    found = spool(_alike(spool(_worth(stars, least), "pairs"), sets, least), "links")
+    of = components(found).withColumnRenamed("node", "key")
+    placed = spool(shared.join(of, "key", "left").select("h", "key", "n", "p", F.coalesce("root", "key").alias("root")), "placed")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    members = spool(placed.join(mixed, "h", "left_semi"), "members")
+    unspool(placed)
+    groups = members.select("h", "root").distinct()
+    meet = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "h").where("ra < rb")
+    a, b = members.select("h", F.col("root").alias("ra"), *side("a", "key", "n", "p")), members.select("h", F.col("root").alias("rb"), *side("b", "key", "n", "p"))
+    more = spool(_worth(meet.join(a, ["h", "ra"]).join(b, ["h", "rb"]), least), "pairs")
+    return found.unionByName(spool(_alike(more, sets, least), "links"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, least: tuple[int, int] = LEAST, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs, with all their columns, less near copies: of each component the row of the least doc_id stays, of such rows any one text.
+
+    Texts link where the sets of their shingles (size words, with A-Z lowered; shorter texts are one shingle) have
+    a Jaccard similarity of least or more; hashes of 64 bits stand for shingles. Null texts count as empty, and
+    texts without words are alike. A null doc_id comes after all others. Rows of equal doc_id and text share their
+    fate. An empty table gives none.
+    """
+    written = shingle_sets(docs, id_col, text_col, size, least)
+    rooted = components(similar_links(written, least)).withColumnRenamed("node", "key")
+    rows = spool(written.select("id", "mark", "key").join(rooted, "key", "left").select("id", "mark", F.coalesce("root", "key").alias("root")), "rows")
+    # The name of each component with more than one row
+    named = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "mark")).alias("name"), F.max("mark").alias("most"), F.min("mark").alias("few")).where("few < most")
+    gone = spool(rows.join(named, "root").where("mark <> name.mark").select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= broadcast_ids
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(gone["_gone_id"]) & (_mark(id_col, text_col) == gone["_gone"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

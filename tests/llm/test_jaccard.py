@@ -1,0 +1,65 @@
+"""Near copies by shingles, against brute force."""
+
+import random
+
+import corpus_pipeline
+from test_llm_operators import edge_docs, least_roots
+
+from corestrata.llm import jaccard
+
+
+def slow_pairs(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    by = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    out = []
+    for at, a in enumerate(by):
+        for b in by[at + 1 :]:
+            if 4 * len(sets[b]) > 5 * len(sets[a]):
+                break
+            both = len(sets[a] & sets[b])
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                out.append((a, b))
+    return out
+
+
+def slow_kept(rows):
+    roots = least_roots(len(rows), slow_pairs([t for _, t in rows]))
+    best = {}
+    for (i, _), r in zip(rows, roots, strict=True):
+        best[r] = min(best.get(r, i), i)
+    return sorted(best.values())
+
+
+def test_pipeline_leaves_no_similar_texts(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-2]:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert slow_pairs([r.text for r in docs.collect()]) == []
+
+
+def test_edited_copies(spark):
+    """A large group of copies with edits on both sides of the bound, common passages, and texts of few words."""
+    rnd = random.Random(4)
+    base, shared, rows = [f"w{i}" for i in range(120)], [f"c{i}" for i in range(30)], []
+    for i in range(150):
+        w = list(base)
+        for at in rnd.sample(range(120), rnd.randrange(6)):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(shared + [f"y{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 40))])) for i in range(60)]
+    rows += [(300, "A b c"), (301, "a  B c"), (302, "a b"), (303, ""), (304, " \n"), (305, "a b c d e f"), (306, "a b c d e g")]
+    rnd.shuffle(rows)
+    kept = jaccard.drop_similar(edge_docs(spark, rows))
+    assert kept.columns == edge_docs(spark).columns
+    assert sorted(r.doc_id for r in kept.collect()) == slow_kept(rows)
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "one two three four five"), (None, "ONE two three four five"), (7, "six"), (None, "six"), (None, None)]
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jaccard.drop_similar(edge_docs(spark, rows), broadcast_ids=0).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "one two three four five"), (7, "six"), (None, "")], key=str)
+    assert jaccard.drop_similar(edge_docs(spark, [])).count() == 0
