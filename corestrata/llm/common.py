@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,9 +17,11 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one that is then set."""
+    """The folder of spark.checkpoint.dir; where it is unset and the master is local (tests, one machine), a temporary one that is then set. A cluster without the setting is refused: its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="corestrata-")
@@ -27,7 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corestrata/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is deleted when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/corestrata/{tag}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(p.getParent())
+    files.mkdirs(p)  # deleteOnExit takes only what exists
+    files.deleteOnExit(p)
+    files.delete(p, True)
+    return path
 
 
 def spool(df: DataFrame, tag: str) -> DataFrame:

@@ -11,19 +11,33 @@ from corestrata.llm.common import spool
 CELLS_A_ROW = 16
 #: Bits of one bitmap of Spark's bitmap functions.
 MAP_BITS = 32768
-#: A filter of more bytes than this is joined by bitmap number instead of broadcast.
+#: A filter of more bytes than this is joined by bitmap number instead of broadcast; a table of rows to drop beyond it is met by a filter of so many bytes at most.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a key in a broadcast table, with what Spark adds.
+KEY_BYTES = 96
 
 
-def _cells(bits: int) -> list[Column]:
-    """Two probes, from disjoint bits of the SHA-256."""
-    return [F.conv(F.substring("_digest", 1 + 16 * i, 15), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) for i in range(2)]
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8"), 256))
+
+
+def row_key(id_col: Column, digest: Column) -> Column:
+    """Stands for a row's doc_id and text together; rows that repeat both share it."""
+    return F.unhex(F.sha2(F.encode(F.concat_ws(":", F.hex(digest), id_col.cast("string")), "UTF-8"), 256))
+
+
+def _cells(digest: Column, bits: int, probes: int = 2) -> list[Column]:
+    """Probes from disjoint bits of a SHA-256."""
+    return [F.conv(F.hex(F.substring(digest, 1 + 8 * i, 7)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) for i in range(probes)]
+
+
+def _bitmaps(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(F.bitmap_bucket_number(F.col("cell")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell"))).alias("_map"))
 
 
 def _repeated_cells(hashes: DataFrame, bits: int) -> DataFrame:
     """First pass: bitmaps of the cells that two rows or more hit. Only cell numbers are counted, pre-aggregated in each task."""
-    hit = hashes.select(F.explode(F.array(*_cells(bits))).alias("cell")).groupBy("cell").count().where("count > 1")
-    return hit.groupBy(F.bitmap_bucket_number(F.col("cell")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell"))).alias("_map"))
+    return _bitmaps(hashes.select(F.explode(F.array(*_cells(F.col("_digest"), bits))).alias("cell")).groupBy("cell").count().where("count > 1"))
 
 
 def _bit(cell: Column, bitmap: Column) -> Column:
@@ -33,43 +47,88 @@ def _bit(cell: Column, bitmap: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def possible_repeats(rows: DataFrame, bits: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Second pass: rows (with _digest) plus _maybe, true where both cells of the digest were hit twice or more."""
-    cells = _cells(bits)
-    maps = _repeated_cells(rows.select("_digest"), bits)
-    if (1 << bits) // 8 <= broadcast_bytes:
+def _marked(rows: DataFrame, digest: str, maps: DataFrame, bits: int, probes: int, small: bool) -> DataFrame:
+    """rows plus _maybe: whether the bitmaps have all cells of the digest."""
+    if small:
         maps = F.broadcast(maps)
     out = rows
-    for i, cell in enumerate(cells):
+    for i, cell in enumerate(_cells(F.col(digest), bits, probes)):
         own = maps.select(F.col("_bucket").alias(f"_b{i}"), F.col("_map").alias(f"_m{i}"))
         out = out.join(own, F.bitmap_bucket_number(cell) == F.col(f"_b{i}"), "left").withColumn(f"_h{i}", _bit(cell, F.col(f"_m{i}"))).drop(f"_b{i}", f"_m{i}")
-    return out.withColumn("_maybe", F.col("_h0") & F.col("_h1")).drop("_h0", "_h1")
+    hits = [F.col(f"_h{i}") for i in range(probes)]
+    return out.withColumn("_maybe", hits[0] if probes == 1 else hits[0] & hits[1]).drop(*(f"_h{i}" for i in range(probes)))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and with keep_columns all columns of docs as struct _row.
+def possible_repeats(rows: DataFrame, bits: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Second pass: rows (with _digest) plus _maybe, true where both cells of the digest were hit twice or more."""
+    return _marked(rows, "_digest", _repeated_cells(rows.select("_digest"), bits), bits, 2, (1 << bits) // 8 <= broadcast_bytes)
 
-    Texts are equal when they are identical (compared by SHA-256), null counting as empty. Of equal texts the
-    largest doc_id is kept. A text that occurs once keeps itself and, unless the filter errs, never shuffles.
-    Repeated rows (the same doc_id and text) count in group_size and share the fate of their doc_id; null doc_ids
-    are never chosen, except where a group has no other, whose rows are then all kept with a null keep_id.
-    Empty tables give empty results. Further columns are untouched, whatever they are called.
+
+def _passes(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Possible repeats and not: written rows (_id, _digest, _row) plus _maybe, and (_digest, keep_id, keep_row, group_size) of the former.
+
+    The texts are read and digested once; both passes go over the written digests. _row tells repeated rows apart.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("_digest"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if keep_columns else []))
-    n = docs.select(F.lit(1)).count()
-    bits = max(15, (max(1, n) * CELLS_A_ROW - 1).bit_length())
+    rows = spool(docs.select(F.col(f"`{id_col}`").alias("_id"), text_digest(text_col).alias("_digest")).withColumn("_row", F.monotonically_increasing_id()), "digests")
+    bits = max(15, (max(1, rows.count()) * CELLS_A_ROW - 1).bit_length())
     seen = possible_repeats(rows, bits, broadcast_bytes)
-    more = ["_row"] if keep_columns else []
-    alone = seen.where("not _maybe").select("_id", "_digest", *more, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    maybe = seen.where("_maybe").select("_id", "_digest", *more)
     # Written first: the join then has nothing but two exchanges below it, so that adaptive execution may split a group that holds a large share of the rows.
-    groups = spool(maybe.groupBy("_digest").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return alone.unionByName(maybe.join(groups, "_digest")).select(
-        F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), *more
-    )
+    first = F.max(F.struct(F.col("_id"), (-F.col("_row")).alias("back")))
+    groups = seen.where("_maybe").groupBy("_digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    return seen, spool(groups.select("_digest", F.col("first._id").alias("keep_id"), (-F.col("first.back")).alias("keep_row"), "group_size"), "groups")
+
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when they are identical (compared by SHA-256), null counting as empty; whole texts of any
+    length are digested. Of equal texts the row of the largest doc_id is kept; of rows that tie for it (they
+    repeat doc_id and text) one is. A text that occurs once keeps itself and, unless the filter errs, its digest
+    meets no other. Repeated rows count in group_size. Null doc_ids are chosen only where a group has no other,
+    with a null keep_id. Empty tables give empty results. Further columns are not read, whatever they are called.
+    """
+    seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
+    alone = seen.where("not _maybe").select("_id", "_digest", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    maybe = seen.where("_maybe").select("_id", "_digest", "_row").join(groups, "_digest").select("_id", "_digest", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"))
+    return alone.unionByName(maybe).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows with all columns of docs; of rows repeated with the kept doc_id all stay."""
-    return exact_groups(docs, id_col, text_col, keep_columns=True).where("kept").select("_row.*")
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose row_key() isn't in gone (_gone binary, distinct, written).
+
+    gone is counted. Up to broadcast_bytes it is broadcast, and no text moves. Beyond, a filter of at most
+    broadcast_bytes is: rows that it doesn't know pass straight through, and only the others shuffle.
+    """
+    names, key = docs.columns, row_key(F.col(f"`{id_col}`"), text_digest(text_col))
+    n = gone.count()
+    if n * KEY_BYTES <= broadcast_bytes:
+        return docs.join(F.broadcast(gone), key == F.col("_gone"), "left_anti")
+    bits = max(15, min((n * CELLS_A_ROW - 1).bit_length(), (broadcast_bytes * 8).bit_length() - 1))
+    maps = _bitmaps(gone.select(_cells(F.col("_gone"), bits, 1)[0].alias("cell")))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_own")
+    seen = _marked(docs.select(row, key.alias("_key")), "_key", maps, bits, 1, True)
+    through = seen.where("not _maybe").select("_own.*")
+    return through.unionByName(seen.where("_maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_own.*"))
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row of docs for each of keys (_gone binary, distinct, written), of those that share a row_key(). Only such rows shuffle."""
+    few = keys.count() * KEY_BYTES <= broadcast_bytes
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("_key"))
+    found = own.join(F.broadcast(keys) if few else keys, F.col("_key") == F.col("_gone"), "left_semi")
+    return found.groupBy("_key").agg(F.first("_own").alias("_own")).select("_own.*")
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row of each text, with all columns of docs: that of the largest doc_id, as exact_groups() has it; of rows that repeat doc_id and text any one.
+
+    Nulls, empty and long texts, ties, repeated rows and empty tables as there. Columns may have any names.
+    """
+    seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
+    pairs = seen.where("_maybe").groupBy("_digest", "_id").agg(F.count(F.lit(1)).alias("n")).join(groups.where("group_size > 1"), "_digest")
+    stays = F.col("_id").eqNullSafe(F.col("keep_id"))
+    named = pairs.where(~stays | (F.col("n") > 1)).select(row_key(F.col("_id"), F.col("_digest")).alias("_gone"), stays.alias("stays"))
+    gone = spool(named, "gone")
+    out = without(docs, gone.select("_gone"), id_col, text_col, broadcast_bytes)
+    twins = gone.where("stays").select("_gone")
+    return out if twins.isEmpty() else out.unionByName(one_of_each(docs, twins, id_col, text_col, broadcast_bytes))

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.llm.common import batches, pair, spool, texts, unspool
+from corestrata.llm.common import batches, bounded_batches, pair, spool, texts, unspool
+from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, row_key, text_digest, without
 from corestrata.llm.graph import components
 
 SEED = 42
@@ -15,13 +16,20 @@ SHINGLE = 3
 RADIUS = 2
 #: Fingerprints that one bucket compares at once; larger buckets are divided by further bits.
 BUCKET = 4096
-#: So many ids of dropped documents are broadcast at most (16 MB).
+#: So many 64-bit keys are broadcast at most (16 MB).
 BROADCAST_IDS = 1 << 20
+#: Near copies by similarity: words of a shingle, the similarity as a fraction, and a radius that next to no pair of that similarity exceeds.
+SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, (4, 5), 22
+#: Texts that are looked at for common shingles, and so many of these are told to the tasks at most. Both bear on the order alone.
+SAMPLE, COMMON = 1 << 15, 1 << 18
+#: Sets that those which share a hash are held against before any pairs are made; bears on the work alone.
+LEADS = 6
 #: Pairs of a query and a word of 64 lanes that are under way at a time.
 UNDER_WAY = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_SETS = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
 _LINKS = pa.schema([("node", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -92,8 +100,8 @@ def within(planes: np.ndarray, valid: np.ndarray, queries: np.ndarray, words: np
     return which, near
 
 
-def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of distinct fingerprints that share a bucket (equal buckets adjoin): enough of them to join all that are within radius, at most one a fingerprint.
+def bucket_hits(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS):
+    """(x, y) positions, x < y, of all pairs within radius that share a bucket (equal buckets adjoin), in bounded parts.
 
     Each bucket begins in a word of its own, or shares one with other small buckets; every fingerprint is held
     against the words of its own bucket.
@@ -115,7 +123,6 @@ def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS)
     first, last = place // 64, (place + sizes - 1) // 64
     spread = np.repeat(last - first + 1, sizes)  # words that each fingerprint meets
     group = np.repeat(np.arange(len(starts)), sizes)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
     reach = np.cumsum(spread)
     while at < n:
@@ -123,17 +130,22 @@ def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS)
         some = np.repeat(np.arange(at, end), spread[at:end])
         words = first[group[some]] + np.arange(len(some)) - np.repeat(np.cumsum(spread[at:end]) - spread[at:end], spread[at:end])
         which, near = within(planes, mask, values[some], words, radius)
-        if len(which):
-            hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        for k in range(0, len(which), UNDER_WAY // 8):
+            hit = np.unpackbits(near[k : k + UNDER_WAY // 8].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             row, bit = np.nonzero(hit)
-            x, y = some[which[row]], owner[words[which[row]] * 64 + bit]
+            x, y = some[which[row + k]], owner[words[which[row + k]] * 64 + bit]
             ok = (x < y) & (group[x] == group[y])
-            found.append((x[ok], y[ok]))
+            yield x[ok], y[ok]
         at = end
+
+
+def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of distinct fingerprints that share a bucket: enough of them to join all that are within radius, at most one a fingerprint."""
+    found = list(bucket_hits(values, buckets, radius))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    root = _roots(n, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-    linked = np.flatnonzero(root != np.arange(n))
+    root = _roots(len(values), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+    linked = np.flatnonzero(root != np.arange(len(values)))
     return values[linked], values[root[linked]]
 
 
@@ -261,12 +273,176 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_size")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id names its component: one document of each group. Rows without a doc_id cannot be named and all stay.
+# Near copies by the similarity of whole texts: the same fingerprints, over longer shingles and with a wide radius, whose pairs are then checked exactly.
+
+
+def shingle_set(text: str, size: int = SIMILAR_WORDS) -> np.ndarray:
+    """The distinct shingles' XXH64, ascending as signed numbers."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64).view(np.int64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64 bits, each 1 where over half of the hashes have it, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[i : i + 65536].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _sets(size: int, least: tuple[int, int], common):
+    def run(source):
+        from xxhash import xxh64_intdigest
+
+        known, counts = common.value if common is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def make(batch):
+            own = [shingle_set(t, size) for t in texts(batch.column(2))]
+            keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
+            fps = [set_fingerprint(s) for s in own]
+            if len(known):
+                seen = []
+                for s in own:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    seen.append(s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")])
+                own = seen
+            n = np.array([len(s) for s in own], np.int64)
+            p = np.where(n > 0, n - -(-n * least[0] // least[1]) + 1, 0).tolist()
+            return [batch.column(0), batch.column(1), keys, fps, n, _lists([s[:k] for s, k in zip(own, p, strict=True)]), _lists([s[k:] for s, k in zip(own, p, strict=True)])]
+
+        for batch in source:
+            for k in range(0, batch.num_rows, 250):
+                yield from batches([batch.slice(k, 250)], make, _SETS)
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(id, row, key, fp, n, prefix, rest) for each row, written: row is its row_key(), key stands for the set, fp is its fingerprint, prefix and rest are its n hashes in one order for all rows.
+
+    Any order gives the same links; here those that a sample shows to be common come last, by their count.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("row"), F.col(f"`{text_col}`").alias("value"))
+    shape = "id long, row binary, key long, fp long, n long, prefix array<long>, rest array<long>"
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+    seen = some.mapInArrow(_sets(size, least, None), shape).select(F.explode(F.concat("prefix", "rest")).alias("h")).groupBy("h").count().where("count > 1")
+    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    known, counts = (c.to_numpy().astype(np.int64) for c in top.columns)
+    order = np.argsort(known)
+    return spool(rows.mapInArrow(_sets(size, least, spark.sparkContext.broadcast((known[order], counts[order]))), shape), "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those pairs (a, b) of sets that are similar, by the whole sets; written. Only sets that pairs name are moved."""
+    named = spool(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
+    few = named.count() <= BROADCAST_IDS
+    whole = spool(sets.join(F.broadcast(named) if few else named, "key", "left_semi").select("key", "n", F.concat("prefix", "rest").alias("h")), "whole")
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(whole.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}")), side)
+    common = F.size(F.array_intersect("ha", "hb"))
+    out = spool(both.where((least[0] + least[1]) * common >= least[0] * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
+    for df in (named, whole):
+        unspool(df)
+    return out
+
+
+def _across(radius: int, least: tuple[int, int]):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(source):
+        """Rows sorted by (h, i, j): of each tile's members all pairs within radius whose components differ and whose sizes allow the similarity; where i < j, of a member of part i and one of part j alone."""
+        held, count = [], 0
+
+        def flush(rows, last):
+            new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
+            bucket = np.cumsum(new)
+            stop = len(rows) if last else int(np.flatnonzero(new)[-1])
+            done, bucket = rows[:stop], bucket[:stop]
+            if stop > 1:
+                _, i, j, part, root, key, fp, n = done.T
+                for x, y in bucket_hits(fp.view(np.uint64).copy(), bucket, radius):
+                    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                    ok = (root[x] != root[y]) & (least[1] * small >= least[0] * large) & ((i[x] == j[x]) | (part[x] != part[y]))
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x[ok]], key[y[ok]])), pa.array(np.maximum(key[x[ok]], key[y[ok]]))], schema=schema)
+            return rows[stop:]
+
+        for batch in source:
+            if batch.num_rows:
+                held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
+                count += batch.num_rows
+                if count >= 8 * BUCKET:
+                    rest = yield from flush(np.concatenate(held), False)
+                    held, count = [rest], len(rest)
+        if count:
+            yield from flush(np.concatenate(held), True)
+
+    return run
+
 
-    The ids that go are counted; up to broadcast_ids of them are broadcast, so that no text moves. Beyond, texts are shuffled by doc_id.
+def similar_links(written: DataFrame, radius: int = SIMILAR_RADIUS, least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """shingle_sets() -> links (a, b) of keys that join all sets of similarity least or more whose fingerprints are within radius, and none below.
+
+    Similar sets share a hash of their prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007), so a bucket for
+    each such hash brings all of them together. First each set is held against a few of its buckets, the least in
+    LEADS orders; what this unites is one component, however many copies it has. Then buckets in which components
+    meet are compared bit-sliced, in tiles of bounded size. The pairs found are checked by the whole sets.
+    """
+    one = written.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("c"))
+    twice = spool(one.where("c > 1").select("key", "row"), "twice")
+    sets = written.where("n > 0")
+    if not twice.isEmpty():  # of equal sets one row serves
+        sets = spool(sets.join(twice.select("key", F.col("row").alias("first")), "key", "left").where("first is null or row = first").drop("first").dropDuplicates(["key"]), "sets")
+    posts = sets.select(F.explode("prefix").alias("h"), "key", "fp", "n")
+    often = posts.groupBy("h").count().where("count > 1").select("h")
+    shared = spool(posts.join(often, "h"), "shared")
+    # A set's place in the orders is the same for all its hashes, so that sets alike meet the same leads.
+    first = shared.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("at"), "key", "fp", "n")).alias(f"lead{i}") for i in range(LEADS)))
+    leads = F.array_distinct(F.array(*(F.struct(*(F.col(f"lead{i}.{c}").alias(c) for c in ("key", "fp", "n"))) for i in range(LEADS))))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius) & (least[1] * F.least("n", "lead.n") >= least[0] * F.greatest("n", "lead.n"))
+    stars = shared.join(first.select("h", leads.alias("leads")), "h").withColumn("lead", F.explode("leads")).where((F.col("key") != F.col("lead.key")) & near).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
+    found = _alike(spool(stars, "pairs"), sets, least)
+    of = components(found).withColumnRenamed("node", "key")
+    placed = spool(shared.join(of, "key", "left").select("h", "key", "fp", "n", F.coalesce("root", "key").alias("root")), "placed")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("h", F.ceil(F.col("c") / BUCKET).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    tiled = placed.join(mixed, "h").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = tiled.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "key", "fp", "n")
+    k = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(k, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across(radius, least), "a long, b long")
+    more = _alike(spool(met.distinct(), "pairs"), sets, least)
+    for df in (shared, placed):
+        unspool(df)
+    return found.unionByName(more)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, radius: int = SIMILAR_RADIUS, least: tuple[int, int] = SIMILAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, less near copies: of each component the row of the least doc_id stays, of such rows any one.
+
+    Texts link where the sets of their shingles (size words, with A-Z lowered; shorter texts are one shingle) have
+    a Jaccard similarity of least or more, and SimHash fingerprints of these sets are within radius: at the least
+    similarity fingerprints differ in 10 bits of 64 on average, with a deviation of 3, so that about one pair in
+    70,000 lies beyond 22. Hashes of 64 bits stand for shingles. Null texts count as empty, and texts without
+    words are alike; long texts are taken whole. A null doc_id comes after all others. Of rows that repeat doc_id
+    and text one stays. Ties are settled by a digest. An empty table gives none; columns may have any names.
     """
-    groups = near_groups(docs, radius, id_col, text_col)
-    gone = spool(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= broadcast_ids
-    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    written = shingle_sets(docs, id_col, text_col, size, least)
+    rooted = components(similar_links(written, radius, least)).withColumnRenamed("node", "key")
+    rows = spool(written.select("id", "row", "key").join(rooted, "key", "left").select("id", "row", F.coalesce("root", "key").alias("root")), "rows")
+    unspool(written)
+    # The name of each component with more than one row
+    named = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("name.row").alias("name"))
+    members = rows.join(spool(named, "named"), "root").groupBy("row").agg(F.max(F.col("row") == F.col("name")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = spool(members.where("not stays or n > 1").select(F.col("row").alias("_gone"), "stays"), "gone")
+    out = without(docs, gone.select("_gone"), id_col, text_col, broadcast_bytes)
+    twins = gone.where("stays").select("_gone")
+    return out if twins.isEmpty() else out.unionByName(one_of_each(docs, twins, id_col, text_col, broadcast_bytes))

@@ -200,8 +200,8 @@ def test_simhash_corpus(spark, sf, corpus):
 def test_simhash_edges(spark):
     assert as_groups(simhash.near_groups(edge_docs(spark))) == slow_groups(EDGE)
     assert simhash.near_groups(edge_docs(spark, [])).count() == 0
-    for most in (simhash.BROADCAST_IDS, 0):
-        kept = simhash.drop_near_copies(edge_docs(spark), broadcast_ids=most)
+    for most in (exact.BROADCAST_BYTES, 0):
+        kept = simhash.drop_near_copies(edge_docs(spark), broadcast_bytes=most)
         assert kept.columns == edge_docs(spark).columns
         assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3, 5, 6, 7]
 
@@ -524,8 +524,9 @@ def slow_exact(rows):
     out = collections.Counter()
     for t, ids in by.items():
         keep = max((i for i in ids if i is not None), default=None)
-        for i in ids:
-            out[i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+        stays = ids.index(keep)  # of rows that repeat the kept one, one
+        for k, i in enumerate(ids):
+            out[i, keep, len(ids), k == stays, hashlib.sha256(t.encode()).hexdigest()] += 1
     return out
 
 
@@ -540,17 +541,35 @@ def test_exact(spark, sf, corpus, broadcast):
 def test_exact_filter_spares_singles(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.range(20_000).select(F.sha2(F.concat(F.lit("x"), F.when(F.col("id") < 50, 0).otherwise(F.col("id")).cast("string")), 256).alias("_digest"))
+    rows = spark.range(20_000).select(F.unhex(F.sha2(F.concat(F.lit("x"), F.when(F.col("id") < 50, 0).otherwise(F.col("id")).cast("string")), 256)).alias("_digest"))
     seen = exact.possible_repeats(rows, 19).groupBy("_maybe").count().collect()
     maybe = next(r["count"] for r in seen if r._maybe)
     assert 50 <= maybe < 1000
 
 
-def test_exact_tables(spark):
+@pytest.mark.parametrize("broadcast", [exact.BROADCAST_BYTES, 0])
+def test_exact_tables(spark, sf, corpus, broadcast):
     assert exact.exact_groups(edge_docs(spark, [])).count() == 0
-    kept = exact.drop_exact_copies(edge_docs(spark))
+    assert exact.drop_exact_copies(edge_docs(spark, []), broadcast_bytes=broadcast).count() == 0
+    kept = exact.drop_exact_copies(edge_docs(spark), broadcast_bytes=broadcast)
     assert kept.columns == edge_docs(spark).columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 2, 4, 5, 6, 7, 8]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8]
+    nameless = edge_docs(spark, [(None, "a b"), (None, "a b"), (None, None), (3, ""), (None, "c")])
+    assert sorted((r.doc_id or 0, r.text or "") for r in exact.drop_exact_copies(nameless, broadcast_bytes=broadcast).collect()) == [(0, "a b"), (0, "c"), (3, "")]
+    assert collections.Counter(tuple(r) for r in exact.exact_groups(nameless, broadcast_bytes=broadcast).collect()) == slow_exact([(r.doc_id, r.text) for r in nameless.collect()])
+    got = [r.doc_id for r in exact.drop_exact_copies(docs_of(spark, sf), broadcast_bytes=broadcast).select("doc_id").collect()]
+    assert sorted(got) == sorted(k[0] for k in slow_exact(corpus) if k[3])
+
+
+def test_no_text_moves_without_a_hit(spark):
+    """Beyond the broadcast, what a small filter doesn't know passes straight through; the others meet their keys."""
+    docs = edge_docs(spark, [(i, f"text {i}") for i in range(3000)])
+    key = exact.row_key(docs.doc_id, exact.text_digest("text"))
+    gone = docs.where("doc_id % 100 = 0").select(key.alias("_gone")).cache()
+    out = exact.without(docs, gone, "doc_id", "text", 0)
+    assert sorted(r.doc_id for r in out.collect()) == [i for i in range(3000) if i % 100]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" in plan
 
 
 def test_exact_is_native(spark):
