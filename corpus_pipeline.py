@@ -1,4 +1,4 @@
-"""Documents to packed training sequences: six stages, each written as Parquet and reread as the next one's documents."""
+"""Documents to packed training sequences: five stages, each written as Parquet and reread as the next one's documents."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corestrata.llm import exact, jaccard, packing, quality, secrets, simhash
+from corestrata.llm import exact, packing, quality, secrets, simhash
 from corestrata.llm.common import read, scratch
 
 
@@ -22,15 +22,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document that names it stays."""
+    """Of texts that are near copies (SimHash over five words, confirmed at a Jaccard similarity of 0.8 or more) one stays."""
     return simhash.drop_near_copies(docs)
 
 
-def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that five-word shingles of a Jaccard similarity of 0.8 or more link, which lie mostly beyond the SimHash radius, one stays."""
-    return jaccard.drop_similar(docs)
-
-
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by marks; every document stays, with n_chars as it then is."""
     from pyspark.sql import functions as F
@@ -44,7 +39,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("similar", similar_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
 
 #: SQL expresses neither the classifier nor the tokenizer; tests hold the stages against brute force instead.
 ORACLE_SQL = None
