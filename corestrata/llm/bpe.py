@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -133,14 +135,58 @@ def merge_words(words: list[bytes], first: np.ndarray, pairs: PairTable, final:
     return out
 
 
+_CLASS = re.compile(r"\\[pP]\{\^?\w+\}|\\[sSdDwW]")
+
+
+@functools.cache
+def _members(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """By code point, whether a class such as \\p{L} holds it, for the tiktoken library and for regex: their tables are of different versions of Unicode."""
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    out = np.zeros((2, 0x110000), bool)
+    for row, found in zip(out, (bytes(library.encode_ordinary(every)).decode(), "".join(regex.findall(name, every))), strict=True):
+        row[np.frombuffer(found.encode("utf-32-le"), "<u4")] = True
+    return out[0], out[1]
+
+
+def _ranges(members: np.ndarray) -> str:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], members, [False]))))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+def plain_classes(pattern: str) -> tuple[str, str]:
+    """The pattern with the library's members of each class written out, and a pattern of the code points on which regex has others ("" for none)."""
+    out, at, odd = [], 0, np.zeros(0x110000, bool)
+    for m in _CLASS.finditer(pattern):
+        between = pattern[at : m.start()]
+        if (len(between) - len(between.rstrip("\\"))) % 2:  # an escaped backslash, and no class
+            continue
+        ours, theirs = _members(m[0])
+        odd |= ours != theirs
+        before = re.sub(r"\\.", "", pattern[: m.start()])
+        inside = before.rfind("[") > before.rfind("]")
+        out += [between, _ranges(ours) if inside else f"[{_ranges(ours)}]"]
+        at = m.end()
+    return "".join([*out, pattern[at:]]), f"[{_ranges(odd)}]" if odd.any() else ""
+
+
 class BytePairs:
-    """Encodes and decodes as the tiktoken library does with these ranks and this pattern, without special tokens."""
+    """Encodes and decodes as the tiktoken library does with these ranks and this pattern, without special tokens.
 
-    def __init__(self, path: str, pattern: str):
+    classes: what plain_classes(pattern) gives, if that is at hand. Texts with a code point on which the two
+    libraries' classes differ are split by the pattern that has the members written out.
+    """
+
+    def __init__(self, path: str, pattern: str, classes: tuple[str, str] | None = None):
         import regex
 
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
+        self.written, odd = classes or plain_classes(pattern)
+        self.odd = re.compile(odd).search if odd else None
         ranks = self.ranks
         self.pairs = PairTable({(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks})
         self.bytes_of = {r: t for t, r in self.ranks.items()}
@@ -183,11 +229,18 @@ class BytePairs:
                 heapq.heappush(heap, (s, p, age[p], age[i]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
+    def split(self, text: str) -> list[str]:
+        if self.odd is None or text.isascii() or not self.odd(text):
+            return self.pattern.findall(text)
+        import regex
+
+        return regex.findall(self.written, text)  # which keeps compiled patterns
+
     def encode(self, some: list[str]) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit numbers; distinct pieces of all texts are merged together, once."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        split = [self.pattern.findall(t) for t in some]
+        split = [self.split(t) for t in some]
         missing = list(set().union(*split).difference(self.known)) if split else []
         once: dict[str, bytes] = {}
         for w, ids in zip(missing, self.pieces([w.encode() for w in missing]), strict=True):
@@ -200,8 +253,10 @@ class BytePairs:
 
 
 def _digests(path: str, pattern: str):
+    classes = plain_classes(pattern)
+
     def run(source):
-        coder = BytePairs(path, pattern)
+        coder = BytePairs(path, pattern, classes)
         name = list(map(str, range(max(coder.bytes_of) + 1)))
 
         def make(batch):
@@ -219,17 +274,17 @@ def _digests(path: str, pattern: str):
 
 
 def _encoded(path: str, pattern: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema, classes = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), plain_classes(pattern)
 
     def run(source):
-        coder = BytePairs(path, pattern)
+        coder = BytePairs(path, pattern, classes)
         yield from batches(source, lambda b: [b.column(0), pa.array([x.astype(np.int32) for x in coder.encode(texts(b.column(1)))], pa.list_(pa.int32()))], schema)
 
     return run
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of whole texts; null counts as empty, of no ids; repeated rows each give a row."""
+    """(doc_id, ids) of whole texts of any length; null counts as empty, of no ids; repeated rows each give a row; null doc_ids stay null; an empty table gives no rows. Pairs of equal rank merge leftmost first. Further columns are not read, whatever they are called."""
     return pair(docs, id_col, text_col).selectExpr("cast(_id as long)", "_value").mapInArrow(_encoded(ranks_path, pattern), "doc_id long, ids array<int>")
 
 
@@ -245,5 +300,5 @@ def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids. Null texts count as empty; an empty table gives no rows. No shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids; nulls, empty and long texts, ties, repeated rows and further columns as in encode_texts(). No shuffle."""
     return pair(docs, id_col, text_col).selectExpr("cast(_id as long)", "_value").mapInArrow(_digests(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
