@@ -26,18 +26,19 @@ def row_key(id_col: Column, digest: Column) -> Column:
     return F.unhex(F.sha2(F.encode(F.concat_ws(":", F.hex(digest), id_col.cast("string")), "UTF-8"), 256))
 
 
-def _cells(digest: Column, bits: int, probes: int = 2) -> list[Column]:
+def cells(digest: Column, bits: int, probes: int = 2) -> list[Column]:
     """Probes from disjoint bits of a SHA-256."""
     return [F.conv(F.hex(F.substring(digest, 1 + 8 * i, 7)), 16, 10).cast("long").bitwiseAND((1 << bits) - 1) for i in range(probes)]
 
 
-def _bitmaps(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(F.bitmap_bucket_number(F.col("cell")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell"))).alias("_map"))
+def bitmaps(hit: DataFrame) -> DataFrame:
+    """Spark's bitmaps of cells (cell long): bucket numbers and maps."""
+    return hit.groupBy(F.bitmap_bucket_number(F.col("cell")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell"))).alias("_map"))
 
 
 def _repeated_cells(hashes: DataFrame, bits: int) -> DataFrame:
     """First pass: bitmaps of the cells that two rows or more hit. Only cell numbers are counted, pre-aggregated in each task."""
-    return _bitmaps(hashes.select(F.explode(F.array(*_cells(F.col("_digest"), bits))).alias("cell")).groupBy("cell").count().where("count > 1"))
+    return bitmaps(hashes.select(F.explode(F.array(*cells(F.col("_digest"), bits))).alias("cell")).groupBy("cell").count().where("count > 1"))
 
 
 def _bit(cell: Column, bitmap: Column) -> Column:
@@ -47,12 +48,12 @@ def _bit(cell: Column, bitmap: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def _marked(rows: DataFrame, digest: str, maps: DataFrame, bits: int, probes: int, small: bool) -> DataFrame:
+def marked(rows: DataFrame, digest: str, maps: DataFrame, bits: int, probes: int, small: bool) -> DataFrame:
     """rows plus _maybe: whether the bitmaps have all cells of the digest."""
     if small:
         maps = F.broadcast(maps)
     out = rows
-    for i, cell in enumerate(_cells(F.col(digest), bits, probes)):
+    for i, cell in enumerate(cells(F.col(digest), bits, probes)):
         own = maps.select(F.col("_bucket").alias(f"_b{i}"), F.col("_map").alias(f"_m{i}"))
         out = out.join(own, F.bitmap_bucket_number(cell) == F.col(f"_b{i}"), "left").withColumn(f"_h{i}", _bit(cell, F.col(f"_m{i}"))).drop(f"_b{i}", f"_m{i}")
     hits = [F.col(f"_h{i}") for i in range(probes)]
@@ -61,7 +62,7 @@ def _marked(rows: DataFrame, digest: str, maps: DataFrame, bits: int, probes: in
 
 def possible_repeats(rows: DataFrame, bits: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Second pass: rows (with _digest) plus _maybe, true where both cells of the digest were hit twice or more."""
-    return _marked(rows, "_digest", _repeated_cells(rows.select("_digest"), bits), bits, 2, (1 << bits) // 8 <= broadcast_bytes)
+    return marked(rows, "_digest", _repeated_cells(rows.select("_digest"), bits), bits, 2, (1 << bits) // 8 <= broadcast_bytes)
 
 
 def _passes(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -93,30 +94,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(maybe).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of docs whose row_key() isn't in gone (_gone binary, distinct, written).
+def _split(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Rows of docs as (_own struct, _key) that may be in keys (_gone binary, distinct, written), those that cannot, and keys as they are to be joined.
 
-    gone is counted. Up to broadcast_bytes it is broadcast, and no text moves. Beyond, a filter of at most
-    broadcast_bytes is: rows that it doesn't know pass straight through, and only the others shuffle.
+    keys is counted. Up to broadcast_bytes it is broadcast, no text moves, and there is no second part. Beyond, a
+    filter of at most broadcast_bytes is: rows that it doesn't know make the second part, and only others shuffle.
     """
-    names, key = docs.columns, row_key(F.col(f"`{id_col}`"), text_digest(text_col))
-    n = gone.count()
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("_key"))
+    n = keys.count()
     if n * KEY_BYTES <= broadcast_bytes:
-        return docs.join(F.broadcast(gone), key == F.col("_gone"), "left_anti")
+        return own, None, F.broadcast(keys)
     bits = max(15, min((n * CELLS_A_ROW - 1).bit_length(), (broadcast_bytes * 8).bit_length() - 1))
-    maps = _bitmaps(gone.select(_cells(F.col("_gone"), bits, 1)[0].alias("cell")))
-    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_own")
-    seen = _marked(docs.select(row, key.alias("_key")), "_key", maps, bits, 1, True)
-    through = seen.where("not _maybe").select("_own.*")
-    return through.unionByName(seen.where("_maybe").join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_own.*"))
+    seen = marked(own, "_key", bitmaps(keys.select(cells(F.col("_gone"), bits, 1)[0].alias("cell"))), bits, 1, True)
+    return seen.where("_maybe"), seen.where("not _maybe"), keys
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose row_key() isn't in gone (_gone binary, distinct, written)."""
+    maybe, through, gone = _split(docs, gone, id_col, text_col, broadcast_bytes)
+    out = maybe.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_own.*")
+    return out if through is None else through.select("_own.*").unionByName(out)
+
+
+def only(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(_own struct, _key) of the rows of docs whose row_key() is in keys (_gone binary, distinct, written)."""
+    maybe, _, keys = _split(docs, keys, id_col, text_col, broadcast_bytes)
+    return maybe.join(keys, F.col("_key") == F.col("_gone"), "left_semi")
 
 
 def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row of docs for each of keys (_gone binary, distinct, written), of those that share a row_key(). Only such rows shuffle."""
-    few = keys.count() * KEY_BYTES <= broadcast_bytes
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("_key"))
-    found = own.join(F.broadcast(keys) if few else keys, F.col("_key") == F.col("_gone"), "left_semi")
-    return found.groupBy("_key").agg(F.first("_own").alias("_own")).select("_own.*")
+    return only(docs, keys, id_col, text_col, broadcast_bytes).groupBy("_key").agg(F.first("_own").alias("_own")).select("_own.*")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.llm.common import batches, bounded_batches, pair, spool, texts, unspool
-from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, row_key, text_digest, without
+from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, only, row_key, text_digest, without
 from corestrata.llm.graph import components
 
 SEED = 42
@@ -16,20 +16,20 @@ SHINGLE = 3
 RADIUS = 2
 #: Fingerprints that one bucket compares at once; larger buckets are divided by further bits.
 BUCKET = 4096
-#: So many 64-bit keys are broadcast at most (16 MB).
-BROADCAST_IDS = 1 << 20
 #: Near copies by similarity: words of a shingle, the similarity as a fraction, and a radius that next to no pair of that similarity exceeds.
 SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, (4, 5), 22
-#: Texts that are looked at for common shingles, and so many of these are told to the tasks at most. Both bear on the order alone.
-SAMPLE, COMMON = 1 << 15, 1 << 18
-#: Sets that those which share a hash are held against before any pairs are made; bears on the work alone.
-LEADS = 6
+#: Bands of least hashes, of which sets of similarity 0.8 share one but for 1 in 40,000: 1 - 0.8 ** 4, to the power of 20.
+BANDS, ROWS_A_BAND = 20, 4
+#: Members of a part of a tile, and hashes of their sets, at most about; a tile compares two parts.
+TILE, TILE_HASHES = 1024, 1 << 18
 #: Pairs of a query and a word of 64 lanes that are under way at a time.
 UNDER_WAY = 1 << 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_SETS = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_TURN, _MULTIPLY = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS_A_BAND), np.uint64)
+_MULTIPLY |= np.uint64(1)
 _LINKS = pa.schema([("node", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -291,67 +291,110 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each of ROWS_A_BAND least hashes under mixing functions of their own; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(len(_MULTIPLY), _ALL)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096].view(np.uint64)
+        np.minimum(least, ((part[:, None] ^ _TURN) * _MULTIPLY).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS_A_BAND).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
-def _sets(size: int, least: tuple[int, int], common):
+def _signatures(size: int):
     def run(source):
         from xxhash import xxh64_intdigest
 
-        known, counts = common.value if common is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-
         def make(batch):
             own = [shingle_set(t, size) for t in texts(batch.column(2))]
             keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
-            fps = [set_fingerprint(s) for s in own]
-            if len(known):
-                seen = []
-                for s in own:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    seen.append(s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")])
-                own = seen
-            n = np.array([len(s) for s in own], np.int64)
-            p = np.where(n > 0, n - -(-n * least[0] // least[1]) + 1, 0).tolist()
-            return [batch.column(0), batch.column(1), keys, fps, n, _lists([s[:k] for s, k in zip(own, p, strict=True)]), _lists([s[k:] for s, k in zip(own, p, strict=True)])]
+            return [batch.column(0), batch.column(1), keys, [set_fingerprint(s) for s in own], [len(s) for s in own], _lists([bands(s) for s in own])]
 
         for batch in source:
             for k in range(0, batch.num_rows, 250):
-                yield from batches([batch.slice(k, 250)], make, _SETS)
+                yield from batches([batch.slice(k, 250)], make, _SIGNED)
 
     return run
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, least: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(id, row, key, fp, n, prefix, rest) for each row, written: row is its row_key(), key stands for the set, fp is its fingerprint, prefix and rest are its n hashes in one order for all rows.
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
-    Any order gives the same links; here those that a sample shows to be common come last, by their count.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS) -> DataFrame:
+    """(id, row, key, fp, n, bands) for each row, written: row is its row_key(), key stands for the set of its n shingles, fp is the set's fingerprint."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("row"), F.col(f"`{text_col}`").alias("value"))
-    shape = "id long, row binary, key long, fp long, n long, prefix array<long>, rest array<long>"
-    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
-    seen = some.mapInArrow(_sets(size, least, None), shape).select(F.explode(F.concat("prefix", "rest")).alias("h")).groupBy("h").count().where("count > 1")
-    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    known, counts = (c.to_numpy().astype(np.int64) for c in top.columns)
-    order = np.argsort(known)
-    return spool(rows.mapInArrow(_sets(size, least, spark.sparkContext.broadcast((known[order], counts[order]))), shape), "shingles")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) of sets that are similar, by the whole sets; written. Only sets that pairs name are moved."""
-    named = spool(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "named")
-    few = named.count() <= BROADCAST_IDS
-    whole = spool(sets.join(F.broadcast(named) if few else named, "key", "left_semi").select("key", "n", F.concat("prefix", "rest").alias("h")), "whole")
-    both = pairs
-    for side in ("a", "b"):
-        both = both.join(whole.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("h").alias(f"h{side}")), side)
-    common = F.size(F.array_intersect("ha", "hb"))
-    out = spool(both.where((least[0] + least[1]) * common >= least[0] * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
-    for df in (named, whole):
-        unspool(df)
+    return spool(rows.mapInArrow(_signatures(size), "id long, row binary, key long, fp long, n long, bands array<long>"), "signatures")
+
+
+def _sets(size: int):
+    schema = pa.schema([("key", pa.int64()), ("h", pa.list_(pa.int64()))])
+
+    def run(source):
+        from xxhash import xxh64_intdigest
+
+        def make(batch):
+            own = [shingle_set(t, size) for t in texts(batch.column(0))]
+            return [np.array([xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64), _lists(own)]
+
+        yield from batches(source, make, schema)
+
+    return run
+
+
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets as rows of bits, 64 to a word: a bit for each hash that two sets or more hold."""
+    flat = np.concatenate(sets)
+    known, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[column >= 0]
+    column = column[column >= 0]
+    out = np.zeros((len(sets), -(-int((count > 1).sum()) // 64) or 1), np.uint64)
+    np.bitwise_or.at(out, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return out
+
+
+def tile_links(members: np.ndarray, sets: list[np.ndarray], buckets: np.ndarray, radius: int, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links of tiles (equal buckets adjoin): of pairs within radius whose components differ, as many that are similar as unite those that are. members: i, j, part, root, key, fp, n by row."""
+    i, j, part, root, key, fp, n = members.T
+    own = {int(r): int(r) for r in root}
+
+    def top(r):
+        while own[r] != r:
+            own[r] = r = own[own[r]]
+        return r
+
+    starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+    ends = np.r_[starts[1:], len(buckets)]
+    out, bits, at = [], None, -1
+    for x, y in bucket_hits(fp.view(np.uint64).copy(), buckets, radius):
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        ok = (root[x] != root[y]) & (least[1] * small >= least[0] * large) & ((i[x] == j[x]) | (part[x] != part[y]))
+        x, y = x[ok], y[ok]
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        edges = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else x
+        for a, b in zip(edges.tolist(), np.r_[edges[1:], len(x)].tolist(), strict=True):
+            q, others = int(x[a]), y[a:b]
+            if b - a > 8:
+                home = int(np.searchsorted(starts, q, "right")) - 1
+                if home != at:
+                    bits, at = _bits(sets[starts[home] : ends[home]]), home
+                common = np.bitwise_count(bits[others - starts[home]] & bits[q - starts[home]]).sum(axis=1, dtype=np.int64)
+            else:
+                common = np.array([len(np.intersect1d(sets[q], sets[o], assume_unique=True)) for o in others.tolist()], np.int64)
+            for o in others[sum(least) * common >= least[0] * (n[q] + n[others])].tolist():
+                r, t = top(int(root[q])), top(int(root[o]))
+                if r != t:
+                    own[max(r, t)] = min(r, t)
+                    out.append((int(key[q]), int(key[o])))
     return out
 
 
@@ -359,68 +402,71 @@ def _across(radius: int, least: tuple[int, int]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(source):
-        """Rows sorted by (h, i, j): of each tile's members all pairs within radius whose components differ and whose sizes allow the similarity; where i < j, of a member of part i and one of part j alone."""
-        held, count = [], 0
+        """Rows sorted by (h, i, j): a tile's members, of part i and of part j; where i < j, only pairs of one of each are looked at."""
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        size = 0
 
-        def flush(rows, last):
+        def flush(last):
+            rows, sets = np.concatenate([x for x, _ in held]), [s for _, some in held for s in some]
             new = np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]
-            bucket = np.cumsum(new)
             stop = len(rows) if last else int(np.flatnonzero(new)[-1])
-            done, bucket = rows[:stop], bucket[:stop]
-            if stop > 1:
-                _, i, j, part, root, key, fp, n = done.T
-                for x, y in bucket_hits(fp.view(np.uint64).copy(), bucket, radius):
-                    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                    ok = (root[x] != root[y]) & (least[1] * small >= least[0] * large) & ((i[x] == j[x]) | (part[x] != part[y]))
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x[ok]], key[y[ok]])), pa.array(np.maximum(key[x[ok]], key[y[ok]]))], schema=schema)
-            return rows[stop:]
+            found = tile_links(rows[:stop, 1:], sets[:stop], np.cumsum(new)[:stop], radius, least) if stop else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
+            return rows[stop:], sets[stop:]
 
         for batch in source:
-            if batch.num_rows:
-                held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1))
-                count += batch.num_rows
-                if count >= 8 * BUCKET:
-                    rest = yield from flush(np.concatenate(held), False)
-                    held, count = [rest], len(rest)
-        if count:
-            yield from flush(np.concatenate(held), True)
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                ends, flat = some.column(8).offsets.to_numpy(), some.column(8).values.to_numpy(zero_copy_only=False)
+                sets = [flat[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                held.append((np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in some.columns[:8]], axis=1), sets))
+                size += int(ends[-1] - ends[0]) + some.num_rows
+                if size >= 4 * TILE_HASHES:
+                    rest = yield from flush(False)
+                    held, size = [rest], sum(map(len, rest[1])) + len(rest[1])
+        if held:
+            yield from flush(True)
 
     return run
 
 
-def similar_links(written: DataFrame, radius: int = SIMILAR_RADIUS, least: tuple[int, int] = SIMILAR) -> DataFrame:
-    """shingle_sets() -> links (a, b) of keys that join all sets of similarity least or more whose fingerprints are within radius, and none below.
+def similar_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, radius: int = SIMILAR_RADIUS, least: tuple[int, int] = SIMILAR, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """signatures() of docs -> links (a, b) of keys that join all sets of similarity least or more, as far as bands and radius reach, and none below.
 
-    Similar sets share a hash of their prefixes (Chaudhuri et al., 2006; Bayardo et al., 2007), so a bucket for
-    each such hash brings all of them together. First each set is held against a few of its buckets, the least in
-    LEADS orders; what this unites is one component, however many copies it has. Then buckets in which components
-    meet are compared bit-sliced, in tiles of bounded size. The pairs found are checked by the whole sets.
+    Sets that share a band meet in its bucket. First each is held against one of its bucket; what the pairs found
+    unite is one component, however many copies it has. Then buckets in which components meet are compared
+    bit-sliced, in tiles of bounded size, and pairs within radius are decided there by the whole sets, so that no
+    more links leave a tile than unite its members. Sets are made anew, from the texts of documents that share a band.
     """
-    one = written.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("c"))
-    twice = spool(one.where("c > 1").select("key", "row"), "twice")
-    sets = written.where("n > 0")
-    if not twice.isEmpty():  # of equal sets one row serves
-        sets = spool(sets.join(twice.select("key", F.col("row").alias("first")), "key", "left").where("first is null or row = first").drop("first").dropDuplicates(["key"]), "sets")
-    posts = sets.select(F.explode("prefix").alias("h"), "key", "fp", "n")
-    often = posts.groupBy("h").count().where("count > 1").select("h")
-    shared = spool(posts.join(often, "h"), "shared")
-    # A set's place in the orders is the same for all its hashes, so that sets alike meet the same leads.
-    first = shared.groupBy("h").agg(*(F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("at"), "key", "fp", "n")).alias(f"lead{i}") for i in range(LEADS)))
-    leads = F.array_distinct(F.array(*(F.struct(*(F.col(f"lead{i}.{c}").alias(c) for c in ("key", "fp", "n"))) for i in range(LEADS))))
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius) & (least[1] * F.least("n", "lead.n") >= least[0] * F.greatest("n", "lead.n"))
-    stars = shared.join(first.select("h", leads.alias("leads")), "h").withColumn("lead", F.explode("leads")).where((F.col("key") != F.col("lead.key")) & near).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-    found = _alike(spool(stars, "pairs"), sets, least)
+    some = signed.where("n > 0")
+    if some.agg(F.count(F.lit(1)) > F.count_distinct("key")).first()[0]:  # of equal sets one serves
+        some = spool(some.groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    posts = some.select(F.explode("bands").alias("h"), "key")
+    met = spool(posts.groupBy("h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    shared = spool(posts.join(F.broadcast(met) if met.count() * 32 <= broadcast_bytes else met, "h").select("h", "key", "lead"), "shared")
+    named = spool(shared.select("key").distinct(), "named")
+    slim = spool(some.select("key", "row", "fp", "n").join(F.broadcast(named) if named.count() * 16 <= broadcast_bytes else named, "key", "left_semi"), "slim")
+    texts_ = only(docs, slim.select(F.col("row").alias("_gone")), id_col, text_col, broadcast_bytes).groupBy("_key").agg(F.first(F.col("_own")[text_col]).alias("value"))
+    sets = spool(texts_.select("value").mapInArrow(_sets(size), "key long, s array<long>"), "sets")
+
+    stars = shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    a, b = (slim.select(F.col("key").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius) & (least[1] * F.least("na", "nb") >= least[0] * F.greatest("na", "nb"))
+    pairs = spool(stars.join(a, "a").join(b, "b").where(near).select("a", "b"), "pairs")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = spool(both.where(sum(least) * common >= least[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+
     of = components(found).withColumnRenamed("node", "key")
-    placed = spool(shared.join(of, "key", "left").select("h", "key", "fp", "n", F.coalesce("root", "key").alias("root")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high").select("h", F.ceil(F.col("c") / BUCKET).cast("long").alias("parts"))
-    part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    tiled = placed.join(mixed, "h").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = tiled.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "key", "fp", "n")
-    k = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(k, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across(radius, least), "a long, b long")
-    more = _alike(spool(met.distinct(), "pairs"), sets, least)
-    for df in (shared, placed):
+    placed = spool(shared.select("h", "key").join(slim.join(of, "key", "left").select("key", "fp", "n", F.coalesce("root", "key").alias("root")), "key"), "placed")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_HASHES)).cast("long")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts")).where("low < high").select("h", "parts")
+    tiled = placed.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = tiled.join(sets, "key").select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "key", "fp", "n", "s")
+    k = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = spool(rows.repartition(k, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across(radius, least), "a long, b long"), "more")
+    for df in (met, shared, named, slim, sets, pairs, placed):
         unspool(df)
     return found.unionByName(more)
 
@@ -429,14 +475,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, with all their columns, less near copies: of each component the row of the least doc_id stays, of such rows any one.
 
     Texts link where the sets of their shingles (size words, with A-Z lowered; shorter texts are one shingle) have
-    a Jaccard similarity of least or more, and SimHash fingerprints of these sets are within radius: at the least
-    similarity fingerprints differ in 10 bits of 64 on average, with a deviation of 3, so that about one pair in
-    70,000 lies beyond 22. Hashes of 64 bits stand for shingles. Null texts count as empty, and texts without
+    a Jaccard similarity of least or more, their SimHash fingerprints are within radius, and they share a band of
+    least hashes. At a similarity of 0.8 fingerprints differ in 10 bits of 64 on average, with a deviation of 3,
+    so that about one pair in 70,000 lies beyond 22; and one in 40,000 shares none of 20 bands of 4. Every pair
+    that meets is then decided by the whole sets. Hashes of 64 bits stand for shingles. Null texts count as empty, and texts without
     words are alike; long texts are taken whole. A null doc_id comes after all others. Of rows that repeat doc_id
     and text one stays. Ties are settled by a digest. An empty table gives none; columns may have any names.
     """
-    written = shingle_sets(docs, id_col, text_col, size, least)
-    rooted = components(similar_links(written, radius, least)).withColumnRenamed("node", "key")
+    written = signatures(docs, id_col, text_col, size)
+    rooted = components(similar_links(docs, written, id_col, text_col, size, radius, least, broadcast_bytes)).withColumnRenamed("node", "key")
     rows = spool(written.select("id", "row", "key").join(rooted, "key", "left").select("id", "row", F.coalesce("root", "key").alias("root")), "rows")
     unspool(written)
     # The name of each component with more than one row

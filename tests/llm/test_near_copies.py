@@ -46,10 +46,9 @@ def test_edited_copies(spark, monkeypatch):
     rows += [(200 + i, " ".join(shared + [f"y{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 40))])) for i in range(60)]
     rows += [(300, "A b c"), (301, "a  B c"), (302, "a b"), (303, ""), (304, " \n"), (305, "a b c d e f"), (306, "a b c d e g")]
     rnd.shuffle(rows)
-    for bucket in (4096, 16):  # in one piece, and in tiles
-        monkeypatch.setattr(simhash, "BUCKET", bucket)
+    for tile in (1024, 16):  # in one piece, and in several
+        monkeypatch.setattr(simhash, "TILE", tile)
         assert sorted(r.doc_id for r in simhash.drop_near_copies(edge_docs(spark, rows)).collect()) == slow_kept(rows)
-    monkeypatch.setattr(simhash, "LEADS", 1)  # the tiles then find what the leads don't
     kept = simhash.drop_near_copies(edge_docs(spark, rows))
     assert kept.columns == edge_docs(spark).columns
     assert sorted(r.doc_id for r in kept.collect()) == slow_kept(rows)
