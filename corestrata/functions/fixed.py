@@ -1,16 +1,16 @@
-"""Formats and identities that other programs share, so that they must be exactly these."""
+"""What identities, formats and published algorithms prescribe. Names and domains are this engine's own, so its identities are not those of other programs."""
 
 # Domains of digests.
-PROFILE_DOMAIN = b"chunkshift.profile-fingerprint.v1\0"
-MANIFEST_DOMAIN = b"chunkshift.manifest-id.v1\0"
-SEQUENCE_DOMAIN = b"chunkshift.lab.chunk-sequence.v1\0"
+PROFILE_DOMAIN = b"corestrata.profile.v1\0"
+MANIFEST_DOMAIN = b"corestrata.manifest.v1\0"
+SEQUENCE_DOMAIN = b"corestrata.chunk-sequence.v1\0"
 # Hash suites.
-SHA256_SUITE = "chunkshift.sha256.v1"
-BLAKE3_SUITE = "chunkshift.blake3-256.v1"
+SHA256_SUITE = "corestrata.sha256.v1"
+BLAKE3_SUITE = "corestrata.blake3-256.v1"
 # The chunking algorithm and its registered profile.
-ALGORITHM = "fastcdc.gear.chunkshift.v1"
-STABLE_PROFILE = "fastcdc.gear.chunkshift.v1.64k"
-GEAR_TABLE = "chunkshift.fastcdc.gear.v1"
+ALGORITHM = "corestrata.gear.v1"
+STABLE_PROFILE = "corestrata.gear.v1.64k"
+GEAR_TABLE = "corestrata.gear-table.v1"
 GEAR_SHA256 = "91a3061015ae351cd3701852712bcd6aa4a1ce26c8a231d3969432b00f028f88"
 # Masks by number of bits, from 5 on.
 MASKS = (
@@ -38,18 +38,18 @@ MASKS = (
 )
 # Similarity features.
 RABIN_POLYNOMIAL = 0x003DA3358B4DC173
-TRANSFORM_LABEL = "PATCH-ENC-005/NTRANSFORM/"
-SUPER_FEATURE_DOMAIN = "PATCH-ENC-005/H6O/SF3"
-STRIDE_DOMAIN = "PATCH-ENC-005/INDEX-STRIDE"
+TRANSFORM_LABEL = "corestrata.feature-map/"
+SUPER_FEATURE_DOMAIN = "corestrata.super-feature.v1"
+STRIDE_DOMAIN = "corestrata.stride.v1"
 # The zstd dictionary magic, which raw dictionaries must not begin with.
 ZSTD_DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
 # The domain of tree identities.
-TREE_DOMAIN = b"chunkshift.patch-tree-candidate.t4a.v0\0"
+TREE_DOMAIN = b"corestrata.tree.v1\0"
 # Dictionary envelopes, each nested in the next: name, most references, most bytes of the dictionary, bits of the window.
 ENVELOPES = (
-    ("G1-H0", 4, 1 << 20, 20),
-    ("G1-B1-R64", 64, 1 << 20, 20),
-    ("G1-B4-R256", 256, 4 << 20, 23),
-    ("G1-B8-R512", 512, 8 << 20, 24),
-    ("G1-B32-R2048", 2048, 32 << 20, 26),
+    ("refs4-1m", 4, 1 << 20, 20),
+    ("refs64-1m", 64, 1 << 20, 20),
+    ("refs256-4m", 256, 4 << 20, 23),
+    ("refs512-8m", 512, 8 << 20, 24),
+    ("refs2048-32m", 2048, 32 << 20, 26),
 )

@@ -73,14 +73,12 @@ class Profile:
 
     @property
     def profile_id(self) -> str:
-        return f"fastcdc.gear.candidate.v1.m{self.minimum}.t{self.target}.x{self.maximum}"
+        return f"corestrata.gear.v1.{self.minimum}-{self.target}-{self.maximum}"
 
     def fingerprint(self) -> str:
         semantics = {
-            "algorithm": fixed.ALGORITHM, "minimum": self.minimum, "target": self.target, "maximum": self.maximum, "normalization": 1,
-            "gearTable": fixed.GEAR_TABLE, "gearTableSha256": fixed.GEAR_SHA256, "gearSeed": 0, "maskRule": "canonical-mask-table.bits-plus-minus-1",
-            "strictMask": f"{self.strict:016x}", "relaxedMask": f"{self.relaxed:016x}", "arithmetic": "uint64-wrap",
-            "cutPredicate": "gear-and-mask-equals-zero", "forcedCut": "maximum", "eof": "emit-final-remainder",
+            "algorithm": fixed.ALGORITHM, "sizes": [self.minimum, self.target, self.maximum], "warm": self.warm, "table": [fixed.GEAR_TABLE, fixed.GEAR_SHA256],
+            "masks": [f"{self.strict:016x}", f"{self.relaxed:016x}"], "cut": "before the byte whose masked hash is zero, else at the maximum or the end",
         }
         return semantics_fingerprint(json.dumps({"semantics": semantics}))
 

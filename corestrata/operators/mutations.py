@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,16 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.functions.cutting import cut
-from corestrata.functions.hashing import SplitMix
 from corestrata.functions.profiles import Profile
 
 KINDS = ("insert", "prepend", "append", "delete", "overwrite", "localized-rewrite", "random-rewrite", "move", "reorder", "identity")
-#: What the seeds of the two overwriting edits are combined with.
-OVERWRITE_SALT, LOCALIZED_SALT = 0x0A11, 0x10CA1
 
 
 @dataclass(frozen=True)
 class Edit:
+    """A target; the stretch of it outside of which it is the source; and so many changed bytes, counted on a basis."""
+
     target: bytes
     start: int
     end: int
@@ -27,62 +27,66 @@ class Edit:
     basis: str
 
 
-def _measured(source: bytes, target: bytes) -> Edit:
-    where = np.flatnonzero(np.frombuffer(source, np.uint8) != np.frombuffer(target, np.uint8))
-    if not len(where):
-        return Edit(target, 0, 0, 0, "differing")
-    return Edit(target, int(where[0]), int(where[-1]) + 1, len(where), "differing")
+def draw(seed: int, what: str, limit: int) -> int:
+    """A number below limit that depends on the seed and on what it is for, so that no draw shifts another."""
+    return int.from_bytes(hashlib.blake2b(f"{what}/{seed}".encode(), digest_size=16).digest(), "little") % max(1, limit)
 
 
-def _place(choices: int, seed: int) -> int:
-    return SplitMix(seed).below(choices) if choices > 1 else 0
+def filler(seed: int, what: str, size: int) -> bytes:
+    return hashlib.shake_128(f"{what}/{seed}".encode()).digest(size)
 
 
-def mutate(source: bytes, kind: str, size: int, seed: int) -> Edit:
-    n = len(source)
+def pieces(kind: str, n: int, size: int, seed: int) -> tuple[list[tuple[int, int] | bytes], str]:
+    """The target of an edit of n bytes as stretches of the source and new bytes, in order, and the basis of counting. An edit that has no room gives the whole source."""
+    whole: list[tuple[int, int] | bytes] = [(0, n)]
     if kind == "identity":
-        return Edit(source, 0, 0, 0, "none")
+        return whole, "none"
     if size <= 0:
         raise ValueError("the size must be positive")
     if kind in ("insert", "prepend", "append"):
-        at = {"prepend": 0, "append": n}.get(kind, _place(n + 1, seed))
-        return Edit(source[:at] + SplitMix(seed).fill(size) + source[at:], at, at + size, size, "inserted")
-    if kind == "delete":
-        size = min(size, n)
-        if size == n:
-            return Edit(b"", 0, 0, size, "deleted")
-        at = _place(n - size + 1, seed)
-        return Edit(source[:at] + source[at + size :], at, at, size, "deleted")
-    if kind in ("overwrite", "localized-rewrite"):
+        at = {"prepend": 0, "append": n}.get(kind, draw(seed, "place", n + 1))
+        return [(0, at), filler(seed, "fill", size), (at, n)], "inserted"
+    if kind in ("delete", "overwrite"):
         size = min(size, n)
-        at = _place(n - size + 1, seed)
-        new = SplitMix(seed ^ (OVERWRITE_SALT if kind == "overwrite" else LOCALIZED_SALT)).fill(size)
-        return _measured(source, source[:at] + new + source[at + size :])
-    if kind == "random-rewrite":
-        target, numbers = bytearray(source), SplitMix(seed)
-        for _ in range(min(size, n)):
-            at = numbers.below(n)
-            target[at] ^= 1 + numbers.below(255)
-        return _measured(source, bytes(target))
+        at = draw(seed, "place", n - size + 1)
+        return [(0, at), filler(seed, "fill", size) if kind == "overwrite" else b"", (at + size, n)], "deleted" if kind == "delete" else "differing"
+    if kind in ("localized-rewrite", "random-rewrite"):  # single bytes: within a stretch of twice the size, or anywhere
+        reach = min(n, 2 * size) if kind[0] == "l" else n
+        low = draw(seed, "place", n - reach + 1)
+        places = {low + draw(seed, f"byte/{k}", reach) for k in range(min(size, reach))}
+        out, at = [], 0
+        for p in sorted(places):
+            out += [(at, p), filler(seed, f"new/{p}", 1)]
+            at = p + 1
+        return [*out, (at, n)], "differing"
     size = min(size, n // 2)
-    if kind == "move":
-        if not size:
-            return mutate(source, "identity", 0, seed)
-        numbers, room = SplitMix(seed), n - size + 1
-        origin, to = numbers.below(room), numbers.below(room)
-        to = (to + size) % room if to == origin else to
-        rest = source[:origin] + source[origin + size :]
-        to = min(to, len(rest))
-        return Edit(rest[:to] + source[origin : origin + size] + rest[to:], min(origin, to), min(n, max(origin, to) + size), size, "moved")
-    if kind == "reorder":
-        if not size or n // size < 2:
-            return mutate(source, "identity", 0, seed)
-        numbers, blocks = SplitMix(seed), n // size
-        first, second = numbers.below(blocks), numbers.below(blocks - 1)
-        second += second >= first
-        a, b = sorted((first * size, second * size))
-        return Edit(source[:a] + source[b : b + size] + source[a + size : b] + source[a : a + size] + source[b + size :], a, b + size, 2 * size, "swapped")
-    raise ValueError(f"unknown kind of edit {kind}")
+    if kind not in ("move", "reorder"):
+        raise ValueError(f"unknown kind of edit {kind}")
+    if not size:
+        return whole, "none"
+    if kind == "move":  # a block changes places with the stretch between it and where it goes
+        a = draw(seed, "block", n - size + 1)
+        to = draw(seed, "gap", n - size)
+        low, mid, high = (to, a, a + size) if to < a else (a, a + size, to + 1 + size)
+        return [(0, low), (mid, high), (low, mid), (high, n)], "moved"
+    first = draw(seed, "first", n // size)
+    second = (first + 1 + draw(seed, "second", n // size - 1)) % (n // size)
+    a, b = sorted((first * size, second * size))
+    return [(0, a), (b, b + size), (a + size, b), (a, a + size), (b + size, n)], "swapped"
+
+
+def mutate(source: bytes, kind: str, size: int, seed: int) -> Edit:
+    parts, basis = pieces(kind, len(source), size, seed)
+    target = b"".join(p if isinstance(p, bytes) else source[p[0] : p[1]] for p in parts)
+    if basis == "none":
+        return Edit(target, 0, 0, 0, basis)
+    if basis == "differing":  # new bytes may equal the old ones
+        where = np.flatnonzero(np.frombuffer(source, np.uint8) != np.frombuffer(target, np.uint8))
+        return Edit(target, int(where[0]), int(where[-1]) + 1, len(where), basis) if len(where) else Edit(target, 0, 0, 0, basis)
+    start = parts[0][1]
+    end = len(target) - (parts[-1][1] - parts[-1][0])
+    changed = {"inserted": end - start, "deleted": len(source) - len(target), "moved": min(size, len(source) // 2), "swapped": 2 * min(size, len(source) // 2)}[basis]
+    return Edit(target, start, end, changed, basis)
 
 
 def boundary_edit(source: bytes, profile: Profile, anchor: str = "boundary", relative: int = 0) -> Edit | None:

@@ -189,15 +189,36 @@ def binding(given: DataFrame) -> DataFrame:
 
 
 def manifest_size(chunks: Column) -> Column:
-    """Bytes of a manifest of so many chunks, with its block index."""
-    blocks = F.greatest(F.lit(1), F.ceil(chunks / 4096))
-    return (32 + 16 + 184 + blocks * (16 + 24 + 4) + chunks * 36 + (16 + 48) + (16 + 48) + 64).cast("long")
+    """Bytes of a manifest of so many chunks, with its block index; identifiers as in a manifest of the stable profile.
+
+    A file's length is linear in its chunks and blocks, so it follows from the lengths of three written files.
+    """
+    from functools import reduce
+
+    def written(n: int) -> int:
+        m = manifests.Manifest(fixed.SHA256_SUITE, fixed.STABLE_PROFILE, bytes(32), [(bytes(32), 1)] * n)
+        return len(manifests.write(m, index=True))
+
+    one, two = written(1), written(2)
+    chunk = two - one
+    block = written(manifests.BLOCK + 1) - one - manifests.BLOCK * chunk
+    blocks = F.ceil(chunks / manifests.BLOCK)
+    return reduce(Column.__add__, (F.lit(one - chunk - block), chunk * chunks, block * blocks)).cast("long")
 
 
 def framing_size(chunks: Column, made: Column, references: Column, with_base: bool = True) -> Column:
-    """Bytes of a patch besides its stored bytes."""
-    entries_size = F.ceil(made / 4096) * (16 + 16 + 4) + made * 40 + references * 32 + 16 + 8 + made * 24 + 4
-    return (32 + 16 + manifest_size(chunks) + (16 + 32 if with_base else 0) + entries_size + 16 + 56 + 64).cast("long")
+    """Bytes of a patch besides its stored bytes, with a manifest of so many chunks: found from written patches as in manifest_size()."""
+    records = [(i.to_bytes(32, "big"), 1) for i in range(binary.ENTRIES + 1)]
+    target = manifests.write(manifests.Manifest(fixed.SHA256_SUITE, fixed.STABLE_PROFILE, bytes(32), records), index=True)
+
+    def written(n: int, refs: int = 0) -> int:
+        new = [binary.Entry(c, codecs.ZSTD if refs else codecs.RAW, (bytes(32),) * refs, b"x") for c, _ in records[:n]]
+        return len(binary.write(target, bytes(32) if with_base else None, new)) - n - len(target)
+
+    none, one = written(0), written(1)
+    entry = written(2) - one
+    reference, block = written(1, 1) - one, one - none - entry
+    return (manifest_size(chunks) + none + entry * made + reference * references + block * F.ceil(made / binary.ENTRIES)).cast("long")
 
 
 def framing(df: DataFrame, chunks: Column, made: Column, references: Column) -> DataFrame:

@@ -770,8 +770,9 @@ def tree_boundary_attribution(spark, sf_dir):
     return trees.file_reuse(_tree_chunks(old), _tree_chunks(new), ["family"])
 
 
-_SQL_MANIFEST = "32 + 16 + 184 + greatest(1, ceil({0} / 4096.0)) * 44 + {0} * 36 + 64 + 64 + 64"
-_SQL_PATCH = f"32 + 16 + ({_SQL_MANIFEST}) + 48 + ceil({{1}} / 4096.0) * 36 + {{1}} * 40 + 28 + {{1}} * 24 + 136"
+#: Lengths as the layouts in sources/ add up: what any manifest has, a block (its index entry included) and a chunk; what any patch with a base has besides the manifest, a block and an entry.
+_SQL_MANIFEST = f"{320 + len(fixed.SHA256_SUITE) + len(fixed.STABLE_PROFILE)} + 60 * ceil({{0}} / 4096.0) + 36 * {{0}}"
+_SQL_PATCH = f"{_SQL_MANIFEST} + 260 + 36 * ceil({{1}} / 4096.0) + 64 * {{1}}"
 COSTS_SQL = f"""{TREE_CHUNKS_SQL}, st AS (SELECT new.family, new.path, new.length, old.path IS NOT NULL AS changed FROM new LEFT JOIN old USING (family, path) WHERE old.path IS NULL OR old.sha256 <> new.sha256),
     ids AS (SELECT family, path, id, count(*) AS n, min(len) AS len FROM nk GROUP BY ALL),
     fl AS (SELECT *, EXISTS (SELECT 1 FROM ok WHERE ok.family = ids.family AND ok.path = ids.path AND ok.id = ids.id) AS s, EXISTS (SELECT 1 FROM ok WHERE ok.family = ids.family AND ok.id = ids.id) AS w FROM ids),
@@ -851,8 +852,8 @@ def chunk_alignment(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql_pairs()}, {PLAN_SQL}, s AS (SELECT family, version, target_chunks AS c, unique_missing_chunks AS e FROM plan), m AS (SELECT *, 456 + greatest(1, ceil(c / 4096.0)) * 44 + c * 36 - 32 AS csm FROM (SELECT * FROM s))
-    SELECT family, version, CAST(32 + 16 + 184 + greatest(1, ceil(c / 4096.0)) * 44 + c * 36 + 64 + 64 + 64 AS BIGINT) AS manifest_bytes, CAST(32 + 16 + (32 + 16 + 184 + greatest(1, ceil(c / 4096.0)) * 44 + c * 36 + 64 + 64 + 64) + 48 + ceil(e / 4096.0) * 36 + e * 40 + 28 + e * 24 + 136 AS BIGINT) AS framing_bytes FROM s"""
+    f"""WITH {sql_pairs()}, {PLAN_SQL}, s AS (SELECT family, version, target_chunks AS c, unique_missing_chunks AS e FROM plan)
+    SELECT family, version, CAST({_SQL_MANIFEST.format('c')} AS BIGINT) AS manifest_bytes, CAST({_SQL_PATCH.format('c', 'e')} AS BIGINT) AS framing_bytes FROM s"""
 )
 def framing_cost(spark, sf_dir):
     planned = reuse.plan(*base.pair_chunks(spark, sf_dir), PAIR)

@@ -1,101 +1,98 @@
-"""Synthetic contents by seed, for measuring."""
+"""Synthetic contents by seed, for measuring: each kind is a recipe of a few lines over bytes drawn at once."""
 
 from __future__ import annotations
 
-import struct
 import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corestrata.functions.hashing import SplitMix
 
-KINDS = ("zero", "random", "random-like", "repeated", "low-entropy", "game-pak-like", "executable-app-like", "db-vm-data-like", "compressed-like", "single-byte", "short-pattern", "alternating-entropy", "low-entropy-runs")
-#: Sizes that the generators' definitions name.
-_ASSET, _PAGE, _RECORD, _SOURCE, _BLOCK, _REGION = 64 << 10, 4096, 512, 256 << 10, 192 << 10, 2 << 20
 
+def _random(size: int, r: SplitMix, symbols: int = 256) -> np.ndarray:
+    raw = np.frombuffer(r.fill(size), np.uint8)
+    return raw if symbols == 256 else raw % np.uint8(symbols)
 
-def _pieces(size: int, step: int):
-    for k, at in enumerate(range(0, size, step)):
-        yield k, min(step, size - at)
 
+def _tiled(size: int, r: SplitMix, period: int) -> np.ndarray:
+    return np.resize(_random(min(period, size), r), size)
 
-def _assets(size: int, seed: int) -> bytes:
-    numbers, out = SplitMix(seed), bytearray()
-    for k, n in _pieces(size, _ASSET):
-        part = bytearray(numbers.fill(n))
-        if n >= 16:
-            part[:16] = struct.pack("<iiQ", k, n, seed ^ k)
-        if k and n > _PAGE:
-            part[-_PAGE:] = out[-_PAGE:]  # a stretch that the asset before ends with
-        out += part
-    return bytes(out)
 
+def _where(size: int, *widths: int) -> np.ndarray:
+    """At each byte, which of the stretches of these widths it lies in, over and over."""
+    return np.resize(np.repeat(np.arange(len(widths), dtype=np.uint8), widths), size)
 
-def _program(size: int, seed: int) -> bytes:
-    numbers = SplitMix(seed)
-    out = bytearray(b"".join(bytes(n) if k % 8 == 0 else b"\xcc" * n if k % 4 == 0 else numbers.fill(n) for k, n in _pieces(size, _PAGE)))
-    if size >= 2:
-        out[:2] = b"MZ"
-    return bytes(out)
 
+def _archive(size: int, r: SplitMix) -> np.ndarray:
+    """Assets of 16 to 112 KiB, every fourth of which comes again from those before; each begins with its number."""
+    out, at, kept = np.empty(size, np.uint8), 0, []
+    while at < size:
+        part = kept[r.below(len(kept))] if len(kept) % 4 == 3 else _random((16 << 10) + r.below(96 << 10), r)
+        kept.append(part)
+        name = np.frombuffer(f"ASSET{len(kept):011d}".encode(), np.uint8)
+        for x in (name, part):
+            n = min(len(x), size - at)
+            out[at : at + n] = x[:n]
+            at += n
+    return out
 
-def _pages(size: int, seed: int) -> bytes:
-    numbers, out = SplitMix(seed), []
-    for k, n in _pieces(size, _PAGE):
-        page = bytearray(n)
-        if n >= 16:
-            page[:16] = struct.pack("<iQi", k, seed & (1 << 64) - 1, n)
-        m = min(max(0, n - 64), _RECORD)
-        if m:
-            page[64 : 64 + m] = numbers.fill(m)
-        out.append(bytes(page))
-    return b"".join(out)
 
-
-def _compressed(size: int, seed: int) -> bytes:
-    numbers, out = SplitMix(seed), b""
-    while len(out) < size:
-        out += zlib.compress((numbers.many_below(32, _SOURCE)).astype("u1").tobytes(), 1)
-    return out[:size]
+def _program(size: int, r: SplitMix) -> np.ndarray:
+    """A third code of few symbols, padding between, and data: by 12 KiB of code, 4 of zeros and 8 of random bytes."""
+    where = _where(size, 12 << 10, 4 << 10, 8 << 10)
+    return np.choose(where, [_random(size, r, 48), np.zeros(size, np.uint8), _random(size, r)])
 
 
-def _alternating(size: int, seed: int) -> bytes:
-    numbers = SplitMix(seed)
-    return b"".join(numbers.fill(n) if k % 2 == 0 else numbers.many_below(4, n).astype("u1").tobytes() for k, n in _pieces(size, _BLOCK))
+def _pages(size: int, r: SplitMix) -> np.ndarray:
+    """Pages of 8 KiB: 32 bytes of header, a kilobyte of records of which half recur on every page, free space."""
+    where = _where(size, 32, 512, 512, (8 << 10) - 1056)
+    return np.choose(where, [np.full(size, 0xDB, np.uint8), _tiled(size, r, 8 << 10), _random(size, r), np.zeros(size, np.uint8)])
 
 
-def _runs(size: int, seed: int) -> bytes:
-    numbers = SplitMix(seed)
-    out = bytearray(numbers.fill(size))
-    for region in range(0, size, _REGION):
-        start = region + numbers.below(_REGION // 2)
-        n = min((64 << 10) + numbers.below(960 << 10), max(0, size - start))
-        out[start : start + n] = bytes(n)
-    return bytes(out)
+def _compressed(size: int, r: SplitMix) -> np.ndarray:
+    out = b""
+    while len(out) < size:
+        out += zlib.compress(_random(512 << 10, r, 24).tobytes(), 1)
+    return np.frombuffer(out[:size], np.uint8)
+
+
+def _runs(size: int, r: SplitMix) -> np.ndarray:
+    """Random bytes in which, about every mebibyte, a run of one byte of up to 512 KiB lies."""
+    out = _random(size, r).copy()
+    for at in range(0, size, 1 << 20):
+        begin = at + r.below(512 << 10)
+        out[begin : begin + r.below(512 << 10)] = r.below(256)
+    return out
+
+
+_RECIPES: dict[str, Callable[[int, SplitMix], np.ndarray]] = {
+    "zero": lambda n, r: np.zeros(n, np.uint8),
+    "random": _random,
+    "random-like": lambda n, r: _random(n, r) ^ np.uint8(r.below(256)),
+    "repeated": lambda n, r: _tiled(n, r, 4096),
+    "low-entropy": lambda n, r: _random(n, r, 16),
+    "game-pak-like": _archive,
+    "executable-app-like": _program,
+    "db-vm-data-like": _pages,
+    "compressed-like": _compressed,
+    "single-byte": lambda n, r: np.full(n, 1 + r.below(255), np.uint8),
+    "short-pattern": lambda n, r: _tiled(n, r, 7),
+    "alternating-entropy": lambda n, r: _random(n, r) & np.where(_where(n, 128 << 10, 128 << 10) == 0, np.uint8(255), np.uint8(3)),
+    "low-entropy-runs": _runs,
+}
+KINDS = tuple(_RECIPES)
 
 
 def generate(kind: str, size: int, seed: int) -> bytes:
     """size bytes of a kind; the compressed kind depends on the zlib at hand."""
     if size <= 0:
         raise ValueError("the size must be positive")
-    if kind == "zero":
-        return bytes(size)
-    if kind in ("random", "random-like"):
-        return SplitMix(seed).fill(size)
-    if kind == "repeated":
-        pattern = SplitMix(seed).fill(min(_PAGE, size))
-        return (pattern * -(-size // len(pattern)))[:size]
-    if kind == "low-entropy":
-        return SplitMix(seed).many_below(16, size).astype("u1").tobytes()
-    if kind == "single-byte":
-        return bytes([1 + SplitMix(seed).below(255)]) * size
-    if kind == "short-pattern":
-        return (SplitMix(seed).fill(7) * -(-size // 7))[:size]
-    made = {"game-pak-like": _assets, "executable-app-like": _program, "db-vm-data-like": _pages, "compressed-like": _compressed, "alternating-entropy": _alternating, "low-entropy-runs": _runs}
-    if kind not in made:
+    if kind not in _RECIPES:
         raise ValueError(f"unknown kind {kind}")
-    return made[kind](size, seed)
+    return _RECIPES[kind](size, SplitMix(seed)).tobytes()
 
 
 def synthetic(spark: SparkSession, entries: list[tuple[str, str, int, int]]) -> DataFrame:

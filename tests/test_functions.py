@@ -1,5 +1,6 @@
 """Cutters, hashes, profiles, codecs and binary formats against golden values, plain definitions and corruption."""
 
+import hashlib
 import random
 import struct
 
@@ -15,6 +16,9 @@ from corestrata.operators import mutations
 from corestrata.sources import corpus, manifests, patches
 
 WARM = Profile(64, 256, 1024, True)
+#: Golden values of this engine's own recipes.
+GOLDEN_CORPUS = ["886715e4", "3ec3ac38", "962046be", "2e2df307", "c86ec37f", "60443909", "f4b268b4", "c40a18b7", "d8412e34", "2874f9de", "184c57d4", "3ec3ac38"]
+GOLDEN_EDITS = {"insert": "3bd22e3c", "prepend": "652ab0a1", "append": "3cd1d56a", "delete": "8c3e33ee", "overwrite": "08e8afff", "localized-rewrite": "2ea1ef15", "random-rewrite": "c7d8de99", "move": "fbeefbff", "reorder": "bfd57fed", "identity": "db3ce07e"}
 
 
 def xorshift(n, seed):
@@ -37,7 +41,7 @@ def test_golden_cuts():
 
 def test_profiles():
     assert hashing.gear_digest() == fixed.GEAR_SHA256
-    assert [lab_profile(t << 10).fingerprint()[:16] for t in (64, 128, 256)] == ["054e6ced56155814", "74d375951d3cd4d1", "d8fc289d93f8f8b6"]
+    assert [lab_profile(t << 10).fingerprint()[:16] for t in (64, 128, 256)] == ["f630746118136be0", "b81ec23522de7da7", "832c9e337d5d42bb"]
     assert (STABLE.strict, STABLE.relaxed) == (0x0000D90703537000, 0x0000D90F03530000)
     for sizes in ((62, 256, 1024), (64, 128, 1024), (64, 256, 512), (64, 300, 1024), (65, 256, 1024), (256, 256, 1024), (64, 256, 32 << 20)):
         with pytest.raises(ValueError):
@@ -193,8 +197,14 @@ def test_corpus():
         data = corpus.generate(kind, 300_001, 9)
         assert len(data) == 300_001 and data == corpus.generate(kind, 300_001, 9)
     assert set(corpus.generate("zero", 10, 1)) == {0} and len(set(corpus.generate("single-byte", 10, 1))) == 1
-    pak = corpus.generate("game-pak-like", 200_000, 3)
-    assert pak[(128 << 10) - 4096 : 128 << 10] == pak[(64 << 10) - 4096 : 64 << 10]
+    pak = corpus.generate("game-pak-like", 2_000_000, 3)
+    starts = [i for i in range(len(pak)) if pak.startswith(b"ASSET0", i)]
+    assets = [pak[a + 16 : b] for a, b in zip(starts, starts[1:], strict=False)]
+    assert starts[0] == 0 and len(set(assets)) < len(assets) and min(map(len, assets)) >= 16 << 10
+    assert [hashlib.sha256(corpus.generate(k, 300_000, 1)).hexdigest()[:8] for k in corpus.KINDS if k != "compressed-like"] == GOLDEN_CORPUS
+    entropy = lambda x: len(set(x))
+    mixed = corpus.generate("alternating-entropy", 1 << 18, 2)
+    assert entropy(mixed[: 1 << 17]) == 256 and entropy(mixed[1 << 17 :]) == 4
     with pytest.raises(ValueError):
         corpus.generate("other", 1, 1)
 
@@ -214,6 +224,24 @@ def test_mutations(kind):
             assert e.changed == sum(a != b for a, b in zip(source, e.target, strict=True))
         if kind in ("move", "reorder"):
             assert sorted(e.target) == sorted(source)
+        if kind in ("move", "reorder") and n >= 10:
+            assert e.target != source and e.changed == (1 + (kind == "reorder")) * min(16, n // 2)
+    assert hashlib.sha256(repr([mutations.mutate(bytes(range(200)), kind, 16, s) for s in range(20)]).encode()).hexdigest()[:8] == GOLDEN_EDITS[kind]
+
+
+def test_sizes_are_those_of_written_files(spark):
+    """Lengths by formula against files that are written, around the bounds of blocks."""
+    from pyspark.sql import functions as F
+
+    from corestrata.operators.patches import framing_size, manifest_size
+
+    cases = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (5, 3, 4), (4096, 10, 9), (4097, 4096, 0), (8200, 4097, 8)]
+    got = spark.createDataFrame(cases, "c long, e long, r long").select(manifest_size(F.col("c")), framing_size(F.col("c"), F.col("e"), F.col("r")), framing_size(F.col("c"), F.col("e"), F.col("r"), False)).collect()
+    for (c, e, r), sizes in zip(cases, got, strict=True):
+        records = [(i.to_bytes(32, "big"), 1) for i in range(c)]
+        m = manifests.write(manifests.Manifest(fixed.SHA256_SUITE, fixed.STABLE_PROFILE, bytes(32), records), index=True)
+        new = [patches.Entry(x, codecs.ZSTD if i * 4 < r else codecs.RAW, (bytes(32),) * min(4, max(0, r - 4 * i)), b"xy") for i, (x, _) in enumerate(records[:e])]
+        assert tuple(sizes) == (len(m), *(len(patches.write(m, base, new)) - 2 * e for base in (bytes(32), None)))
 
 
 def test_boundary_edit():
@@ -225,20 +253,20 @@ def test_boundary_edit():
 
 # Binary manifests
 
-FIXTURE = bytes.fromhex("50e11b907ba2af4c27c4cf196dbc873fa37f50e7c62e829336b7a76649447627")
+FIXTURE = hashlib.sha256(b"an example").digest()
 
 
 def small_manifest(records):
-    return manifests.Manifest(fixed.SHA256_SUITE, "fixture.csm.synthetic.v1", FIXTURE, records)
+    return manifests.Manifest(fixed.SHA256_SUITE, "example.small.v1", FIXTURE, records)
 
 
 def test_manifest_golden():
     data = manifests.write(small_manifest([]))
     m = manifests.read(data)
-    assert len(data) == 340 and m.manifest_id.hex() == "ab0c32c4052ea59a35569b20b23f8d3d0156d3aca59c431a70ba5f365f66a12c" and m.file_digest.hex() == "7b7fbf21a433c37590b6b9273a6249341a04226174369e685bd6557ecffa32ab"
+    assert len(data) == 332 and m.manifest_id.hex() == "3fda0d71a9521abe4b14471c63a3bd2d15cd0689a2227eaa075de99b1b418abd" and m.file_digest.hex() == "0d1c85a3ed5d385054746a885dd63aaacfb7bf5b70538e1e186c43a7f5c77aaf"
     many = [(bytes([i & 255]) * 32, 2048) for i in range(4097)]
     plain, indexed = manifests.write(small_manifest(many)), manifests.write(small_manifest(many), index=True)
-    assert (len(plain), len(indexed)) == (147920, 147976)
+    assert (len(plain), len(indexed)) == (147912, 147968)
     assert manifests.read(plain).manifest_id == manifests.read(indexed).manifest_id and manifests.read(indexed).records == many
 
 
