@@ -9,7 +9,7 @@ from corestrata.functions.profiles import Profile, gear_table
 #: A byte leaves the 64-bit hash after so many more.
 WINDOW = 64
 #: Bytes that are hashed at a time.
-BLOCK = 1 << 14
+BLOCK = 1 << 15
 #: Bytes of a content that are fed at a time: hashes take eight times as much.
 SEGMENT = 1 << 20
 _SHIFTS = np.arange(1, WINDOW, dtype=np.uint64)

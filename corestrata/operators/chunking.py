@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,6 @@ from corestrata.functions.cutting import cut
 from corestrata.functions.hashing import digest
 from corestrata.functions.profiles import Profile
 
-#: Rows of whole contents that go to Python at a time.
-BATCH = 500
-
-
 def contents(table: DataFrame, keys: dict[str, Column | str], value: Column) -> DataFrame:
     """(keys..., bytes) from a table's text or binary column; null counts as empty."""
     named = [(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in keys.items()]
@@ -42,12 +39,9 @@ def fixed_chunks(content: DataFrame, size: int, payload: bool = False) -> DataFr
 def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_SUITE, payload: bool = False, on_chunk: Callable | None = None) -> DataFrame:
     """Content-defined chunks with ids of the suite.
 
-    One pass over Arrow batches, without a shuffle; contents are cut, hashed and dropped row by row, and bytes return to Spark only where payload asks for them. on_chunk(index, offset,
+    One pass over Arrow batches (which Spark bounds by spark.sql.execution.arrow.maxBytesPerBatch), without a shuffle; contents are cut and hashed where they lie in the batch, and bytes return to Spark only where payload asks for them. on_chunk(index, offset,
     bytes) -> value, if given, adds a binary column value for each chunk, in order.
     """
-    spark = content.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     keys = [c for c in content.columns if c != "bytes"]
     types = dict(content.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx long, off long, len long", *(["payload binary"] if payload else []), "id string", *(["value binary"] if on_chunk else [])])
@@ -55,24 +49,27 @@ def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_S
 
     def run(source):
         for batch in source:
-            rows, idx, off, size, data, ids, values = [], [], [], [], [], [], []
+            rows, sizes, data, ids, values = [], [], [], [], []
             for r, value in enumerate(batch.column(place)):
-                raw, at = value.as_py() or b"", 0
-                for i, n in enumerate(cut(raw, profile)):
+                raw = memoryview(value.as_buffer() or b"")  # of the batch itself: nothing is copied
+                lengths = np.array(cut(raw, profile), np.int64)
+                starts = np.cumsum(lengths) - lengths
+                rows.append(np.full(len(lengths), r))
+                sizes.append(np.stack([np.arange(len(lengths)), starts, lengths]))
+                for i, (at, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
                     part = raw[at : at + n]
-                    rows.append(r), idx.append(i), off.append(at), size.append(n)
+                    ids.append(digest(suite, part).hex())
                     if payload:
                         data.append(part)
-                    ids.append(digest(suite, part).hex())
                     if on_chunk:
-                        values.append(on_chunk(i, at, part))
-                    at += n
-            take = pa.array(rows, pa.int64())
-            out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(idx, pa.int64()), pa.array(off, pa.int64()), pa.array(size, pa.int64())]
+                        values.append(on_chunk(i, at, bytes(part)))
+            take = pa.array(np.concatenate(rows) if rows else [], pa.int64())
+            numbers = np.concatenate(sizes, axis=1) if sizes else np.empty((3, 0), np.int64)
+            out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(x) for x in numbers]
             names = [*keys, "idx", "off", "len"]
-            for name, column, use in (("payload", pa.array(data, pa.binary()), payload), ("id", pa.array(ids, pa.string()), True), ("value", pa.array(values, pa.binary()), bool(on_chunk))):
+            for name, made, kind, use in (("payload", data, pa.binary(), payload), ("id", ids, pa.string(), True), ("value", values, pa.binary(), bool(on_chunk))):
                 if use:
-                    out.append(column)
+                    out.append(pa.array(made, kind))
                     names.append(name)
             yield pa.RecordBatch.from_arrays(out, names=names)
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.functions import fixed
-from corestrata.operators.arrow import each_row
 
 BLOCK = 4096
 
@@ -69,15 +68,26 @@ def block_index(chunks: DataFrame, keys: list[str], block: int = BLOCK) -> DataF
 
 
 def verify_records(manifest: DataFrame, content: DataFrame, keys: list[str]) -> DataFrame:
-    """Per content whether each record's bytes have its id, the lowest index that differs, and whether the lengths add up. No re-chunking; records gather by content first, so that each content is read once (Spark's substring would copy it for every record)."""
+    """Per content whether each record's bytes have its id, the lowest index that differs, and whether the lengths add up. No re-chunking; records gather by content first, so that each content is read once, and ranges are hashed where they lie in the Arrow batch (Spark's substring would copy the content for every record)."""
     told = manifest.groupBy(*keys).agg(F.collect_list(F.struct("idx", "off", "len", "id")).alias("records"))
-
-    def check(data, records):
-        view = memoryview(data or b"")
-        bad = [r["idx"] for r in records if hashlib.sha256(view[r["off"] : r["off"] + r["len"]]).hexdigest() != r["id"]]
-        return [(min(bad, default=None), len(bad), sum(r["len"] for r in records) == len(view))]
-
-    return each_row(content.join(told, keys), keys, ["bytes", "records"], "first_bad long, bad long, whole boolean", pa.schema([("first_bad", pa.int64()), ("bad", pa.int64()), ("whole", pa.bool_())]), check)
+    joined = content.join(told, keys).select(*keys, "bytes", "records")
+    types = dict(joined.dtypes)
+
+    def run(source):
+        for batch in source:
+            lists = batch.column(len(keys) + 1)
+            ends, flat = lists.offsets.to_pylist(), lists.values
+            idx, off, size = (flat.field(c).to_pylist() for c in ("idx", "off", "len"))
+            ids = flat.field("id").to_pylist()
+            out = []
+            for value, a, b in zip(batch.column(len(keys)), ends[:-1], ends[1:], strict=True):
+                view = memoryview(value.as_buffer() or b"")
+                bad = [idx[k] for k in range(a, b) if hashlib.sha256(view[off[k] : off[k] + size[k]]).hexdigest() != ids[k]]
+                out.append((min(bad, default=None), len(bad), sum(size[a:b]) == len(view)))
+            first, n, whole = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.bool_())], names=[*keys, "first_bad", "bad", "whole"])
+
+    return joined.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "first_bad long, bad long, whole boolean"]))
 
 
 def range_groups(chunks: DataFrame, keys: list[str], most: int = 4 << 20) -> DataFrame:
