@@ -22,7 +22,7 @@ def text_digest(text_col: str) -> Column:
 
 
 def row_key(id_col: Column, digest: Column) -> Column:
-    """Stands for a row's doc_id and text together; rows that repeat both share it."""
+    """A digest that stands for a row's doc_id and text together; rows that repeat both share it."""
     return F.unhex(F.sha2(F.encode(F.concat_ws(":", F.hex(digest), id_col.cast("string")), "UTF-8"), 256))
 
 
@@ -94,13 +94,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(maybe).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-def _split(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _split(docs: DataFrame, keys: DataFrame, key: Column, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Rows of docs as (_own struct, _key) that may be in keys (_gone binary, distinct, written), those that cannot, and keys as they are to be joined.
 
     keys is counted. Up to broadcast_bytes it is broadcast, no text moves, and there is no second part. Beyond, a
     filter of at most broadcast_bytes is: rows that it doesn't know make the second part, and only others shuffle.
     """
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), row_key(F.col(f"`{id_col}`"), text_digest(text_col)).alias("_key"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), key.alias("_key"))
     n = keys.count()
     if n * KEY_BYTES <= broadcast_bytes:
         return own, None, F.broadcast(keys)
@@ -109,22 +109,22 @@ def _split(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadca
     return seen.where("_maybe"), seen.where("not _maybe"), keys
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of docs whose row_key() isn't in gone (_gone binary, distinct, written)."""
-    maybe, through, gone = _split(docs, gone, id_col, text_col, broadcast_bytes)
+def without(docs: DataFrame, gone: DataFrame, key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose key (of SHA-256 digests) isn't in gone (_gone binary, distinct, written)."""
+    maybe, through, gone = _split(docs, gone, key, broadcast_bytes)
     out = maybe.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_own.*")
     return out if through is None else through.select("_own.*").unionByName(out)
 
 
-def only(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(_own struct, _key) of the rows of docs whose row_key() is in keys (_gone binary, distinct, written)."""
-    maybe, _, keys = _split(docs, keys, id_col, text_col, broadcast_bytes)
+def only(docs: DataFrame, keys: DataFrame, key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(_own struct, _key) of the rows of docs whose key (of SHA-256 digests) is in keys (_gone binary, distinct, written)."""
+    maybe, _, keys = _split(docs, keys, key, broadcast_bytes)
     return maybe.join(keys, F.col("_key") == F.col("_gone"), "left_semi")
 
 
-def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row of docs for each of keys (_gone binary, distinct, written), of those that share a row_key(). Only such rows shuffle."""
-    return only(docs, keys, id_col, text_col, broadcast_bytes).groupBy("_key").agg(F.first("_own").alias("_own")).select("_own.*")
+def one_of_each(docs: DataFrame, keys: DataFrame, key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row of docs for each of keys, of those that share a key. Only such rows shuffle."""
+    return only(docs, keys, key, broadcast_bytes).groupBy("_key").agg(F.first("_own").alias("_own")).select("_own.*")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -137,6 +137,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stays = F.col("_id").eqNullSafe(F.col("keep_id"))
     named = pairs.where(~stays | (F.col("n") > 1)).select(row_key(F.col("_id"), F.col("_digest")).alias("_gone"), stays.alias("stays"))
     gone = spool(named, "gone")
-    out = without(docs, gone.select("_gone"), id_col, text_col, broadcast_bytes)
+    return one_of_gone(docs, gone, id_col, text_col, broadcast_bytes)
+
+
+def one_of_gone(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> DataFrame:
+    """docs without the rows that gone names (_gone as row_key(), stays boolean; written), but with one of each that stays."""
+    key = row_key(F.col(f"`{id_col}`"), text_digest(text_col))
+    out = without(docs, gone.select("_gone"), key, broadcast_bytes)
     twins = gone.where("stays").select("_gone")
-    return out if twins.isEmpty() else out.unionByName(one_of_each(docs, twins, id_col, text_col, broadcast_bytes))
+    return out if twins.isEmpty() else out.unionByName(one_of_each(docs, twins, key, broadcast_bytes))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.llm.common import batches, bounded_batches, pair, spool, texts, unspool
-from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, only, row_key, text_digest, without
+from corestrata.llm.exact import BROADCAST_BYTES, one_of_gone, only, row_key, text_digest
 from corestrata.llm.graph import components
 
 SEED = 42
@@ -447,7 +447,7 @@ def similar_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", te
     shared = spool(posts.join(F.broadcast(met) if met.count() * 32 <= broadcast_bytes else met, "h").select("h", "key", "lead"), "shared")
     named = spool(shared.select("key").distinct(), "named")
     slim = spool(some.select("key", "row", "fp", "n").join(F.broadcast(named) if named.count() * 16 <= broadcast_bytes else named, "key", "left_semi"), "slim")
-    texts_ = only(docs, slim.select(F.col("row").alias("_gone")), id_col, text_col, broadcast_bytes).groupBy("_key").agg(F.first(F.col("_own")[text_col]).alias("value"))
+    texts_ = only(docs, slim.select(F.col("row").alias("_gone")), row_key(F.col(f"`{id_col}`"), text_digest(text_col)), broadcast_bytes).groupBy("_key").agg(F.first(F.col("_own")[text_col]).alias("value"))
     sets = spool(texts_.select("value").mapInArrow(_sets(size), "key long, s array<long>"), "sets")
 
     stars = shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
@@ -490,6 +490,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("name.row").alias("name"))
     members = rows.join(spool(named, "named"), "root").groupBy("row").agg(F.max(F.col("row") == F.col("name")).alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = spool(members.where("not stays or n > 1").select(F.col("row").alias("_gone"), "stays"), "gone")
-    out = without(docs, gone.select("_gone"), id_col, text_col, broadcast_bytes)
-    twins = gone.where("stays").select("_gone")
-    return out if twins.isEmpty() else out.unionByName(one_of_each(docs, twins, id_col, text_col, broadcast_bytes))
+    return one_of_gone(docs, gone, id_col, text_col, broadcast_bytes)

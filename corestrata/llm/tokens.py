@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -9,11 +10,12 @@ from importlib.metadata import version
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.llm.bpe import PairTable, merge_words
-from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, spool, texts
+from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, spool, texts, unspool
+from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, only, without
 
 #: Words that one Python worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 700_000
@@ -116,7 +118,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + f"\0{name}\0{version(name)}".encode()).hexdigest()
 
 
-_COUNTS = pa.schema([("digest", pa.string()), ("n_tokens", pa.int64())])
+_COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
 
 def _counter(path: str):
@@ -149,29 +151,58 @@ def _count_misses(path: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs, whole texts, without special tokens.
+def normalised(text: Column, path: str) -> Column:
+    """What a tokenizer's counts depend on: for one that drops white space, blanks, tabs and ends of lines count as one blank; else the text itself. Null counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.trim(F.regexp_replace(whole, "[ \\t\\n\\r]+", " ")) if drops_blanks(path) else whole
+
+
+@functools.cache
+def drops_blanks(path: str) -> bool:
+    if path.endswith(".model"):
+        return False
+    try:
+        WordCache(path)
+    except ValueError:
+        return False
+    return True
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, content_sha256 for each row of docs, whole texts of any length, without special tokens.
 
     The cache is a table (tokenizer, digest, n_tokens) under cache_path, partitioned by tokenizer: digests of
-    contents found there are not encoded; of the others each distinct content is encoded once and appended.
-    tokenizer is the digest of the vocabulary file and the library's version, so a new version never meets old
-    counts. Without cache_path a new cache is written to the shared folder. Null counts as the empty text, of 0
-    tokens; equal contents share one entry; repeated rows each give a row; an empty table gives none. The file at
-    tokenizer_path must be readable at that path on every executor.
+    normalised contents found there are not encoded; of the others each distinct content is encoded once and
+    appended. tokenizer is the digest of the vocabulary file and the library's version, so a new version never
+    meets old counts. Digests alone are grouped and joined; a content that one row has goes to the tokenizer from
+    the scan, and only those of several rows are shuffled, to be encoded once.
+
+    cache_path keeps the cache between runs; without it spark.corestrata.token.cache does, where set; else a new
+    one is written to the shared folder. Null counts as the empty text, of 0 tokens; null doc_ids stay null; equal
+    contents share one entry, whichever of them is encoded; repeated rows each give a row; an empty table gives
+    none. Further columns are not read, whatever they are called. The file at tokenizer_path must be readable at
+    that path on every executor.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"), text.alias("_text"))
+    content = normalised(F.col(f"`{text_col}`"), tokenizer_path)
+    digest = F.unhex(F.sha2(F.encode(content, "UTF-8"), 256))
+    rows = spool(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
     tokenizer = tokenizer_digest(tokenizer_path)
-    cache_path = cache_path or scratch(spark, "token-cache")
+    cache_path = cache_path or spark.conf.get("spark.corestrata.token.cache", None) or scratch(spark, "token-cache")
     at = f"{cache_path}/tokenizer={tokenizer}"
-    stored = lambda: spark.read.schema("digest string, n_tokens long").parquet(at)
-    wanted = rows.select("digest", "_text")
-    if path_exists(spark, at):
-        wanted = wanted.join(stored().select("digest"), "digest", "left_anti")
-    misses = wanted.groupBy("digest").agg(F.first("_text").alias("_text"))
-    misses.mapInArrow(_count_misses(tokenizer_path), "digest string, n_tokens long").write.mode("append").parquet(at)
+    stored = lambda: spark.read.schema("digest binary, n_tokens long").parquet(at)
+    every = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    there = path_exists(spark, at)
+    new = spool(every.join(stored().select("digest"), "digest", "left_anti") if there else every, "misses")
+    if not there or not new.isEmpty():
+        named = docs.select(digest.alias("_digest"), content.alias("_content"))
+        if there:
+            named = only(named, new.select(F.col("digest").alias("_gone")), F.col("_digest"), broadcast_bytes).select("_own.*")
+        often = spool(new.where("n > 1").select(F.col("digest").alias("_gone")), "often")
+        once = without(named, often, F.col("_digest"), broadcast_bytes).unionByName(one_of_each(named, often, F.col("_digest"), broadcast_bytes))
+        once.select("_digest", "_content").mapInArrow(_count_misses(tokenizer_path), "digest binary, n_tokens long").write.mode("append").parquet(at)
     # Two writers may have appended the same digest. Written first, so that adaptive execution may split the join at a content that many rows have.
-    counts = spool(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    return rows.drop("_text").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("digest").alias("text_sha256"))
+    counts = spool(stored().join(every.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    unspool(new)
+    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("content_sha256"))

@@ -88,11 +88,17 @@ def test_token_counts(spark, tmp_path):
     at = str(tmp_path / "cache")
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(edge_docs(spark), WORDS, at).collect())
     assert got == collections.Counter((i, len((t or "").encode()), size(t), size(t) > 2048) for i, t in EDGE)
-    stored = spark.read.parquet(at)
-    assert stored.count() == len({t or "" for _, t in EDGE})
-    more = [*EDGE, (9, "a new one")]
-    assert tokens.count_tokens(edge_docs(spark, more), WORDS, at).count() == len(more)
-    assert spark.read.parquet(at).count() == stored.count() + 1  # only the miss was encoded and appended
+    contents = {re.sub("[ \t\n\r]+", " ", t or "").strip(" ") for _, t in EDGE}
+    assert spark.read.parquet(at).count() == len(contents)
+    for broadcast in (tokens.BROADCAST_BYTES, 0):
+        more = [*EDGE, (9, f"a new one {broadcast}"), (10, f"a new  one\n{broadcast} "), (11, f"another {broadcast}")]
+        got = collections.Counter((r.doc_id, r.n_tokens) for r in tokens.count_tokens(edge_docs(spark, more), WORDS, at, broadcast_bytes=broadcast).collect())
+        assert got == collections.Counter((i, size(t)) for i, t in more)
+        contents |= {f"a new one {broadcast}", f"another {broadcast}"}
+        assert spark.read.parquet(at).count() == len(contents)  # only misses were encoded and appended, each once
+    spark.conf.set("spark.corestrata.token.cache", at)
+    assert tokens.count_tokens(edge_docs(spark), WORDS).count() == len(EDGE) and spark.read.parquet(at).count() == len(contents)
+    spark.conf.unset("spark.corestrata.token.cache")
     assert tokens.count_tokens(edge_docs(spark, []), WORDS, str(tmp_path / "none")).count() == 0
 
 
@@ -758,10 +764,12 @@ def test_exact_tables(spark, sf, corpus, broadcast):
 
 def test_no_text_moves_without_a_hit(spark):
     """Beyond the broadcast, what a small filter doesn't know passes straight through; the others meet their keys."""
+    from pyspark.sql import functions as F
+
     docs = edge_docs(spark, [(i, f"text {i}") for i in range(3000)])
-    key = exact.row_key(docs.doc_id, exact.text_digest("text"))
+    key = exact.row_key(F.col("doc_id"), exact.text_digest("text"))
     gone = docs.where("doc_id % 100 = 0").select(key.alias("_gone")).cache()
-    out = exact.without(docs, gone, "doc_id", "text", 0)
+    out = exact.without(docs, gone, key, 0)
     assert sorted(r.doc_id for r in out.collect()) == [i for i in range(3000) if i % 100]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Union" in plan
