@@ -16,6 +16,8 @@ LENGTH = 4096
 END_ID = 2
 #: Costs, in tokens of padding, of a cut inside a document: after a sentence, and elsewhere.
 SENTENCE_COST, HARD_COST = 8, 64
+#: Cost of a sequence besides, so that short sequences that need no padding are made where they save some, not everywhere.
+SEQUENCE_COST = 128
 #: Places for cuts elsewhere, where no sentence ends within so many tokens.
 HARD_STEP = 512
 #: Tokens that a task holds before it decides; the last, unfinished sequence is carried on.
@@ -25,22 +27,39 @@ TOGETHER = 256
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def padding(length: int, full: int = LENGTH) -> int:
+    """What a sequence is padded by: to the full length, except at a power of two."""
+    return 0 if length & (length - 1) == 0 else full - length
+
+
 def best_cuts(places: np.ndarray, costs: np.ndarray, last: bool, length: int = LENGTH) -> list[int]:
-    """Indices of places to cut at (the first and the last included) so that windows hold at most length tokens and padding plus costs is least.
+    """Indices of places to cut at (the first and the last included) so that windows hold at most length tokens and padding, costs and SEQUENCE_COST for each window are least.
 
-    f(j) = length - c[j] + cost[j] + min of f(i) + c[i] over i with c[j] - c[i] <= length; the minimum moves with a
-    monotone queue, so all is linear in the places. Neighbouring places must lie within length. Unless last, the
-    final window isn't charged: it will be carried on.
+    f(j) = SEQUENCE_COST + cost[j] + the least of length - c[j] + f(i) + c[i] over i with c[j] - c[i] <= length, whose
+    minimum moves with a monotone queue, and of f(i) over the few i with c[j] - c[i] a power of two, which needs no
+    padding; so all is linear in the places. Neighbouring places must lie within length. Unless last, the final
+    window isn't charged: it will be carried on.
     """
-    c, p = places.tolist(), costs.tolist()
+    c, p = places.tolist(), (costs + SEQUENCE_COST).tolist()
     total, came = [0] * len(c), [0] * len(c)
+    even: dict[int, list[int]] = {}  # those that lie a power of two before a place
+    size = 1
+    while size <= length:
+        at = np.searchsorted(places, places - size)
+        for j in np.flatnonzero(places[np.minimum(at, len(places) - 1)] == places - size).tolist():
+            even.setdefault(j, []).append(int(at[j]))
+        size *= 2
     queue: deque[tuple[int, int]] = deque([(c[0], 0)])
     for j in range(1, len(c)):
         at = c[j]
         while at - c[queue[0][1]] > length:
             queue.popleft()
         value, i = queue[0]
-        f = value + length - at + p[j]
+        f = value + length - at
+        for k in even.get(j, ()):
+            if total[k] < f:
+                f, i = total[k], k
+        f += p[j]
         total[j], came[j] = f, i
         value = f + at
         while queue and queue[-1][0] >= value:
@@ -48,10 +67,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, last: bool, length: int = L
         queue.append((value, j))
     j = len(c) - 1
     if not last and j:
-        i = j - 1
-        reach = [k for k in range(int(np.searchsorted(places, c[j] - length)), j)]
-        i = min(reach, key=total.__getitem__)
-        came[j] = i
+        came[j] = min(range(int(np.searchsorted(places, c[j] - length)), j), key=total.__getitem__)
     cuts = [j]
     while j:
         j = came[j]
@@ -138,7 +154,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, i
     A document is its ids and then END_ID; documents follow each other as the scan gives them, and no row is
     shuffled: each task packs what it reads and pads one unfinished sequence at most. Each id is in exactly one
     piece. sequence_id holds the task's number in its upper bits. Null texts count as empty (END_ID alone);
-    repeated rows are packed each; an empty table gives no pieces. length must be at least HARD_STEP.
+    null doc_ids stay null; repeated rows are packed each; an empty table gives no pieces. Texts of any length are cut
+    where it costs least; of cuts that tie the later queue entry loses. Further columns are not read, whatever they
+    are called. length must be at least HARD_STEP.
     """
     if length < HARD_STEP:
         raise ValueError(f"length is below {HARD_STEP}")
