@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corestrata.llm.common import batches, bounded_batches, pair, texts
 
-#: Bounds of the training sample: rows of trusted positives and of unlabelled texts, chosen by a hash of doc_id.
+#: Bounds of the training sample: rows of trusted positives and of unlabelled texts, chosen by a hash of doc_id. The README has figures for other bounds.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 6000
 HASHED = 1024
 SHAPES = 14
@@ -179,9 +179,10 @@ def _score(model: Model | None):
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
-    Scores come from texts alone. Null texts count as empty, and empty ones get the score of zero features; null
-    doc_ids are never held out; repeated rows each get a row; without positives all score 0.5; an empty table
-    gives no rows. No shuffle but for the bounded sample.
+    Scores come from texts alone, whole ones of any length; equal texts score the same. Null texts count as empty,
+    and empty ones get the score of zero features; a score of threshold itself is predicted 1; null doc_ids are
+    never held out; repeated rows each get a row; without positives all score 0.5; an empty table gives no rows.
+    Further columns are not read, whatever they are called. No shuffle but for the bounded sample.
     """
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col)
     scored = pair(docs, id_col, text_col).selectExpr("cast(_id as long)", "_value").mapInArrow(_score(model), "doc_id long, score double")
@@ -189,7 +190,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores threshold or more."""
+    """The rows of docs, with all their columns, whose text scores threshold or more, repeated rows included.
+
+    Nulls, empty and long texts score as in score_documents(); without positives all stay; an empty table gives
+    no rows; columns may have any names.
+    """
     bounded_batches(docs.sparkSession)
     model = model or fit(docs, labels, text_col=text_col)
     at = docs.columns.index(text_col)

@@ -131,8 +131,10 @@ def _scan(source):
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of kind, start, end), redacted (the text with marks; null where nothing was found).
 
-    Whole texts; null counts as empty and has no spans; repeated rows each give a row; an empty table gives none;
-    null doc_ids stay null. No shuffle.
+    Whole texts of any length; null counts as empty and has no spans; repeated rows each give a row; an empty table
+    gives none; null doc_ids stay null. Spans of one kind don't overlap, the leftmost goes first; those of different
+    kinds may, and where they begin together they stand in the order of KINDS. Further columns are not read,
+    whatever they are called. No shuffle.
     """
     return pair(docs, id_col, text_col).selectExpr("cast(_id as long)", "_value").mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>, redacted string")
 
@@ -149,7 +151,11 @@ def _redacted(columns: list[str], at: int, schema):
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with all its columns and rows; found secrets in text_col are replaced by marks. Null texts stay null."""
+    """docs with all its columns and rows; found secrets in text_col are replaced by marks, one for spans that overlap.
+
+    Null and empty texts stay, and so do null doc_ids and repeated rows; long texts are scanned whole; an empty
+    table gives no rows; columns may have any names.
+    """
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_redacted(docs.columns, docs.columns.index(text_col), None), docs.schema)
 

@@ -257,12 +257,13 @@ def _signed(m: int) -> int:
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id, group_size, links_within for each row of docs.
+    """doc_id, fingerprint, component_id, group_size for each row of docs.
 
-    Texts with equal fingerprints are one class; classes within radius link; component_id is the smallest doc_id
-    that links reach. Texts without words have fingerprint 0 and link like others. Null texts count as empty; null
-    doc_ids get a row but never name a component, unless it has no other (then null). Repeated rows each give a
-    row. An empty table gives none. group_size counts the rows of the component.
+    Texts with equal fingerprints are one class; classes within radius link, at radius itself too; component_id is
+    the smallest doc_id that links reach. Whole texts of any length count, repeats of shingles included; texts
+    without words have fingerprint 0 and link like others. Null texts count as empty; null doc_ids get a row but
+    never name a component, unless it has no other (then null). Repeated rows each give a row. An empty table gives
+    none. group_size counts the rows of the component. Further columns are not read, whatever they are called.
     """
     own = spool(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))

@@ -594,7 +594,7 @@ def check_pieces(rows, docs):
         padded += 0 if bin(at).count("1") == 1 else 4096 - at
     total = sum(r.length for r in rows)
     assert total == sum(len(ids) * n for (_, ids), n in left.items())
-    return padded / total, len(by_seq) * 4096 / total
+    return padded / max(1, total), len(by_seq) * 4096 / max(1, total)
 
 
 def test_packing_corpus(spark, sf, corpus):
@@ -656,6 +656,27 @@ def test_quality_edges(spark, sf):
     assert quality.keep_quality(edge_docs(spark), labels, model=model).columns == edge_docs(spark).columns
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.6])
+def test_training_finds_the_least_risk(prior):
+    """Against the plain objective, example by example, and a search around the model found and elsewhere."""
+    rnd = np.random.default_rng(2)
+    p = rnd.normal([1, 0, 2], 1, (120, 3)).astype(np.float32)
+    u = np.concatenate([rnd.normal([1, 0, 2], 1, (int(300 * prior), 3)), rnd.normal([-1, 0, 0], 1, (300 - int(300 * prior), 3))]).astype(np.float32)
+
+    def risk(w, b):
+        loss = lambda z: math.log1p(math.exp(-z)) if z > -30 else -z
+        mean = lambda some, sign: sum(loss(sign * (float(x @ w) + b)) for x in some) / len(some)
+        return prior * mean(p, 1) + max(0.0, mean(u, -1) - prior * mean(p, -1))
+
+    model = quality.train(p, u, prior, rounds=1500, decay=0)
+    best = risk(model.weights, model.bias)
+    scale = np.abs(np.r_[model.weights, model.bias]).max()
+    for size in (0.02, 0.1, 0.5, 2):
+        for _ in range(60):
+            w = np.r_[model.weights, model.bias] + size * scale * rnd.normal(size=4)
+            assert risk(w[:3], w[3]) >= best - 2e-3
+
+
 def test_labels_do_not_leak(spark, sf):
     """Held-out labels change nothing."""
     from pyspark.sql import functions as F

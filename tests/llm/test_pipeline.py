@@ -1,9 +1,14 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import collections
+import os
+import subprocess
+import sys
 
 import corpus_pipeline
-from test_llm_operators import check_pieces, slow_exact, slow_secrets
+import pytest
+from pyspark.sql import functions as F
+from test_llm_operators import EDGE, check_pieces, edge_docs, slow_exact, slow_secrets
 from test_near_copies import slow_kept
 
 from corestrata.llm import quality, secrets
@@ -41,6 +46,32 @@ def test_stages(spark, sf, tmp_path):
     check_pieces(after.collect(), rows(before))
 
 
+@pytest.mark.parametrize("rows", [EDGE, [], [(None, None), (None, None), (1, ""), (1, "")]])
+def test_stages_on_odd_tables(spark, sf, tmp_path, rows):
+    """Nulls, empty and long texts, ties, repeated rows, an empty table and clashing names, through all stages."""
+    docs = edge_docs(spark, rows).withColumn("lang", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast("long"))
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or docs.columns == columns
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()] if name != "packing" else docs.collect()
+    texts = [t or "" for _, t in kept["exact_dedup"]]
+    assert len(set(texts)) == len(texts) and set(texts) == {t or "" for _, t in kept["quality"]}
+    assert len(kept["near_dedup"]) <= len(texts) and (not texts or kept["near_dedup"]) and len(kept["secrets"]) == len(kept["near_dedup"])
+    check_pieces(kept["packing"], kept["secrets"])
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert collections.Counter(got.columns) >= collections.Counter(["doc_id", "sequence_id", "offset", "length"])
+
+
+def test_a_missing_dependency_is_told():
+    """The entry forgives the absence of this subpackage, and of nothing else."""
+    code = "import sys; sys.modules[{0!r}] = None\nimport __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(name)], capture_output=True, text=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert run("nothing.of.ours").stdout.strip().endswith("True")
+    assert run("public_tokenizers").returncode != 0
+    gone = run("corestrata.llm")
+    assert gone.returncode == 0 and gone.stdout.strip().endswith("False")
