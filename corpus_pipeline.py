@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: five stages, each written as Parquet and reread as the next one's documents."""
+"""Documents to packed training sequences: five stages, each written as Parquet and reread as the next one's documents.
+
+Every stage takes whole texts of any length, null ones as empty, null doc_ids, repeated rows, empty tables and
+further columns of any names; what it does with them, its operator's docstring says in full.
+"""
 
 from __future__ import annotations
 
@@ -12,22 +16,22 @@ from corestrata.llm.common import read, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; nulls and empty texts are scored like others, repeated rows share their fate, and without trusted labels all stay."""
     return quality.keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the one of the largest doc_id stays."""
+    """Of identical texts the one of the largest doc_id stays; of rows that repeat it too, one; null texts equal empty ones; a null doc_id stays only where its text has no other."""
     return exact.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are near copies (SimHash over five words, confirmed at a Jaccard similarity of 0.8 or more) one stays."""
+    """Of texts that are near copies (SimHash over five words, confirmed at a Jaccard similarity of 0.8 or more) the one of the smallest doc_id stays, a null one only if there is no other; texts without words are alike."""
     return simhash.drop_near_copies(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks; every document stays, with n_chars as it then is."""
+    """Secrets are replaced by marks; every row stays, null texts null, with n_chars as it then is."""
     from pyspark.sql import functions as F
 
     clean = secrets.redact_secrets(docs)
@@ -35,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, over all documents that are left."""
+    """Pieces of packed sequences, over all rows that are left; an empty or null text is its end mark alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
