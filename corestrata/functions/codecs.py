@@ -28,6 +28,24 @@ def compress(data: bytes, dictionary: bytes = b"", level: int = 19, window_log:
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True, write_checksum=False, write_dict_id=False).compress(data)
 
 
+def _against(base: bytes, total: int, level: int):
+    """A compressor that has gone through base, with a window and long matches that reach all of it, and the head it gave."""
+    p = zstandard.ZstdCompressionParameters.from_level(level, window_log=min(31, max(10, total.bit_length())), enable_ldm=True, write_content_size=0, write_checksum=0, write_dict_id=0)
+    c = zstandard.ZstdCompressor(compression_params=p).compressobj()
+    return c, c.compress(base) + c.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+
+
+def patch_from(data: bytes, base: bytes, level: int = 19) -> bytes:
+    """What a frame of base and data has beyond base: a receiver makes the head anew from its base."""
+    c, _ = _against(base, len(base) + len(data), level)
+    return c.compress(data) + c.flush()
+
+
+def patch_restore(stored: bytes, base: bytes, length: int, level: int = 19) -> bytes:
+    _, head = _against(base, len(base) + length, level)
+    return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj().decompress(head + stored)[len(base) :]
+
+
 @dataclass(frozen=True)
 class Frame:
     content: int
@@ -112,6 +130,11 @@ def xor_restore(base: bytes, stored: bytes, length: int) -> bytes:
     return (int.from_bytes(decompress(stored, length), "little") ^ b).to_bytes(length, "little")
 
 
+def sparse_size(runs: list[tuple[int, bytes]]) -> int:
+    """Bytes of runs as an offset and a length of eight bytes together, and the new bytes."""
+    return sum(8 + len(new) for _, new in runs)
+
+
 def sparse_runs(base: bytes, target: bytes) -> list[tuple[int, bytes]]:
     """Places and new bytes where target differs from base."""
     import numpy as np

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 from corestrata.functions.profiles import Profile, gear_table
@@ -157,28 +159,69 @@ def cut_plainly(data: bytes, profile: Profile) -> list[int]:
     return out
 
 
-def recut(data: bytes, old: list[int], edit_start: int, old_end: int, new_end: int, profile: Profile) -> tuple[list[int], int]:
-    """(lengths, bytes scanned) after old[edit_start:old_end] became data[edit_start:new_end].
+def spans(n: int, splices: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Splices (start, old_end, new_end), each in the coordinates that the ones before have left, as edits (old_start, old_end, new_start, new_end) of the first and the last coordinates, in order and apart from each other; and the last length.
 
-    Chunks that end before the edit stay: a cut depends on the byte after it too. From there the new bytes are cut until a cut meets an old one,
-    shifted; the old chunks after it then stay as well. The end of the content is no such cut.
+    What is left of the old content, stretch by stretch, is tracked through all splices; edits are what lies between.
     """
-    ends = np.cumsum(np.array(old, np.int64))
-    keep = int(np.searchsorted(ends, edit_start, "left"))
-    lengths = list(old[:keep])
-    start = int(ends[keep - 1]) if keep else 0
-    shift = new_end - old_end
-    places = {int(e) + shift: i for i, e in enumerate(ends[:-1].tolist()) if e >= old_end}
-    at, scanned, step = start, 0, 4 * profile.maximum
-    cutter = Cutter(profile)
-    pos = start
-    while pos < len(data):
-        piece = data[pos : pos + step]
-        for length in cutter.feed(piece):
-            at += length
-            lengths.append(length)
-            if at >= new_end and at in places:
-                return lengths + list(old[places[at] + 1 :]), at - start
-        pos += len(piece)
-        scanned = pos - start
-    return lengths + cutter.finish(), scanned
+    kept: list[tuple[int | None, int]] = [(0, n)]  # (place in the old content, or None for new bytes; length)
+    for start, old_end, new_end in splices:
+        out, at = [], 0
+        for place, size in kept:
+            for low, high in ((at, min(at + size, start)), (max(at, old_end), at + size)):
+                if low < high:
+                    out.append((low if high <= start else low - old_end + new_end, None if place is None else place + low - at, high - low))
+            at += size
+        out.append((start, None, new_end - start))
+        kept = [(place, size) for _, place, size in sorted(out, key=lambda x: (x[0], x[2]))]
+    edits: list[tuple[int, int, int, int]] = []
+    old = new = gap = 0  # ends of the last old stretch, and where the edit under way began
+    for place, size in [*kept, (n, 0)]:
+        if place is None:
+            new += size
+            continue
+        if place > old or new > gap:
+            edits.append((old, place, gap, new))
+        old, new = place + size, new + size
+        gap = new
+    return edits, new
+
+
+def recut_apart(data: bytes, old: list[int], splices: list[tuple[int, int, int]], profile: Profile) -> tuple[list[int], list[tuple[int, int, int]], int]:
+    """(lengths, kept, bytes scanned) after splices: as cutting anew, but between edits the old chunks stay from where a cut meets an old one up to the next edit. kept: runs (first new chunk, first old chunk, chunks)."""
+    ends = np.cumsum(np.array(old, np.int64)).tolist()
+    edits, size = spans(ends[-1] if ends else 0, splices)
+    if size != len(data):
+        raise ValueError("the splices don't lead to a content of this length")
+    place = {e: i for i, e in enumerate(ends)}
+    out: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    at, chunk, scanned, k = 0, 0, 0, 0  # new position, next old chunk, bytes cut, next edit
+    while True:
+        # Old chunks stay that end before the next edit begins: a cut depends on the byte after it too.
+        stop = bisect.bisect_left(ends, edits[k][0], chunk) if k < len(edits) else len(ends)
+        if stop > chunk:
+            kept.append((len(out), chunk, stop - chunk))
+            out += old[chunk:stop]
+            at += ends[stop - 1] - (ends[chunk - 1] if chunk else 0)
+            chunk = stop
+        if k == len(edits):
+            return out, kept, scanned
+        cutter, pos, met, base = Cutter(profile), at, False, at
+        while pos < len(data) and not met:
+            piece = data[pos : pos + max(4 * profile.maximum, 1 << 14)]
+            for n in cutter.feed(piece):
+                at += n
+                out.append(n)
+                while k < len(edits) and edits[k][3] <= at:
+                    k += 1  # passed
+                before = k - 1
+                if before >= 0 and edits[before][3] <= at and (k == len(edits) or at < edits[k][2]):
+                    was = at - edits[before][3] + edits[before][1]
+                    if was in place and place[was] < len(ends) - 1:
+                        chunk, met = place[was] + 1, True
+                        break
+            pos += len(piece)
+        scanned += min(pos, len(data)) - base if not met else at - base
+        if not met:
+            return out + cutter.finish(), kept, scanned

@@ -109,3 +109,13 @@ def verdicts(measured: DataFrame, keys: list[str], lane: str, base_lane: str, va
     base = measured.where(F.col(lane) == base_lane).select(*keys, F.col(value).alias("base"))
     out = measured.where(F.col(lane) != base_lane).join(base, keys)
     return out.select(*keys, lane, (F.col(value) / F.col("base")).alias("ratio"), F.when(F.col(value) / F.col("base") >= least, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+def registry_faults(registry: DataFrame, index: DataFrame, statuses: list[str]) -> DataFrame:
+    """registry and index: (id, status). Whatever keeps the two from being one list of unique ids with legal statuses: (id, fault, registered, indexed); a sound pair gives none."""
+    ids = {}
+    for name, table in (("registered", registry), ("indexed", index)):
+        ids[name] = table.groupBy("id").agg(F.min("status").alias(name), F.count(F.lit(1)).alias(f"n_{name}"), F.count_if(~F.coalesce(F.col("status").isin(statuses), F.lit(False))).alias(f"bad_{name}"))
+    both = ids["registered"].join(ids["indexed"], ids["registered"]["id"].eqNullSafe(ids["indexed"]["id"]), "full").select(F.coalesce(ids["registered"]["id"], ids["indexed"]["id"]).alias("id"), *(F.col(f"{p}{n}") for n in ("registered", "indexed") for p in ("", "n_", "bad_")))
+    tests = (("no_id", F.coalesce("id", F.lit("")) == ""), ("repeated", (F.col("n_registered") > 1) | (F.col("n_indexed") > 1)), ("status", (F.col("bad_registered") > 0) | (F.col("bad_indexed") > 0)), ("unregistered", F.col("n_registered").isNull()), ("unindexed", F.col("n_indexed").isNull()), ("disagree", F.col("registered") != F.col("indexed")))
+    return both.select("id", "registered", "indexed", F.explode(F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests)), lambda x: x.isNotNull())).alias("fault")).select("id", "fault", "registered", "indexed")

@@ -9,49 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.functions.cutting import recut
+from corestrata.functions.cutting import recut_apart
 from corestrata.functions.profiles import Profile
 
 
 def rechunk(chunks: DataFrame, edited: DataFrame, keys: list[str], profile: Profile) -> DataFrame:
     """chunks: old ones (keys..., idx, len, id); edited: (keys..., bytes, splices), splices an array of (start, old_end, new_end) in order, each in the coordinates that the ones before have left.
 
-    Returns the new chunks (keys..., idx, off, len, id, scanned): equal to cutting anew, reused ids included.
+    Returns the new chunks (keys..., idx, off, len, id, reused, scanned): equal to cutting anew. Only what the
+    edits reach is cut and hashed; between edits that lie apart old chunks stay, with their ids (reused).
     """
     old = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "len", "id"))).alias("old"))
-    joined = edited.join(old, keys, "left").select(*keys, "bytes", "splices", "old")
+    joined = edited.join(old, keys, "left").select(*keys, "bytes", "splices", "old.len", "old.id")
     types = dict(joined.dtypes)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
 
     def run(source):
         for batch in source:
             rows, cols = [], []
-            for r, (raw, splices, was) in enumerate(zip(*(batch.column(len(keys) + i).to_pylist() for i in range(3)), strict=True)):
-                raw = raw or b""
-                known = {}
-                at = 0
-                lengths = [c["len"] for c in was or []]
-                for c in was or []:
-                    known[at, c["len"]] = c["id"]
-                    at += c["len"]
-                splices = splices or []
-                scanned = 0
-                # Of several edits only the span from the first to the last is cut anew; shifts are the sums of theirs.
-                if splices:
-                    start = min(s["start"] for s in splices)
-                    shift = sum(s["new_end"] - s["old_end"] for s in splices)
-                    new_end = max(s["new_end"] + sum(t["new_end"] - t["old_end"] for t in splices[i + 1 :] if t["start"] <= s["start"]) for i, s in enumerate(splices))
-                    old_end = new_end - shift
-                    lengths, scanned = recut(raw, lengths, start, old_end, new_end, profile)
-                else:
-                    start = old_end = new_end = shift = 0
-                for i, (off, n) in enumerate(zip(itertools.accumulate([0, *lengths[:-1]]), lengths, strict=True)):
-                    same = known.get((off, n)) if off + n <= start else known.get((off - shift, n)) if off >= new_end else None
+            for r, (splices, lengths, ids) in enumerate(zip(*(batch.column(len(keys) + i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                raw = memoryview(batch.column(len(keys))[r].as_buffer() or b"")
+                edits = [(s["start"], s["old_end"], s["new_end"]) for s in splices or []]
+                new, kept, scanned = recut_apart(raw, lengths or [], edits, profile)
+                known = {i + k: ids[j + k] for i, j, n in kept for k in range(n)}
+                for i, (off, n) in enumerate(zip(itertools.accumulate([0, *new[:-1]]), new, strict=True)):
                     rows.append(r)
-                    cols.append((i, off, n, same or hashlib.sha256(raw[off : off + n]).hexdigest(), scanned))
+                    cols.append((i, off, n, known.get(i) or hashlib.sha256(raw[off : off + n]).hexdigest(), i in known, scanned))
             take = pa.array(rows, pa.int64())
-            kept = [batch.column(i).take(take) for i in range(len(keys))]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            new = [pa.array(c, t) for c, t in zip(zip(*cols, strict=True), kinds, strict=True)] if cols else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays(kept + new, names=[*keys, "idx", "off", "len", "id", "scanned"])
+            out = [pa.array(c, t) for c, t in zip(zip(*cols, strict=True), kinds, strict=True)] if cols else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(len(keys))] + out, names=[*keys, "idx", "off", "len", "id", "reused", "scanned"])
 
-    return joined.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx long, off long, len long, id string, scanned long"]))
+    return joined.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "idx long, off long, len long, id string, reused boolean, scanned long"]))

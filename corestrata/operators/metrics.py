@@ -129,17 +129,51 @@ def boundary_agreement(left: DataFrame, right: DataFrame, keys: list[str]) -> Da
     return out.withColumn("agreement", F.when(most == 0, 1.0).otherwise(F.col("shared") / most))
 
 
+def _weighted_median(values: np.ndarray, counts: np.ndarray) -> float:
+    """Median of values (ascending) that occur so many times."""
+    ends, n = np.cumsum(counts), int(counts.sum())
+    low, high = np.searchsorted(ends, [(n - 1) // 2, n // 2], "right")
+    return float((values[low] + values[high]) / 2)
+
+
+def _interval(draws: list[float]) -> tuple[float, float]:
+    return float(np.quantile(draws, 0.025)), float(np.quantile(draws, 0.975))
+
+
 def bootstrap_medians(samples: DataFrame, keys: list[str], value: str, seed: int = 1, rounds: int = 1000) -> DataFrame:
-    """Median of a group's values and the 2.5th and 97.5th percentile of medians of resamples; the same for any partitioning."""
+    """Median of a group's values and the 2.5th and 97.5th percentile of medians of resamples; the same for any partitioning.
+
+    A resample with replacement is a draw of how often each distinct value occurs, so values are counted first, and a
+    task holds a group's distinct values alone.
+    """
+    types = dict(samples.dtypes)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_v")
+        v, c = pdf["_v"].to_numpy(float), pdf["_n"].to_numpy(np.int64)
+        rng = np.random.default_rng(seed)
+        low, high = _interval([_weighted_median(v, rng.multinomial(c.sum(), c / c.sum())) for _ in range(rounds)])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "median": [_weighted_median(v, c)], "low": [low], "high": [high]})
+
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "median double, low double, high double"]))
+
+
+def bootstrap_ratios(samples: DataFrame, keys: list[str], lane: str, off: str, seed: int = 1, rounds: int = 1000) -> DataFrame:
+    """Overhead sum(lane) / sum(off) - 1 of a group's pairs, with the interval of resampled pairs; groups whose off doesn't sum to more than 0 give none. Pairs are counted first, as in bootstrap_medians()."""
     types = dict(samples.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy(float))
-        draws = np.random.default_rng(seed).integers(0, len(v), (rounds, len(v)))
-        m = np.median(v[draws], axis=1)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "median": [float(np.median(v))], "low": [float(np.quantile(m, 0.025))], "high": [float(np.quantile(m, 0.975))]})
+        pdf = pdf.sort_values(["_a", "_b"])
+        a, b, c = (pdf[x].to_numpy(float) for x in ("_a", "_b", "_n"))
+        ratio = lambda n: float(n @ a / (n @ b) - 1) if n @ b > 0 else 0.0
+        rng = np.random.default_rng(seed)
+        low, high = _interval([ratio(rng.multinomial(int(c.sum()), c / c.sum())) for _ in range(rounds)])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "overhead": [ratio(c)], "low": [low], "high": [high]})
 
-    return samples.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "median double, low double, high double"]))
+    counted = samples.where(F.col(lane).isNotNull() & F.col(off).isNotNull()).groupBy(*keys, F.col(lane).cast("double").alias("_a"), F.col(off).cast("double").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    some = counted.join(counted.groupBy(*keys).agg(F.sum(F.col("_b") * F.col("_n")).alias("_s")).where("_s > 0").select(*keys), keys, "left_semi")
+    return some.groupBy(*keys).applyInPandas(one, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "overhead double, low double, high double"]))
 
 
 def bootstrap_blocks(samples: DataFrame, keys: list[str], block: str, left: str, right: str, seed: int = 1, rounds: int = 1000) -> DataFrame:

@@ -29,11 +29,11 @@ class Edit:
 
 def draw(seed: int, what: str, limit: int) -> int:
     """A number below limit that depends on the seed and on what it is for, so that no draw shifts another."""
-    return int.from_bytes(hashlib.blake2b(f"{what}/{seed}".encode(), digest_size=16).digest(), "little") % max(1, limit)
+    return int(hashlib.md5(f"{what}/{seed}".encode(), usedforsecurity=False).hexdigest()[:15], 16) % max(1, limit)
 
 
 def filler(seed: int, what: str, size: int) -> bytes:
-    return hashlib.shake_128(f"{what}/{seed}".encode()).digest(size)
+    return b"".join(hashlib.sha256(f"{what}/{seed}/{k}".encode()).digest() for k in range(-(-size // 32)))[:size]
 
 
 def pieces(kind: str, n: int, size: int, seed: int) -> tuple[list[tuple[int, int] | bytes], str]:

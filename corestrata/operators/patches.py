@@ -1,5 +1,6 @@
 """Patches as relations: entries chosen in Arrow batches, everything else joins and aggregates."""
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corestrata.functions import classify, codecs, fixed
-from corestrata.functions.cutting import cut, rolling
-from corestrata.functions.hashing import super_features
+from corestrata.functions.cutting import cut
+from corestrata.functions.hashing import super_features, window_hashes
 from corestrata.functions.profiles import Malformed, Profile
 from corestrata.operators import candidates, chunking, reuse
 from corestrata.operators.arrow import each_row
@@ -44,15 +45,15 @@ def _wanted(base: bytes, target: bytes, profile: Profile):
 _ENTRY = pa.schema([("idx", pa.int64()), ("id", pa.string()), ("len", pa.int64()), ("encoding", pa.int32()), ("dict", pa.list_(pa.string())), ("stored", pa.binary()), ("choice", pa.int32())])
 
 
-def entries(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile, level: int = 19, ranked: bool = False, run: int = 4) -> DataFrame:
-    """One row for each distinct chunk that the base lacks: idx, id, len, encoding, dict (ids), stored, stored_len, dict_count, choice (the dictionary's number, -1 for none, -2 for raw)."""
+def entries(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile, level: int = 19, ranked: bool = False, run: int = 4, radius: int = candidates.RADIUS, most: int = candidates.MOST) -> DataFrame:
+    """run, radius and most say how long, how near and how many the dictionaries are. One row for each distinct chunk that the base lacks: idx, id, len, encoding, dict (ids), stored, stored_len, dict_count, choice (the dictionary's number, -1 for none, -2 for raw)."""
     pick = binary.choose_ranked if ranked else binary.choose
 
     def make(t, b):
         t, b = t or b"", b or b""
         m, wanted = _wanted(b, t, profile)
         for i, chunk, at, n in wanted:
-            e, which = pick(chunk, t[at : at + n], binary.dictionaries(m, b, at, run), level=level)
+            e, which = pick(chunk, t[at : at + n], binary.dictionaries(m, b, at, run, radius, most) if run and most else [], level=level)
             yield i, chunk.hex(), n, e.encoding, [c.hex() for c in e.dictionary], e.stored, which
 
     out = each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "idx long, id string, len long, encoding int, dict array<string>, stored binary, choice int", _ENTRY, make)
@@ -95,7 +96,7 @@ def study(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile,
         m, wanted = _wanted(b, t, profile)
         out = dict.fromkeys(lanes, 0)
         out["full_zstd"] = len(codecs.compress(t, level=level))
-        out["patch_from"] = len(codecs.compress(t, b[-codecs.DICTIONARY_BYTES :], level))
+        out["patch_from"] = len(codecs.patch_from(t, b, level))
         for _, chunk, at, n in wanted:
             raw = t[at : at + n]
             out["raw"] += n
@@ -241,30 +242,46 @@ def super_feature_keys(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_windows(base: DataFrame, target: DataFrame, keys: list[str], size: int, grid: int) -> DataFrame:
-    """Windows of size (at most 64) bytes of the base, on a grid, that occur anywhere in the target: (keys..., base_at, target_at), the first occurrence of each. Hashes meet in a join; bytes decide."""
-    if not 0 < size <= 64:
-        raise ValueError("windows have 1 to 64 bytes")
+    """Windows of size bytes of the base, on a grid, that occur anywhere in the target: (keys..., base_at, target_at), the first occurrence of each. Hashes meet in a join; bytes decide, content by content, so that a content is not copied for each window."""
+    if size < 1 or grid < 1:
+        raise ValueError("windows and grids have one byte at least")
     schema = pa.schema([("h", pa.int64()), ("at", pa.int64())])
 
     def windows(step):
         def make(raw):
-            import numpy as np
-
-            if raw is None or len(raw) < size:
-                return []
-            h = rolling(np.frombuffer(raw, np.uint8))[size - 1 :]
-            if size < 64:
-                h = h & np.uint64((1 << size) - 1)  # bits that older bytes reach are left out
+            h = window_hashes(raw or b"", size)
             at = np.arange(0, len(h), step)
             return zip(h[at].view(np.int64).tolist(), at.tolist(), strict=True)
 
         return make
 
+    def confirmed(b, t, pairs):
+        first: dict[int, int] = {}
+        for x, y in sorted((p["base_at"], p["at"]) for p in pairs):
+            if x not in first and b[x : x + size] == t[y : y + size]:
+                first[x] = y
+        return first.items()
+
     b = each_row(base, keys, ["bytes"], "h long, at long", schema, windows(grid)).withColumnRenamed("at", "base_at")
     t = each_row(target, keys, ["bytes"], "h long, at long", schema, windows(1)).join(b.select(*keys, "h").distinct(), [*keys, "h"], "left_semi")
-    near = b.join(t, [*keys, "h"]).join(_both(base, target, keys), keys)
-    cut_out = lambda c, at: F.substring(F.col(c), (F.col(at) + 1).cast("int"), F.lit(size))
-    return near.where(cut_out("base_bytes", "base_at") == cut_out("target_bytes", "at")).groupBy(*keys, "base_at").agg(F.min("at").alias("target_at"))
+    met = b.join(t, [*keys, "h"]).groupBy(*keys).agg(F.collect_list(F.struct("base_at", "at")).alias("pairs"))
+    found = pa.schema([("base_at", pa.int64()), ("target_at", pa.int64())])
+    return each_row(_both(base, target, keys).join(met, keys), keys, ["base_bytes", "target_bytes", "pairs"], "base_at long, target_at long", found, confirmed)
+
+
+def residuals(base: DataFrame, target: DataFrame, keys: list[str], level: int = 3) -> DataFrame:
+    """(keys..., bytes, xor_bytes, sparse_bytes, runs, restored): what a target weighs as the compressed XOR with its base and as the runs in which it differs, and whether both give it back."""
+    schema = pa.schema([("bytes", pa.int64()), ("xor_bytes", pa.int64()), ("sparse_bytes", pa.int64()), ("runs", pa.int64()), ("restored", pa.bool_())])
+
+    def make(t, b):
+        t, b = t or b"", b or b""
+        stored, runs = codecs.xor_residual(b, t, level), codecs.sparse_runs(b, t)
+        again = bytearray(b[: len(t)].ljust(len(t), b"\0"))
+        for at, new in runs:
+            again[at : at + len(new)] = new
+        yield len(t), len(stored), codecs.sparse_size(runs), len(runs), codecs.xor_restore(b, stored, len(t)) == t == bytes(again)
+
+    return each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], "bytes long, xor_bytes long, sparse_bytes long, runs long, restored boolean", schema, make)
 
 
 def boundaries_hold(content: DataFrame, chunks: DataFrame, keys: list[str], profile: Profile) -> DataFrame:

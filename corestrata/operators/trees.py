@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corestrata.operators.arrow import each_row
+
 #: Names that carry a version: a stem that ends with an underscore, and four numbers.
 VERSIONED = r"^(?:(.*)/)?([A-Za-z0-9][A-Za-z0-9_.+-]{0,127}_)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\.dll$"
 LEAST, MOST, POOL = 65_536, 64 << 20, 8
@@ -167,9 +170,14 @@ def file_reuse(old_chunks: DataFrame, new_chunks: DataFrame, keys: list[str]) ->
 
 
 def alignment(base: DataFrame, target: DataFrame, base_content: DataFrame, keys: list[str]) -> DataFrame:
-    """Each target chunk (with payload) as EXACT_WHOLE_AT_CDC_BOUNDARY, EXACT_WHOLE_ONLY_UNALIGNED or NO_WHOLE_EXACT_BYTES: a base chunk, elsewhere in the base's bytes, or nowhere in them."""
+    """Each target chunk (with payload) as EXACT_WHOLE_AT_CDC_BOUNDARY, EXACT_WHOLE_ONLY_UNALIGNED or NO_WHOLE_EXACT_BYTES: a base chunk, elsewhere in the base's bytes, or nowhere in them.
+
+    Chunks that are no base chunk gather by content and are looked for there together, so that a base is read once.
+    """
     ids = base.select(*keys, "id").distinct().withColumn("aligned", F.lit(True))
-    seen = target.join(ids, [*keys, "id"], "left").join(base_content.select(*keys, F.col("bytes").alias("base_bytes")), keys, "left")
-    inside = F.coalesce(F.contains("base_bytes", "payload"), F.lit(False))
-    kind = F.when(F.col("aligned"), "EXACT_WHOLE_AT_CDC_BOUNDARY").when(inside, "EXACT_WHOLE_ONLY_UNALIGNED").otherwise("NO_WHOLE_EXACT_BYTES")
-    return seen.select(*keys, "idx", "len", kind.alias("alignment"))
+    seen = target.join(ids, [*keys, "id"], "left")
+    rest = seen.where("aligned is null").groupBy(*keys).agg(F.collect_list(F.struct("idx", "len", "payload")).alias("rest"))
+    schema = pa.schema([("idx", pa.int64()), ("len", pa.int64()), ("inside", pa.bool_())])
+    looked = each_row(rest.join(base_content.select(*keys, "bytes"), keys, "left"), keys, ["rest", "bytes"], "idx long, len long, inside boolean", schema, lambda some, raw: [(c["idx"], c["len"], raw is not None and c["payload"] in raw) for c in some])
+    whole = seen.where("aligned").select(*keys, "idx", "len", F.lit("EXACT_WHOLE_AT_CDC_BOUNDARY").alias("alignment"))
+    return whole.unionByName(looked.select(*keys, "idx", "len", F.when(F.col("inside"), "EXACT_WHOLE_ONLY_UNALIGNED").otherwise("NO_WHOLE_EXACT_BYTES").alias("alignment")))

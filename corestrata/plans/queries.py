@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corestrata.functions import fixed
 from corestrata.functions.profiles import SMALL, STABLE, Profile, gear_table, lab_profile
-from corestrata.operators import accounting, candidates, chunking, envelopes, families, identity, incremental, metrics, mutations, patches, reuse, trees
+from corestrata.operators import accounting, candidates, chunking, envelopes, families, identity, incremental, lab, metrics, mutations, patches, policies, reuse, trees
 from corestrata.plans import base
 from corestrata.plans.base import PAIR, SQL_DOCUMENT_CHUNKS, SQL_DOCUMENTS, SQL_HISTORIES, SQL_TREES, sql_chunks, sql_pairs
 
@@ -40,12 +40,12 @@ def chunk_fixed(spark, sf_dir):
     return chunking.fixed_chunks(base.documents(spark, sf_dir).drop("family"), 1024)
 
 
-def cdc_sql(p: Profile) -> str:
-    """Content-defined cutting in SQL: one step of recursion for each chunk, a fold over its bytes with 128-bit integers."""
+def cdc_sql(p: Profile, contents: str = "SELECT doc_id AS content_id, encode(coalesce(text, '')) AS b FROM documents") -> str:
+    """Content-defined cutting of contents (content_id, b) in SQL: one step of recursion for each chunk, a fold over its bytes with 128-bit integers."""
     gear = ", ".join(f"{int(g)}::HUGEINT" for g in gear_table())
     begin = 0 if p.warm else p.minimum
     return f"""WITH RECURSIVE gear AS (SELECT [{gear}] AS g),
-    d AS MATERIALIZED (SELECT doc_id AS content_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+    d AS MATERIALIZED (SELECT content_id, b, hex(b) AS hx FROM ({contents})),
     gv AS MATERIALIZED (SELECT content_id, b, octet_length(b) AS n, list_transform(range(0, octet_length(b)), lambda i: g[1 + ('0x' || substr(hx, 2 * i + 1, 2))::INT]) AS h FROM d, gear),
     c AS (
         SELECT content_id, -1::BIGINT AS idx, 0::BIGINT AS off, 0::BIGINT AS len FROM gv
@@ -91,9 +91,15 @@ def chunk_index(spark, sf_dir):
     return chunking.with_index(base.document_chunks(spark, sf_dir).drop("idx"), ["content_id"]).select("content_id", "idx", "off")
 
 
-@query("SELECT 0::BIGINT AS broken FROM range(1)")
+@query(
+    f"""WITH {SQL_DOCUMENT_CHUNKS}, x AS (SELECT content_id, idx, CASE WHEN content_id % 5 = 1 AND idx = 1 THEN off + 1 ELSE off END AS said, CASE WHEN content_id % 7 = 2 AND idx = 2 THEN 0 ELSE len END AS len FROM k)
+    SELECT * FROM (SELECT content_id, idx, said, CAST(sum(len) OVER (PARTITION BY content_id ORDER BY idx) - len AS BIGINT) AS off, len FROM x) WHERE len <= 0 OR said <> off"""
+)
 def chunk_guards(spark, sf_dir):
-    return chunking.broken(base.document_chunks(spark, sf_dir), ["content_id"]).agg(F.count(F.lit(1)).alias("broken"))
+    """Tables in which some offsets were moved and some lengths lost."""
+    some = lambda n, r, i: (F.col("content_id") % n == r) & (F.col("idx") == i)
+    chunks = base.document_chunks(spark, sf_dir).withColumn("off", F.col("off") + some(5, 1, 1).cast("int")).withColumn("len", F.when(some(7, 2, 2), 0).otherwise(F.col("len")))
+    return chunking.broken(chunks, ["content_id"])
 
 
 @query(f"WITH {SQL_DOCUMENT_CHUNKS} SELECT content_id, idx, off + len AS boundary FROM k WHERE idx < (SELECT max(idx) FROM k AS x WHERE x.content_id = k.content_id)")
@@ -121,7 +127,13 @@ def content_percentiles(spark, sf_dir):
     return rounded(metrics.percentiles(sizes, ["family"]))
 
 
-@query()
+_CDC_FAMILIES = f"k AS MATERIALIZED ({cdc_sql(SMALL)}), f AS (SELECT source AS family, k.* FROM k JOIN documents ON doc_id = content_id)"
+
+
+@query(
+    f"""WITH {_CDC_FAMILIES} SELECT family, CAST(quantile_disc(len, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(len, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(len, 0.99) AS BIGINT) AS p99,
+    CAST(max(len) AS BIGINT) AS max, round(quantile_cont(len::DOUBLE, 0.5), 6) AS median, round(quantile_cont(len::DOUBLE, 0.95), 6) AS p95_linear FROM f GROUP BY family"""
+)
 def chunk_percentiles(spark, sf_dir):
     return rounded(metrics.percentiles(chunking.cdc_chunks(base.documents(spark, sf_dir), SMALL), ["family"]))
 
@@ -131,7 +143,7 @@ def max_cut_rate(spark, sf_dir):
     return rounded(metrics.cut_rates(base.document_chunks(spark, sf_dir), ["family"], 256))
 
 
-@query()
+@query(f"WITH {_CDC_FAMILIES} SELECT family, count(*) FILTER (len >= {SMALL.minimum} AND len < {SMALL.minimum} + 63) AS transient_cuts, count(*) AS chunks FROM f GROUP BY family")
 def transient_cuts(spark, sf_dir):
     return metrics.transient_cuts(chunking.cdc_chunks(base.documents(spark, sf_dir), SMALL), ["family"], SMALL.minimum)
 
@@ -301,7 +313,18 @@ def resync_summary(spark, sf_dir):
     return rounded(families.resync_summary(found.join(base.documents(spark, sf_dir).drop("bytes"), "content_id"), ["family"]))
 
 
-@query()
+_INSERTED = "SELECT doc_id AS content_id, b[1:least(100, octet_length(b))] || encode(repeat('x', 255)) || b[least(100, octet_length(b)) + 1:octet_length(b)] AS b FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)"
+
+
+@query(
+    f"""WITH m AS MATERIALIZED ({_INSERTED}), ks AS MATERIALIZED ({cdc_sql(SMALL)}), kt AS MATERIALIZED ({cdc_sql(SMALL, _INSERTED)}), e AS (SELECT m.content_id, octet_length(b) AS n, least(100, octet_length(b) - 255) + 255 AS affected_end FROM m),
+    rs AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY idx DESC) AS r FROM ks), rt AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY idx DESC) AS r FROM kt),
+    q AS (SELECT rt.content_id, rt.idx, rt.off, min(CASE WHEN coalesce(rs.id = rt.id AND rs.len = rt.len, false) THEN 1 ELSE 0 END) OVER (PARTITION BY rt.content_id ORDER BY rt.r ROWS UNBOUNDED PRECEDING) AS eq FROM rt LEFT JOIN rs USING (content_id, r)),
+    hit AS (SELECT content_id, min(off) AS met FROM q JOIN e USING (content_id) WHERE eq = 1 AND idx >= 1 AND off >= affected_end GROUP BY content_id),
+    g AS (SELECT source AS family, CASE WHEN affected_end < n THEN met - affected_end END AS distance, CASE WHEN affected_end >= n THEN 'not-applicable' WHEN met IS NULL THEN 'not-resynchronized' ELSE 'resynchronized' END AS status FROM e JOIN documents ON doc_id = content_id LEFT JOIN hit USING (content_id))
+    SELECT family, count(*) FILTER (status <> 'not-applicable') AS applicable, count(*) FILTER (status = 'resynchronized') AS resynchronized, round(CASE WHEN count(*) FILTER (status <> 'not-applicable') = 0 THEN NULL ELSE count(*) FILTER (status = 'resynchronized') / count(*) FILTER (status <> 'not-applicable') END, 6) AS coverage,
+    CAST(quantile_disc(distance, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(distance, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(distance, 0.99) AS BIGINT) AS p99, CAST(max(distance) AS BIGINT) AS max FROM g GROUP BY family"""
+)
 def resync_cdc(spark, sf_dir):
     """The same edit under content-defined chunks, which do meet again."""
     content = base.documents(spark, sf_dir)
@@ -407,15 +430,23 @@ def verify_content(spark, sf_dir):
     return stored.join(now, "content_id").select("content_id", F.when(F.col("manifest_id") == F.col("now"), 0).otherwise(32).alias("flags"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SQL_DOCUMENT_CHUNKS}, g AS (SELECT content_id, idx, off, len, 0 AS range, len AS size FROM k WHERE idx = 0 UNION ALL
+        SELECT k.content_id, k.idx, k.off, k.len, CASE WHEN g.size + k.len > 2000 THEN g.range + 1 ELSE g.range END, CASE WHEN g.size + k.len > 2000 THEN k.len ELSE g.size + k.len END FROM g JOIN k ON k.content_id = g.content_id AND k.idx = g.idx + 1)
+    SELECT content_id, range, min(off) AS off, CAST(sum(len) AS BIGINT) AS len, count(*) AS records FROM g GROUP BY ALL"""
+)
 def range_groups(spark, sf_dir):
     return identity.range_groups(base.document_chunks(spark, sf_dir), ["content_id"], 2000)
 
 
-@query("SELECT doc_id AS content_id, true AS holds FROM documents WHERE octet_length(encode(coalesce(text, ''))) > 0")
+@query(f"WITH k AS MATERIALIZED ({cdc_sql(SMALL)}) SELECT content_id, NOT (content_id % 3 = 0 AND count(*) >= 2) AS holds FROM k GROUP BY content_id")
 def boundary_recheck(spark, sf_dir):
-    """Stored chunk lengths against the boundaries that the bytes have, without hashing them."""
-    return patches.boundaries_hold(base.documents(spark, sf_dir).drop("family"), chunking.cdc_chunks(base.documents(spark, sf_dir).drop("family"), SMALL), ["content_id"], SMALL)
+    """Stored chunk lengths against the boundaries that the bytes have, without hashing them; in some tables the first boundary was moved by a byte."""
+    content = base.documents(spark, sf_dir).drop("family")
+    chunks = chunking.cdc_chunks(content, SMALL)
+    several = chunks.where("idx = 1 and content_id % 3 = 0").select("content_id", F.lit(1).alias("by"))
+    moved = chunks.join(several, "content_id", "left").withColumn("len", F.col("len") + F.when(F.col("idx") == 0, F.coalesce("by", F.lit(0))).when(F.col("idx") == 1, -F.coalesce("by", F.lit(0))).otherwise(0)).drop("by")
+    return patches.boundaries_hold(content, moved, ["content_id"], SMALL)
 
 
 # Edits
@@ -454,23 +485,31 @@ def boundary_edit(spark, sf_dir):
     return mutations.mutated(base.documents(spark, sf_dir).drop("family"), jobs, SMALL).select("content_id", "mutation", F.sha2("bytes", 256).alias("sha256"), "affected_start", "changed_bytes")
 
 
-@query()
+@query(
+    f"""WITH a AS MATERIALIZED ({cdc_sql(SMALL)}), b AS MATERIALIZED ({cdc_sql(WARM)}), ea AS (SELECT content_id, off AS e FROM a WHERE off > 0), eb AS (SELECT content_id, off AS e FROM b WHERE off > 0),
+    x AS (SELECT content_id, count(*) AS l FROM ea GROUP BY 1), y AS (SELECT content_id, count(*) AS r FROM eb GROUP BY 1), z AS (SELECT content_id, count(*) AS m FROM ea JOIN eb USING (content_id, e) GROUP BY 1)
+    SELECT content_id, coalesce(l, 0) AS left_boundaries, coalesce(r, 0) AS right_boundaries, coalesce(m, 0) AS shared, round(CASE WHEN greatest(coalesce(l, 0), coalesce(r, 0)) = 0 THEN 1 ELSE coalesce(m, 0) / greatest(coalesce(l, 0), coalesce(r, 0)) END, 6) AS agreement
+    FROM (SELECT DISTINCT content_id FROM a) LEFT JOIN x USING (content_id) LEFT JOIN y USING (content_id) LEFT JOIN z USING (content_id)"""
+)
 def semantic_divergence(spark, sf_dir):
     """Boundaries of the two ways to begin the hash."""
     content = base.documents(spark, sf_dir).drop("family")
     return rounded(metrics.boundary_agreement(chunking.cdc_chunks(content, SMALL), chunking.cdc_chunks(content, WARM), ["content_id"]))
 
 
-@query("SELECT doc_id AS content_id, true AS equal FROM documents")
+_TWICE = """SELECT content_id, b[1:n // 4] || encode('a new sentence.') || b[n // 4 + 1:n - n // 4] || b[n - n // 4 + 1 + n // 50:n] AS b FROM (SELECT doc_id AS content_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents)"""
+
+
+@query(cdc_sql(SMALL, _TWICE))
 def incremental_rechunk(spark, sf_dir):
-    """Chunks from old ones and an edit, held against cutting the edited content anew."""
+    """Chunks from old ones and two edits, a sentence put in and a stretch taken out; the SQL cuts the edited contents anew."""
     content = base.documents(spark, sf_dir).drop("family")
-    at = F.floor(F.octet_length("bytes") / 2)
-    edited = content.select("content_id", mutations.inserted(at, b"a new sentence.").alias("bytes"), F.array(F.struct(at.cast("long").alias("start"), at.cast("long").alias("old_end"), (at + 15).cast("long").alias("new_end"))).alias("splices"))
-    quick = incremental.rechunk(chunking.cdc_chunks(content, SMALL), edited, ["content_id"], SMALL)
-    whole = chunking.cdc_chunks(edited.select("content_id", "bytes"), SMALL)
-    a, b = (identity.sequence_digests(c, ["content_id"]).withColumnRenamed("sequence_digest", n) for c, n in ((quick, "a"), (whole, "b")))
-    return a.join(b, "content_id", "full").select("content_id", F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    n = F.octet_length("bytes")
+    first, late, gone = (F.floor(n / 4).cast("long"), (n - F.floor(n / 4)).cast("long"), F.floor(n / 50).cast("long"))
+    splice = lambda *x: F.struct(*(v.alias(c) for v, c in zip(x, ("start", "old_end", "new_end"), strict=True)))
+    shorter = content.select("content_id", mutations.deleted(late, gone).alias("bytes"), F.array(splice(late, late + gone, late), splice(first, first, first + 15)).alias("splices"))
+    edited = shorter.select("content_id", mutations.inserted(F.element_at("splices", 2)["start"], b"a new sentence.").alias("bytes"), "splices")
+    return incremental.rechunk(chunking.cdc_chunks(content, SMALL), edited, ["content_id"], SMALL).drop("reused", "scanned")
 
 
 # Versions and families
@@ -643,10 +682,25 @@ def similar_chunks(spark, sf_dir):
     return candidates.similar_starts(keys(b), keys(t), PAIR)
 
 
-@query()
+@query(
+    f"""WITH {SQL_HISTORIES}, bb AS (SELECT s.family, s.to_version AS version, b, octet_length(b) AS n FROM v JOIN steps s ON v.family = s.family AND v.version = s.from_version), bt AS (SELECT s.family, s.to_version AS version, encode('>>') || v.b AS b, octet_length(v.b) + 2 AS n FROM v JOIN steps s ON v.family = s.family AND v.version = s.to_version),
+    wb AS (SELECT family, version, i AS base_at, sha256(b[i + 1:i + 200]) AS h FROM bb, unnest(range(0, n - 199, 128)) AS x(i)), wt AS (SELECT family, version, i AS pos, sha256(b[i + 1:i + 200]) AS h FROM bt, unnest(range(0, n - 199)) AS x(i))
+    SELECT family, version, base_at, min(pos) AS target_at FROM wb JOIN wt USING (family, version, h) GROUP BY ALL"""
+)
 def exact_windows(spark, sf_dir):
+    """Windows of 200 bytes, on a grid of 128."""
     b, t = base.pair_contents(base.histories(spark, sf_dir))
-    return patches.exact_windows(b, t, PAIR, 64, 32)
+    return patches.exact_windows(b, t.withColumn("bytes", F.concat(F.lit(b">>"), "bytes")), PAIR, 200, 128)
+
+
+@query(
+    f"""WITH {SQL_HISTORIES}, p AS (SELECT s.family, s.to_version AS version, octet_length(x.b) AS old, octet_length(y.b) AS new FROM steps s JOIN v x ON x.family = s.family AND x.version = s.from_version JOIN v y ON y.family = s.family AND y.version = s.to_version)
+    SELECT family, version, CAST(new AS BIGINT) AS bytes, CAST(CASE WHEN new > old THEN 8 + new - old ELSE 0 END AS BIGINT) AS sparse_bytes, CASE WHEN new > old THEN 1::BIGINT ELSE 0::BIGINT END AS runs, true AS restored FROM p"""
+)
+def residual_costs(spark, sf_dir):
+    """Histories only grow, so a version differs from the one before in one run at its end."""
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    return patches.residuals(b, t, PAIR).drop("xor_bytes")
 
 
 #: Envelopes of the fixed ones' form, small enough for runs of 64-byte chunks to meet both bounds.
@@ -850,6 +904,9 @@ def chunk_alignment(spark, sf_dir):
 
 # Patches
 
+_CDC_NEED = f"""{SQL_HISTORIES}, kk AS MATERIALIZED ({cdc_sql(SMALL, f"WITH {SQL_HISTORIES} SELECT family || '/' || version AS content_id, b FROM v")}),
+    need AS (SELECT s.family, s.to_version AS version, t.idx, t.id, t.len, row_number() OVER (PARTITION BY s.family, s.to_version, t.id ORDER BY t.idx) AS rn FROM steps s JOIN kk t ON t.content_id = s.family || '/' || s.to_version WHERE NOT EXISTS (SELECT 1 FROM kk b WHERE b.content_id = s.family || '/' || s.from_version AND b.id = t.id))"""
+
 
 @query(
     f"""WITH {sql_pairs()}, {PLAN_SQL}, s AS (SELECT family, version, target_chunks AS c, unique_missing_chunks AS e FROM plan)
@@ -900,6 +957,13 @@ def candidate_trace(spark, sf_dir):
     return patches.trace(b, t, PAIR, SMALL, level=1)
 
 
+@query(f"WITH {_CDC_NEED} SELECT family, version, count(*) AS entries, count(*) AS raw_entries, 0::BIGINT AS zstd_entries, 0::BIGINT AS dictionary_entries, 0::BIGINT AS references, CAST(sum(len) AS BIGINT) AS stored_bytes, 1::BIGINT AS blocks FROM need WHERE rn = 1 GROUP BY ALL")
+def patch_entries_raw(spark, sf_dir):
+    """Entry statistics by pair, of entries stored as they are."""
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    return patches.statistics(patches.entries(b, t, PAIR, SMALL, level=0, run=0), PAIR)
+
+
 @query()
 def patch_entries(spark, sf_dir):
     """Entry statistics by pair, and their blocks."""
@@ -959,3 +1023,107 @@ def chunk_dump(spark, sf_dir):
 @query()
 def content_kinds(spark, sf_dir):
     return patches.classified(base.documents(spark, sf_dir).drop("family"))
+
+
+@query(
+    """WITH r AS (SELECT CASE WHEN p_partkey % 40 = 1 THEN 'x' || (p_partkey + 1) ELSE 'x' || p_partkey END AS id, CASE WHEN p_partkey % 30 = 7 THEN 'lost' WHEN p_size < 20 THEN 'open' ELSE 'done' END AS status FROM part WHERE p_partkey % 17 <> 3),
+    i AS (SELECT CASE WHEN p_partkey % 50 = 9 THEN '' ELSE 'x' || p_partkey END AS id, CASE WHEN p_size < 21 THEN 'open' ELSE 'done' END AS status FROM part WHERE p_partkey % 13 <> 3),
+    rg AS (SELECT id, min(status) AS registered, count(*) AS n, count(*) FILTER (status NOT IN ('open', 'done')) AS bad FROM r GROUP BY id), ig AS (SELECT id, min(status) AS indexed, count(*) AS n, count(*) FILTER (status NOT IN ('open', 'done')) AS bad FROM i GROUP BY id),
+    f AS (SELECT coalesce(rg.id, ig.id) AS id, registered, indexed, rg.n AS rn, ig.n AS inn, coalesce(rg.bad, 0) + coalesce(ig.bad, 0) AS bad FROM rg FULL JOIN ig ON rg.id = ig.id)
+    SELECT id, 'no_id' AS fault, registered, indexed FROM f WHERE id = '' UNION ALL SELECT id, 'repeated', registered, indexed FROM f WHERE rn > 1 OR inn > 1 UNION ALL SELECT id, 'status', registered, indexed FROM f WHERE bad > 0
+    UNION ALL SELECT id, 'unregistered', registered, indexed FROM f WHERE rn IS NULL UNION ALL SELECT id, 'unindexed', registered, indexed FROM f WHERE inn IS NULL UNION ALL SELECT id, 'disagree', registered, indexed FROM f WHERE registered <> indexed"""
+)
+def registry_faults(spark, sf_dir):
+    part = base.read(spark, sf_dir, "part")
+    registry = part.where("p_partkey % 17 <> 3").selectExpr("CASE WHEN p_partkey % 40 = 1 THEN 'x' || CAST(p_partkey + 1 AS STRING) ELSE 'x' || CAST(p_partkey AS STRING) END AS id", "CASE WHEN p_partkey % 30 = 7 THEN 'lost' WHEN p_size < 20 THEN 'open' ELSE 'done' END AS status")
+    index = part.where("p_partkey % 13 <> 3").selectExpr("CASE WHEN p_partkey % 50 = 9 THEN '' ELSE 'x' || CAST(p_partkey AS STRING) END AS id", "CASE WHEN p_size < 21 THEN 'open' ELSE 'done' END AS status")
+    return families.registry_faults(registry, index, ["open", "done"])
+
+
+LAB_LANES = {"fixed-256": 256, "fixed-1024": 1024}
+LAB_JOBS = [("append-300", "append", 300, 5), ("insert-90", "insert", 90, 6), ("delete-200", "delete", 200, 7), ("identity", "identity", 0, 0)]
+
+
+def _draw(what: str, seed: int, limit: str) -> str:
+    """mutations.draw() in SQL."""
+    return f"(('0x' || substr(md5('{what}/{seed}'), 1, 15))::BIGINT % greatest(1, {limit}))"
+
+
+def _fill(what: str, seed: int, size: int) -> str:
+    return "unhex('" + mutations.filler(seed, what, size).hex() + "')"
+
+
+LAB_EDITS = f"""{SQL_DOCUMENTS}, s AS (SELECT content_id, b, octet_length(b) AS n FROM d), ed AS (
+    SELECT content_id, 'append-300' AS mutation, b || {_fill('fill', 5, 300)} AS b, n + 300 AS affected_end, 300 AS changed_bytes FROM s
+    UNION ALL SELECT content_id, 'insert-90', b[1:{_draw('place', 6, 'n + 1')}] || {_fill('fill', 6, 90)} || b[{_draw('place', 6, 'n + 1')} + 1:n], {_draw('place', 6, 'n + 1')} + 90, 90 FROM s
+    UNION ALL SELECT content_id, 'delete-200', b[1:{_draw('place', 7, 'n - least(200, n) + 1')}] || b[{_draw('place', 7, 'n - least(200, n) + 1')} + least(200, n) + 1:n], {_draw('place', 7, 'n - least(200, n) + 1')}, least(200, n) FROM s
+    UNION ALL SELECT content_id, 'identity', b, 0, 0 FROM s), src AS (SELECT ed.content_id, mutation, s.b FROM ed JOIN s USING (content_id))"""
+
+
+def _lab_sql(size: int) -> str:
+    return f"""(WITH {LAB_EDITS}, {sql_chunks('ks', 'src', 'content_id, mutation', size)}, {sql_chunks('kt', 'ed', 'content_id, mutation', size)},
+    h AS (SELECT content_id, mutation, sum(len) FILTER (EXISTS (SELECT 1 FROM ks WHERE ks.content_id = kt.content_id AND ks.mutation = kt.mutation AND ks.id = kt.id)) AS reused, sum(len) AS total, count(*) AS n FROM kt GROUP BY ALL), c AS (SELECT content_id, mutation, count(*) AS n FROM ks GROUP BY ALL),
+    bs AS (SELECT content_id, mutation, lag(id) OVER w AS l, lag(len) OVER w AS ll, id AS r, len AS rl, idx FROM ks WINDOW w AS (PARTITION BY content_id, mutation ORDER BY idx)), bt AS (SELECT content_id, mutation, lag(id) OVER w AS l, lag(len) OVER w AS ll, id AS r, len AS rl, idx FROM kt WINDOW w AS (PARTITION BY content_id, mutation ORDER BY idx)),
+    ga AS (SELECT content_id, mutation, l, ll, r, rl, count(*) AS n FROM bs WHERE idx > 0 GROUP BY ALL), gb AS (SELECT content_id, mutation, l, ll, r, rl, count(*) AS n FROM bt WHERE idx > 0 GROUP BY ALL), sv AS (SELECT ga.content_id, ga.mutation, sum(least(ga.n, coalesce(gb.n, 0))) / sum(ga.n) AS survival FROM ga LEFT JOIN gb USING (content_id, mutation, l, ll, r, rl) GROUP BY ALL),
+    rs AS (SELECT *, row_number() OVER (PARTITION BY content_id, mutation ORDER BY idx DESC) AS q FROM ks), rt AS (SELECT *, row_number() OVER (PARTITION BY content_id, mutation ORDER BY idx DESC) AS q FROM kt),
+    eq AS (SELECT rt.content_id, rt.mutation, rt.idx, rt.off, min(CASE WHEN coalesce(rs.id = rt.id AND rs.len = rt.len, false) THEN 1 ELSE 0 END) OVER (PARTITION BY rt.content_id, rt.mutation ORDER BY rt.q ROWS UNBOUNDED PRECEDING) AS eq FROM rt LEFT JOIN rs USING (content_id, mutation, q)),
+    met AS (SELECT content_id, mutation, min(off) AS met FROM eq JOIN ed USING (content_id, mutation) WHERE eq = 1 AND idx >= 1 AND off >= affected_end GROUP BY ALL)
+    SELECT content_id, mutation, 'fixed-{size}' AS lane, CAST(changed_bytes AS BIGINT) AS changed_bytes, coalesce(c.n, 0) AS source_chunks, coalesce(h.n, 0) AS target_chunks, CAST(coalesce(reused, 0) AS BIGINT) AS reused_bytes, CAST(coalesce(total, 0) - coalesce(reused, 0) AS BIGINT) AS missing_bytes, round(coalesce(survival, 1), 6) AS survival,
+    CASE WHEN changed_bytes <> 0 AND affected_end < octet_length(ed.b) THEN CAST(met - affected_end AS BIGINT) END AS resync_distance, CASE WHEN changed_bytes = 0 OR affected_end >= octet_length(ed.b) THEN 'not-applicable' WHEN met IS NULL THEN 'not-resynchronized' ELSE 'resynchronized' END AS resync_status
+    FROM ed LEFT JOIN c USING (content_id, mutation) LEFT JOIN h USING (content_id, mutation) LEFT JOIN sv USING (content_id, mutation) LEFT JOIN met USING (content_id, mutation))"""
+
+
+LAB_SQL = " UNION ALL ".join(map(_lab_sql, LAB_LANES.values()))
+
+
+@query(LAB_SQL)
+def lab_run(spark, sf_dir):
+    """Two lanes of fixed chunks over all documents and four seeded edits."""
+    return rounded(lab.run(base.documents(spark, sf_dir).drop("family"), LAB_LANES, LAB_JOBS))
+
+
+@query()
+def lab_run_cdc(spark, sf_dir):
+    """Content-defined lanes over the other kinds of edits."""
+    jobs = [(k, k, 64, 7 + i) for i, k in enumerate(mutations.KINDS)]
+    return rounded(lab.run(base.documents(spark, sf_dir).drop("family"), {"small": SMALL, "warm": WARM}, jobs))
+
+
+@query(
+    f"""WITH l AS ({LAB_SQL}), g AS (SELECT lane, mutation, count(*) AS contents, round(avg(survival), 5) AS survival, CAST(sum(reused_bytes) AS BIGINT) AS reused_bytes, CAST(sum(missing_bytes) AS BIGINT) AS missing_bytes, round(avg(CASE WHEN resync_status = 'resynchronized' THEN 1.0 ELSE 0 END), 6) AS resynchronized FROM l GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (ORDER BY encode(lane), encode(mutation), contents) AS INT) AS position FROM g"""
+)
+def lab_report(spark, sf_dir):
+    done = lab.report(lab.run(base.documents(spark, sf_dir).drop("family"), LAB_LANES, LAB_JOBS))
+    return rounded(done.withColumn("survival", F.round("survival", 5)))
+
+
+@query()
+def bootstrap_ratios(spark, sf_dir):
+    """Overhead of net over list price by return flag."""
+    lines = base.read(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("lane"), F.col("l_extendedprice").alias("off"))
+    return rounded(metrics.bootstrap_ratios(lines, ["l_returnflag"], "lane", "off", rounds=200))
+
+
+_POLICY = "CASE p_partkey % 6 WHEN 0 THEN 'raw' WHEN 1 THEN 'wide' WHEN 2 THEN 'sweep-L' || p_partkey % 25 || '-K' || p_partkey % 7 || '-C' || CASE WHEN p_partkey % 4 = 0 THEN 9 ELSE 8 END WHEN 3 THEN 'enc-L19-K' || p_partkey % 5 || '-C16-' || CASE WHEN p_partkey % 2 = 0 THEN 'copy' ELSE 'prefix' END WHEN 4 THEN 'enc-L9-K4-C8-attach-H' || p_partkey % 30 || 'C18' ELSE p_name END"
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, {_POLICY} AS name FROM part), r AS (SELECT *, regexp_extract(name, '{policies.LANE}', ['l1', 'k1', 'c1', 'l2', 'k2', 'c2', 'load', 'h', 'c']) AS m FROM n),
+    x AS (SELECT *, TRY_CAST(coalesce(nullif(m.l1, ''), m.l2) AS INT) AS l, TRY_CAST(coalesce(nullif(m.k1, ''), m.k2) AS INT) AS k, TRY_CAST(coalesce(nullif(m.c1, ''), m.c2) AS INT) AS cc, TRY_CAST(nullif(m.h, '') AS INT) AS hl, TRY_CAST(nullif(m.c, '') AS INT) AS cl FROM r),
+    y AS (SELECT *, coalesce(name IN ('raw', 'wide') OR (l BETWEEN 1 AND 22 AND k BETWEEN 1 AND 4 AND cc IN (8, 16) AND coalesce(hl BETWEEN 6 AND 27, true) AND coalesce(cl BETWEEN 6 AND 27, true)), false) AS known FROM x)
+    SELECT p_partkey, name, known, CASE WHEN known THEN CASE name WHEN 'raw' THEN 0 WHEN 'wide' THEN 9 ELSE l END END AS level, CASE WHEN known THEN CASE name WHEN 'raw' THEN 0 WHEN 'wide' THEN 4 ELSE k END END AS chunks, CASE WHEN known THEN CASE name WHEN 'raw' THEN 0 WHEN 'wide' THEN 16 ELSE cc END END AS candidates,
+        CASE WHEN known THEN CASE WHEN name = 'raw' THEN 0 WHEN name = 'wide' OR cc = 16 THEN 1048576 ELSE 262144 END END AS radius, CASE WHEN known THEN false END AS ranked, CASE WHEN known THEN nullif(m.load, '') END AS load, CASE WHEN known THEN hl END AS hash_log, CASE WHEN known THEN cl END AS chain_log FROM y"""
+)
+def policy_names(spark, sf_dir):
+    return policies.parsed(base.read(spark, sf_dir, "part").select("p_partkey", F.expr(_POLICY).alias("name")))
+
+
+@query(f"WITH {_CDC_NEED}, p AS (SELECT family, version, count(*) AS entries FROM need WHERE rn = 1 GROUP BY ALL) SELECT family, version, unnest(['raw', 'plain', 'sweep-L3-K2-C8']) AS lane, entries, true AS sound FROM p")
+def policy_sweep(spark, sf_dir):
+    """Entries of three lanes; sound: raw stores the missing bytes as they are, no lane more than that, and only the lane with dictionaries refers to any."""
+    b, t = base.pair_contents(base.histories(spark, sf_dir))
+    lanes = policies.sweep(b, t, PAIR, SMALL, ["raw", "plain", "sweep-L3-K2-C8"])
+    need = reuse.plan(chunking.cdc_chunks(b, SMALL), chunking.cdc_chunks(t, SMALL), PAIR).select(*PAIR, "unique_missing_bytes")
+    fits = F.when(F.col("lane") == "raw", F.col("stored_bytes") == F.col("unique_missing_bytes")).otherwise(F.col("stored_bytes") <= F.col("unique_missing_bytes")) & ((F.col("lane") == "sweep-L3-K2-C8") | (F.col("references") == 0))
+    return lanes.join(need, PAIR).select(*PAIR, "lane", "entries", fits.alias("sound"))

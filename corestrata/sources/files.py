@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,13 @@ def read_manifests(spark: SparkSession, path: str, pattern: str = "*.csm") -> Da
     return read_contents(spark, path, pattern).mapInArrow(_parse, _RECORDS)
 
 
+def pull(records: DataFrame, most: int = 256) -> Iterator[list]:
+    """Rows of a table in their order, up to most at a time, as they are asked for: one partition is fetched at once, and none before its turn."""
+    rows = records.toLocalIterator(prefetchPartitions=False)
+    while part := list(itertools.islice(rows, most)):
+        yield part
+
+
 def build_manifests(content: DataFrame, profile: Profile = STABLE, profile_id: str = fixed.STABLE_PROFILE, suite: str = fixed.BLAKE3_SUITE, index: bool = False) -> DataFrame:
     """(keys..., manifest) of (keys..., bytes)."""
     keys = [c for c in content.columns if c != "bytes"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from corestrata.functions import codecs
@@ -202,9 +203,11 @@ def read(data: bytes, most_entries: int = MOST_ENTRIES) -> Patch:
 
 
 def choose(chunk: bytes, raw: bytes, options: list[tuple[tuple[bytes, ...], bytes]], level: int = 19) -> tuple[Entry, int]:
-    """The cheapest of raw, zstd, and zstd with each of the dictionaries (references, bytes); the earlier on ties. With the option's number, -2 raw, -1 plain."""
+    """The cheapest of raw, zstd (unless level is 0), and zstd with each of the dictionaries (references, bytes); the earlier on ties. With the option's number, -2 raw, -1 plain."""
     best, which = Entry(chunk, codecs.RAW, (), raw), -2
     least = len(raw)
+    if not level:
+        return best, which
     plain = codecs.compress(raw, level=level)
     if len(plain) < least:
         best, which, least = Entry(chunk, codecs.ZSTD, (), plain), -1, len(plain)
@@ -333,6 +336,19 @@ def apply(data: bytes, base_manifest: bytes | None = None, base: bytes = b"", re
     return content
 
 
+def fetch(read_range: Callable[[int, int], bytes], size: int, ordinal: int) -> tuple[Entry, int]:
+    """An entry and the index of its chunk in the target, by reading the ends of a patch, its entry in the index and the entry itself. read_range(offset, n) gives n bytes; checksums, which cover blocks, aren't looked at."""
+    magic, major, _, foot_at, physical = struct.unpack("<4sHHQQ", read_range(size - 64, 24))
+    _require(magic == b"CSPT" and major == 1 and physical == size and foot_at < size - 64, "trailer")
+    _, _, pidx, _, _, count, _ = struct.unpack("<QQQQQQQ", read_range(foot_at + 16, 56))
+    if not 0 <= ordinal < count:
+        raise IndexError(ordinal)
+    first, place, stored, encoding, refs, _ = struct.unpack("<QQIBBH", read_range(pidx + 24 + 24 * ordinal, 24))
+    raw = read_range(place, 40 + 32 * refs + stored)
+    _require(struct.unpack_from("<IBB", raw, 32) == (stored, encoding, refs), "entry fields")
+    return Entry(raw[:32], encoding, tuple(raw[40 + 32 * i : 72 + 32 * i] for i in range(refs)), raw[40 + 32 * refs :]), first
+
+
 def ledger(data: bytes) -> dict[str, int]:
     """Bytes of a patch by the class of what they hold; they add up to its size."""
     out = dict.fromkeys(("fixed", "headers", "manifest", "base", "entry_headers", "references", "stored", "index", "checksums"), 0)

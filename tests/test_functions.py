@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corestrata.functions import classify, codecs, fixed, hashing
-from corestrata.functions.cutting import Cutter, cut, cut_fixed, cut_plainly, recut
+from corestrata.functions.cutting import Cutter, cut, cut_fixed, cut_plainly, recut_apart, spans
 from corestrata.functions.profiles import SMALL, STABLE, Malformed, Profile, Unsupported, canonical_integer, gear_table, lab_profile, mask, resolve, semantics_fingerprint
 from corestrata.operators import mutations
 from corestrata.sources import corpus, manifests, patches
@@ -18,7 +18,7 @@ from corestrata.sources import corpus, manifests, patches
 WARM = Profile(64, 256, 1024, True)
 #: Golden values of this engine's own recipes.
 GOLDEN_CORPUS = ["886715e4", "3ec3ac38", "962046be", "2e2df307", "c86ec37f", "60443909", "f4b268b4", "c40a18b7", "d8412e34", "2874f9de", "184c57d4", "3ec3ac38"]
-GOLDEN_EDITS = {"insert": "3bd22e3c", "prepend": "652ab0a1", "append": "3cd1d56a", "delete": "8c3e33ee", "overwrite": "08e8afff", "localized-rewrite": "2ea1ef15", "random-rewrite": "c7d8de99", "move": "fbeefbff", "reorder": "bfd57fed", "identity": "db3ce07e"}
+GOLDEN_EDITS = {"insert": "81eaeda4", "prepend": "e8f6c578", "append": "79e97d45", "delete": "cf9ee7c7", "overwrite": "8825060f", "localized-rewrite": "7922253a", "random-rewrite": "2f3f0920", "move": "3137a8ff", "reorder": "413960b3", "identity": "db3ce07e"}
 
 
 def xorshift(n, seed):
@@ -87,13 +87,57 @@ def test_cutter_is_its_definition(seed, n, profile, symbols):
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32))
 def test_recut_is_cutting_anew(seed):
+    """Several edits, near and far, nested and touching; between those that lie apart old chunks stay."""
     rnd = random.Random(seed)
-    data = rnd.randbytes(rnd.randrange(6000))
-    a = rnd.randrange(len(data) + 1)
-    b = min(len(data), a + rnd.randrange(300))
-    new = data[:a] + (fresh := rnd.randbytes(rnd.randrange(300))) + data[b:]
-    lengths, scanned = recut(new, cut(data, SMALL), a, b, a + len(fresh), SMALL)
+    data = new = rnd.randbytes(rnd.randrange(30_000))
+    splices = []
+    for _ in range(rnd.randrange(5)):
+        a = rnd.randrange(len(new) + 1)
+        b = min(len(new), a + rnd.choice([0, 1, rnd.randrange(300)]))
+        fresh = rnd.randbytes(rnd.choice([0, 1, rnd.randrange(300)]))
+        new = new[:a] + fresh + new[b:]
+        splices.append((a, b, a + len(fresh)))
+    edits, size = spans(len(data), splices)
+    assert size == len(new) and all(x[1] <= y[0] and x[3] <= y[2] for x, y in zip(edits, edits[1:], strict=False))
+    old_at = new_at = 0
+    for a, b, c, d in [*edits, (len(data), len(data), size, size)]:
+        assert data[old_at:a] == new[new_at:c]
+        old_at, new_at = b, d
+    old = cut(data, SMALL)
+    lengths, kept, scanned = recut_apart(new, old, splices, SMALL)
     assert lengths == cut(new, SMALL) and scanned <= len(new)
+    for i, j, n in kept:
+        assert lengths[i : i + n] == old[j : j + n]
+    if not splices:
+        assert scanned == 0 and (kept == [(0, 0, len(old))] or not old)
+
+
+def test_far_edits_leave_what_lies_between():
+    data = random.Random(3).randbytes(400_000)
+    new = data[:1000] + b"x" + data[1000:399_000] + b"y" + data[399_000:]
+    lengths, kept, scanned = recut_apart(new, cut(data, SMALL), [(1000, 1000, 1001), (399_001, 399_001, 399_002)], SMALL)
+    assert lengths == cut(new, SMALL) and scanned < 20_000 and sum(n for _, _, n in kept) > 0.9 * len(lengths)
+
+
+def test_patch_from_reaches_the_whole_base():
+    rnd = random.Random(5)
+    base = rnd.randbytes(6 << 20)
+    target = base[:3000] + b"new" + base[100_000 : 100_000 + (1 << 20)]
+    stored = codecs.patch_from(target, base, 3)
+    assert codecs.patch_restore(stored, base, len(target), 3) == target and len(stored) < 5000  # the match lies far from the base's end
+    assert codecs.patch_restore(codecs.patch_from(b"abc" * 100, b""), b"", 300) == b"abc" * 100
+
+
+def test_window_hashes_are_those_of_the_windows_alone():
+    data = random.Random(6).randbytes(3000)
+    data += data[:1500]
+    for size in (1, 7, 64, 1000):
+        h = hashing.window_hashes(data, size)
+        assert len(h) == len(data) - size + 1
+        assert all(h[i] == hashing.window_hashes(data[i : i + size], size)[0] for i in range(0, len(h), 97))
+        if size >= 7:
+            assert len(np.unique(h)) == len({data[i : i + size] for i in range(len(h))})
+    assert len(hashing.window_hashes(b"ab", 3)) == 0
 
 
 def test_fixed_cutter():
@@ -349,6 +393,23 @@ def test_patch_round_trip(pair, recheck):
     assert patches.apply(patches.create(tm, target, bm, base, level=1, ranked=True), bm, base) == target
 
 
+def test_entries_are_fetched_alone(pair):
+    base, target, bm, tm = pair
+    p = patches.create(tm, target, bm, base, level=1)
+    whole, read = patches.read(p), []
+
+    def read_range(at, n):
+        read.append(n)
+        return p[at : at + n]
+
+    for k, (entry, first) in enumerate(zip(whole.entries, whole.first, strict=True)):
+        read.clear()
+        assert patches.fetch(read_range, len(p), k) == (entry, first)
+        assert sum(read) < 200 + 40 + 32 * len(entry.dictionary) + len(entry.stored)
+    with pytest.raises(IndexError):
+        patches.fetch(read_range, len(p), len(whole.entries))
+
+
 def test_patch_failures(pair):
     base, target, bm, tm = pair
     p = patches.create(tm, target, bm, base, level=1)
