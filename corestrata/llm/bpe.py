@@ -252,11 +252,17 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@functools.lru_cache(2)
+def _coder(path: str, pattern: str, classes: tuple[str, str]) -> BytePairs:
+    """One for all tasks of a Python worker."""
+    return BytePairs(path, pattern, classes)
+
+
 def _digests(path: str, pattern: str):
     classes = plain_classes(pattern)
 
     def run(source):
-        coder = BytePairs(path, pattern, classes)
+        coder = _coder(path, pattern, classes)
         name = list(map(str, range(max(coder.bytes_of) + 1)))
 
         def make(batch):
@@ -277,7 +283,7 @@ def _encoded(path: str, pattern: str):
     schema, classes = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), plain_classes(pattern)
 
     def run(source):
-        coder = BytePairs(path, pattern, classes)
+        coder = _coder(path, pattern, classes)
         yield from batches(source, lambda b: [b.column(0), pa.array([x.astype(np.int32) for x in coder.encode(texts(b.column(1)))], pa.list_(pa.int32()))], schema)
 
     return run

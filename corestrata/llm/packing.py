@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corestrata.llm.common import pair, texts
-from corestrata.llm.tokens import WordCache
+from corestrata.llm.tokens import word_cache
 
 LENGTH = 4096
 END_ID = 2
@@ -128,7 +128,7 @@ def _pack(path: str, length: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         context = TaskContext.get()
-        cache, packer = WordCache(path), _Packer((context.partitionId() if context else 0) << 36, length)
+        cache, packer = word_cache(path), _Packer((context.partitionId() if context else 0) << 36, length)
         tail, stop = np.array([END_ID], "<u4"), cache.sentence_ends()
 
         def out(pieces):

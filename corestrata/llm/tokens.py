@@ -121,15 +121,22 @@ def tokenizer_digest(path: str) -> str:
 _COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
 
+@functools.lru_cache(2)
+def word_cache(path: str) -> WordCache:
+    """One for all tasks of a Python worker."""
+    return WordCache(path)
+
+
+@functools.lru_cache(2)
 def _counter(path: str):
-    """A function from texts to token counts."""
+    """A function from texts to token counts; one for all tasks of a Python worker."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda some: [len(x) for x in model.encode(some, num_threads=1)]
     try:
-        cache = WordCache(path)
+        cache = word_cache(path)
     except ValueError:
         from tokenizers import Tokenizer
 
@@ -152,9 +159,9 @@ def _count_misses(path: str):
 
 
 def normalised(text: Column, path: str) -> Column:
-    """What a tokenizer's counts depend on: for one that drops white space, blanks, tabs and ends of lines count as one blank; else the text itself. Null counts as empty."""
+    """What a tokenizer's counts depend on: for one that drops white space the text without blanks, tabs and ends of lines around it; else the text itself. Null counts as empty."""
     whole = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(whole, "[ \\t\\n\\r]+", " ")) if drops_blanks(path) else whole
+    return F.btrim(whole, F.lit(" \t\n\r")) if drops_blanks(path) else whole
 
 
 @functools.cache
@@ -162,7 +169,7 @@ def drops_blanks(path: str) -> bool:
     if path.endswith(".model"):
         return False
     try:
-        WordCache(path)
+        word_cache(path)
     except ValueError:
         return False
     return True
