@@ -102,6 +102,24 @@ def coalesced(ranges: DataFrame, keys: list[str], gaps: tuple[int, ...] = (0, 64
     return islands.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"))
 
 
+def splitters(df: DataFrame, order: Column, most: int = 63, sample: int = 4096) -> list:
+    """At most so many values of an order, evenly spread over a sample that a hash picks: a few rows come to the driver, however many there are."""
+    n = df.count()
+    some = df.select(order.alias("_o")).where(F.pmod(F.xxhash64("_o"), F.lit(max(1, n // sample))) == 0).distinct().orderBy("_o").limit(4 * sample)
+    values = [r[0] for r in some.collect()]
+    return [values[i * len(values) // (most + 1)] for i in range(1, most + 1)] if len(values) > most else values[1:]
+
+
+def running_total(df: DataFrame, keys: list[str], order: Column, value: str, name: str) -> DataFrame:
+    """df plus name: the sum of value over the rows of a group that come before in an order without ties. A group is cut into ranges of the order, so that none, however large, is sorted by one task: windows run within ranges, and over the ranges' sums."""
+    bounds = splitters(df, order)
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_o"))) if bounds else F.lit(0)
+    placed = df.withColumn("_o", order).withColumn("_b", bucket)
+    before = lambda w: F.coalesce(F.sum(value if w else "_s").over(Window.partitionBy(*keys, *(["_b"] if w else [])).orderBy("_o" if w else "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy(*keys, "_b").agg(F.sum(value).alias("_s")).withColumn("_t", before(False)).drop("_s")
+    return placed.withColumn("_w", before(True)).join(ranges, [*keys, "_b"]).withColumn(name, (F.col("_t") + F.col("_w")).cast("long")).drop("_o", "_b", "_t", "_w")
+
+
 def coverage(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes that intervals [start, stop) cover, each once; touching and nested ones merge."""
     w = Window.partitionBy(*keys).orderBy("start", "stop")

@@ -1,11 +1,9 @@
 """Patches as relations: entries chosen in Arrow batches, everything else joins and aggregates."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corestrata.functions import classify, codecs, fixed
 from corestrata.functions.cutting import cut
@@ -109,15 +107,11 @@ def study(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile,
     return each_row(_both(base, target, keys), keys, ["target_bytes", "base_bytes"], ", ".join(f"{x} long" for x in lanes), schema, make)
 
 
-@F.pandas_udf(T.BinaryType())
-def _decoded(encoding: pd.Series, stored: pd.Series, length: pd.Series, dictionary: pd.Series) -> pd.Series:
-    def one(e, s, n, d):
-        try:
-            return codecs.decode(int(e), s, int(n), d or b"")
-        except Malformed:
-            return None
-
-    return pd.Series([one(*x) for x in zip(encoding, stored, length, dictionary, strict=True)])
+def _decoded(encoding: int, stored: bytes, length: int, dictionary: bytes | None):
+    try:
+        yield (codecs.decode(encoding, stored, length, dictionary or b""),)
+    except Malformed:
+        yield (None,)
 
 
 def apply_entries(target: DataFrame, base: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,7 +125,7 @@ def apply_entries(target: DataFrame, base: DataFrame, made: DataFrame, keys: lis
     parts = found.groupBy(*keys, "id").agg(F.sort_array(F.collect_list(F.struct("pos", "base_payload"))).alias("p"))
     joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["base_payload"]))
     with_dict = made.join(parts.select(*keys, "id", joined.alias("dictionary")), [*keys, "id"], "left")
-    decoded = with_dict.select(*keys, "id", _decoded("encoding", "stored", "len", "dictionary").alias("entry_payload"))
+    decoded = each_row(with_dict, [*keys, "id"], ["encoding", "stored", "len", "dictionary"], "entry_payload binary", pa.schema([("entry_payload", pa.binary())]), _decoded)
     resolved = target.join(decoded, [*keys, "id"], "left").join(have, [*keys, "id"], "left").withColumn("payload", F.coalesce("entry_payload", "base_payload"))
     good = (F.sha2("payload", 256) == F.col("id")) & (F.octet_length("payload") == F.col("len"))
     parts = resolved.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "payload"))).alias("parts"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))

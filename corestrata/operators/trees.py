@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corestrata.operators.arrow import each_row
+from corestrata.operators.metrics import running_total
 
 #: Names that carry a version: a stem that ends with an underscore, and four numbers.
 VERSIONED = r"^(?:(.*)/)?([A-Za-z0-9][A-Za-z0-9_.+-]{0,127}_)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\.dll$"
@@ -18,8 +19,7 @@ READ_BUCKET = 1 << 20
 
 def offsets(files: DataFrame, keys: list[str]) -> DataFrame:
     """Each file's place in the concatenation of all files in the order of their paths' bytes."""
-    w = Window.partitionBy(*keys).orderBy(F.encode("path", "UTF-8")).rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("off", F.sum("length").over(w) - F.col("length"))
+    return running_total(files, keys, F.encode("path", "UTF-8"), "length", "off")
 
 
 def read_ranges(placed: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:

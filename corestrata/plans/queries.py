@@ -471,10 +471,55 @@ query(_edit_sql("b[1:n // 3] || b[n // 3 + 51:n]"))(_edited("mutate_delete", lam
 query(_edit_sql("b[1:n // 3] || encode('overwrite')[1:least(9, n - n // 3)] || b[n // 3 + 10:n]"))(_edited("mutate_overwrite", lambda n: mutations.overwritten(F.floor(n / 3), b"overwrite")))
 query(_edit_sql("(b[1:n // 2] || b[n // 2 + n // 8 + 1:n])[1:n // 4] || b[n // 2 + 1:n // 2 + n // 8] || (b[1:n // 2] || b[n // 2 + n // 8 + 1:n])[n // 4 + 1:n]"))(_edited("mutate_move", lambda n: mutations.moved(F.floor(n / 2), F.floor(n / 4), F.floor(n / 8))))
 
+def _draw(what: str, seed: int, limit: str) -> str:
+    """mutations.draw() in SQL."""
+    return f"(('0x' || substr(md5('{what}/{seed}'), 1, 15))::BIGINT % greatest(1, {limit}))"
+
+
+def _fill(what: str, seed: int, size: int) -> str:
+    return "unhex('" + mutations.filler(seed, what, size).hex() + "')"
+
+
+def _mutate_sql(jobs: list[tuple[str, str, int, int]]) -> str:
+    """mutations.mutate() of documents in SQL; x is the target, in hexadecimal digits."""
+    cut = lambda a, b: f"substr(hx, 2 * ({a}) + 1, 2 * (({b}) - ({a})))"
+    parts = []
+    for name, kind, size, seed in jobs:
+        new, fill = f"least({size}, n)", mutations.filler(seed, "fill", size).hex()
+        row = lambda x, start, end, changed, basis, given="s", n=name, at="CAST([] AS BIGINT[])": f"SELECT content_id, '{n}' AS mutation, hx, {x} AS x, {start} AS st, {end} AS en, {changed} AS ch, {basis} AS basis, {at} AS touched FROM {given}"
+        if kind in ("insert", "prepend", "append"):
+            given = f"(SELECT *, {dict(prepend='0', append='n').get(kind) or _draw('place', seed, 'n + 1')} AS p FROM s)"
+            parts.append(row(f"{cut(0, 'p')} || '{fill}' || {cut('p', 'n')}", "p", f"p + {size}", size, "'inserted'", given))
+        elif kind in ("delete", "overwrite"):
+            given = f"(SELECT *, {new} AS z, {_draw('place', seed, f'n - {new} + 1')} AS p FROM s)"
+            middle = f" || substr('{fill}', 1, 2 * z)" if kind == "overwrite" else ""
+            parts.append(row(f"{cut(0, 'p')}{middle} || {cut('p + z', 'n')}", "p", "p", "z", "'deleted'" if kind == "delete" else "'differing'", given, at="range(p, p + z)"))
+        elif kind in ("localized-rewrite", "random-rewrite"):
+            reach = f"least({2 * size}, n)" if kind[0] == "l" else "n"
+            draws = f"list_transform(range(0, least({size}, {reach})), lambda k: low + ('0x' || substr(md5('byte/' || k || '/{seed}'), 1, 15))::BIGINT % greatest(1, {reach}))"
+            given = f"(SELECT *, {draws} AS ps FROM (SELECT *, {_draw('place', seed, f'n - {reach} + 1')} AS low FROM s))"
+            given = f"(SELECT *, list_sort(list_distinct(ps)) AS q FROM {given})"
+            stretch = "substr(hx, 2 * coalesce(q[k] + 1, 0) + 1, 2 * (coalesce(q[k + 1], n) - coalesce(q[k] + 1, 0)))"
+            text = f"array_to_string(list_transform(range(0, len(q) + 1), lambda k: {stretch} || CASE WHEN k < len(q) THEN upper(substr(sha256('new/' || q[k + 1] || '/{seed}/0'), 1, 2)) ELSE '' END), '')"
+            parts.append(row(text, "0", "0", "0", "'differing'", given, at="q"))
+        elif kind == "move":
+            given = f"(SELECT *, CASE WHEN t < a THEN t ELSE a END AS low, CASE WHEN t < a THEN a ELSE a + z END AS mid, CASE WHEN t < a THEN a + z ELSE t + 1 + z END AS high FROM (SELECT *, {_draw('block', seed, 'n - z + 1')} AS a, {_draw('gap', seed, 'n - z')} AS t FROM (SELECT *, least({size}, n // 2) AS z FROM s)))"
+            parts.append(row(f"CASE WHEN z = 0 THEN hx ELSE {cut(0, 'low')} || {cut('mid', 'high')} || {cut('low', 'mid')} || {cut('high', 'n')} END", "CASE WHEN z = 0 THEN 0 ELSE low END", "CASE WHEN z = 0 THEN 0 ELSE high END", "z", "CASE WHEN z = 0 THEN 'none' ELSE 'moved' END", given))
+        elif kind == "reorder":
+            given = f"(SELECT *, least(f, g) * z AS a, greatest(f, g) * z AS b2 FROM (SELECT *, (f + 1 + {_draw('second', seed, 'm - 1')}) % greatest(1, m) AS g FROM (SELECT *, {_draw('first', seed, 'm')} AS f FROM (SELECT *, CASE WHEN z = 0 THEN 0 ELSE n // z END AS m FROM (SELECT *, least({size}, n // 2) AS z FROM s)))))"
+            parts.append(row(f"CASE WHEN z = 0 THEN hx ELSE {cut(0, 'a')} || {cut('b2', 'b2 + z')} || {cut('a + z', 'b2')} || {cut('a', 'a + z')} || {cut('b2 + z', 'n')} END", "CASE WHEN z = 0 THEN 0 ELSE a END", "CASE WHEN z = 0 THEN 0 ELSE b2 + z END", "2 * z", "CASE WHEN z = 0 THEN 'none' ELSE 'swapped' END", given))
+        else:
+            parts.append(row("hx", "0", "0", "0", "'none'"))
+    differ = "list_filter(touched, lambda i: upper(substr(hx, 2 * i + 1, 2)) <> upper(substr(x, 2 * i + 1, 2)))"
+    return f"""WITH {SQL_DOCUMENTS}, s AS (SELECT content_id, octet_length(b) AS n, hex(b) AS hx FROM d), e AS ({' UNION ALL '.join(parts)}), f AS (SELECT *, CASE WHEN basis = 'differing' THEN {differ} END AS w FROM e)
+    SELECT content_id, mutation, sha256(unhex(x)) AS sha256, CAST(CASE WHEN basis <> 'differing' THEN st WHEN len(w) = 0 THEN 0 ELSE w[1] END AS BIGINT) AS affected_start, CAST(CASE WHEN basis <> 'differing' THEN en WHEN len(w) = 0 THEN 0 ELSE w[-1] + 1 END AS BIGINT) AS affected_end,
+        CAST(CASE WHEN basis <> 'differing' THEN ch ELSE len(w) END AS BIGINT) AS changed_bytes, basis FROM f"""
+
+
 JOBS = [(k, k, 64, 7 + i) for i, k in enumerate(mutations.KINDS)]
 
 
-@query()
+@query(_mutate_sql(JOBS))
 def mutate_seeded(spark, sf_dir):
     return mutations.mutated(base.documents(spark, sf_dir).drop("family"), JOBS).select("content_id", "mutation", F.sha2("bytes", 256).alias("sha256"), "affected_start", "affected_end", "changed_bytes", "basis")
 
@@ -1044,15 +1089,6 @@ LAB_LANES = {"fixed-256": 256, "fixed-1024": 1024}
 LAB_JOBS = [("append-300", "append", 300, 5), ("insert-90", "insert", 90, 6), ("delete-200", "delete", 200, 7), ("identity", "identity", 0, 0)]
 
 
-def _draw(what: str, seed: int, limit: str) -> str:
-    """mutations.draw() in SQL."""
-    return f"(('0x' || substr(md5('{what}/{seed}'), 1, 15))::BIGINT % greatest(1, {limit}))"
-
-
-def _fill(what: str, seed: int, size: int) -> str:
-    return "unhex('" + mutations.filler(seed, what, size).hex() + "')"
-
-
 LAB_EDITS = f"""{SQL_DOCUMENTS}, s AS (SELECT content_id, b, octet_length(b) AS n FROM d), ed AS (
     SELECT content_id, 'append-300' AS mutation, b || {_fill('fill', 5, 300)} AS b, n + 300 AS affected_end, 300 AS changed_bytes FROM s
     UNION ALL SELECT content_id, 'insert-90', b[1:{_draw('place', 6, 'n + 1')}] || {_fill('fill', 6, 90)} || b[{_draw('place', 6, 'n + 1')} + 1:n], {_draw('place', 6, 'n + 1')} + 90, 90 FROM s
