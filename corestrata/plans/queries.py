@@ -524,7 +524,13 @@ def mutate_seeded(spark, sf_dir):
     return mutations.mutated(base.documents(spark, sf_dir).drop("family"), JOBS).select("content_id", "mutation", F.sha2("bytes", 256).alias("sha256"), "affected_start", "affected_end", "changed_bytes", "basis")
 
 
-@query()
+@query(
+    f"""WITH k AS MATERIALIZED ({cdc_sql(SMALL)}), dd AS (SELECT doc_id AS content_id, encode(coalesce(text, '')) AS b FROM documents), i AS (SELECT *, max(idx) OVER (PARTITION BY content_id) AS top FROM k),
+    j AS (SELECT content_id, off + len AS bd, row_number() OVER (PARTITION BY content_id ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY content_id) AS c FROM i WHERE idx < top AND len > {SMALL.minimum} AND len < {SMALL.maximum}),
+    a AS (SELECT dd.content_id, b, mutation, bd + rel AS p FROM dd CROSS JOIN (VALUES ('boundary', 0), ('before', -1)) t(mutation, rel) LEFT JOIN (SELECT * FROM j WHERE r = c // 2) m USING (content_id)),
+    x AS (SELECT *, CASE WHEN p >= 0 AND p < octet_length(b) THEN b[1:p] || unhex(printf('%02x', xor(('0x' || hex(b[p + 1:p + 1]))::INT, 90))) || b[p + 2:octet_length(b)] END AS y FROM a)
+    SELECT content_id, mutation, sha256(y) AS sha256, CASE WHEN y IS NOT NULL THEN CAST(p AS BIGINT) END AS affected_start, CASE WHEN y IS NOT NULL THEN 1::BIGINT END AS changed_bytes FROM x"""
+)
 def boundary_edit(spark, sf_dir):
     jobs = [("boundary", "boundary-edit", 0, 0), ("before", "boundary-edit", -1, 0)]
     return mutations.mutated(base.documents(spark, sf_dir).drop("family"), jobs, SMALL).select("content_id", "mutation", F.sha2("bytes", 256).alias("sha256"), "affected_start", "changed_bytes")

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB; plans; invariance under partitioning; files, streams and the command line."""
 
 import glob
+import hashlib
 import json
 import math
 import os
@@ -13,10 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corestrata import cli
-from corestrata.functions import fixed
-from corestrata.functions.cutting import cut
-from corestrata.functions.profiles import SMALL, STABLE
-from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, metrics, patches, reuse, trees
+from corestrata.functions import fixed, hashing
+from corestrata.functions.cutting import cut, cut_plainly
+from corestrata.functions.profiles import SMALL, STABLE, Profile, lab_profile
+from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, metrics, mutations, patches, policies, reuse, trees
 from corestrata.plans import base
 from corestrata.plans.queries import ORACLES, QUERIES
 from corestrata.sources import corpus, files, manifests
@@ -266,3 +267,172 @@ def test_verify_lowest_difference(spark):
     seen = identity.verify_records(chunking.fixed_chunks(content, 100), content.withColumn("bytes", F.concat(F.substring("bytes", F.lit(1), F.lit(250)), F.lit(b"b"), F.substring("bytes", 252, F.lit(1000)))), ["k"]).first()
     assert (seen.first_bad, seen.bad, seen.whole) == (2, 1, True)
     assert manifests.names(33) == ["BlockCrc", "Content"]
+
+
+# What SQL cannot express, against plain Python over the same tables
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALLEST}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def steps(spark):
+    """(family, version): base and target."""
+    said = {}
+    for r in spark.read.parquet(f"{SMALLEST}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        said.setdefault(r.conv_id, []).append((r.turn, r.text or ""))
+    whole = {f: [(v, "\n".join(t for _, t in turns[: i + 1]).encode()) for i, (v, _) in enumerate(turns)] for f, turns in said.items()}
+    return {(f, b[0]): (a[1], b[1]) for f, some in whole.items() for a, b in zip(some, some[1:], strict=False)}
+
+
+def pieces(data, profile):
+    at = 0
+    for i, n in enumerate(cut_plainly(data, profile)):
+        yield i, at, data[at : at + n]
+        at += n
+
+
+def wanted(base_bytes, target_bytes):
+    have = {hashlib.sha256(x).digest() for _, _, x in pieces(base_bytes, SMALL)}
+    for i, at, x in pieces(target_bytes, SMALL):
+        if (c := hashlib.sha256(x).digest()) not in have:
+            have.add(c)
+            yield i, at, x, c
+
+
+def test_blake3_chunks(spark, texts):
+    got = {(r.content_id, r.idx): (r.off, r.len, r.id) for r in QUERIES["chunk_blake3"](spark, SMALLEST).collect()}
+    assert got == {(k, i): (at, len(x), hashing.blake3(x).hex()) for k, t in texts.items() for i, at, x in pieces(t, lab_profile(4096))}
+
+
+def test_super_features_and_similar_chunks(spark, texts, steps):
+    got = Counter(tuple(r) for r in QUERIES["superfeatures"](spark, SMALLEST).select("content_id", "idx", "off", "key").collect())
+    assert got == Counter((k, i, at, f"{f:016x}") for k, t in texts.items() for i, at, x in pieces(t, SMALL) for f in hashing.super_features(x))
+    got = Counter((r.family, r.version, r.idx, r.start, r.shared, r["rank"]) for r in QUERIES["similar_chunks"](spark, SMALLEST).collect())
+    want = Counter()
+    for (f, v), (b, t) in steps.items():
+        by = {}
+        for i, at, x in pieces(b, SMALL):
+            for key in hashing.super_features(x):
+                by.setdefault(key, []).append((i, at))
+        for i, at, x in pieces(t, SMALL):
+            shared = Counter((s, abs(a - at)) for key in hashing.super_features(x) if len(by.get(key, ())) <= candidates.HOT_KEY for s, a in by.get(key, ()))
+            for rank, (start, _, n) in enumerate(sorted(((s, d, n) for (s, d), n in shared.items()), key=lambda z: (-z[2], z[1], z[0]))[: candidates.MOST], 1):
+                want[f, v, i, start, n, rank] += 1
+    assert got == want
+
+
+def test_encodings_are_the_cheapest(spark, steps):
+    """Every candidate priced by plain zstd calls; the choice, the trace, the statistics and the study follow from the prices."""
+    import zstandard
+
+    def frame(raw, dictionary, level):
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        return len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True, write_checksum=False, write_dict_id=False).compress(raw))
+
+    def options(b, at, run=4):
+        records = list(pieces(b, SMALL))
+        near = sorted((abs(o - at), i) for i, o, _ in records if abs(o - at) <= 256 << 10)[:8]
+        return [(len(records[i : i + run]), b"".join(x for _, _, x in records[i : i + run])) for _, i in near]
+
+    choice = {(r.family, r.version, r.idx): r for r in QUERIES["encode_choice"](spark, SMALLEST).collect()}
+    trace = {(r.family, r.version, r.idx, r.ordinal): r for r in QUERIES["candidate_trace"](spark, SMALLEST).collect()}
+    study = {(r.family, r.version): r for r in QUERIES["encoding_study"](spark, SMALLEST).collect()}
+    entries = {(r.family, r.version): r for r in QUERIES["patch_entries"](spark, SMALLEST).collect()}
+    seen = 0
+    for (f, v), (b, t) in list(steps.items())[:30]:
+        raw_sum = zstd_sum = n = 0
+        for i, at, x, _ in wanted(b, t):
+            n += 1
+            for level, check in ((3, True), (1, False)):
+                prices = [(len(x), -2), (frame(x, b"", level), -1)] + [(frame(x, d, level) + 32 * c, k) for k, (c, d) in enumerate(options(b, at)) if d]
+                best = min(prices)
+                if check:
+                    r = choice[f, v, i]
+                    assert (r.stored_len + 32 * r.dict_count, r.choice) == best
+                    raw_sum, zstd_sum = raw_sum + len(x), zstd_sum + min(len(x), prices[1][0])
+                else:
+                    assert {k: trace[f, v, i, k].cost for _, k in prices} == {k: c for c, k in prices} and [k for _, k in prices if trace[f, v, i, k].selected] == [best[1]]
+            seen += 1
+        if n:
+            assert (study[f, v].raw, study[f, v].zstd) == (raw_sum, zstd_sum) and study[f, v].full_zstd == frame(t, b"", 3)
+            assert study[f, v].dict_k4 <= study[f, v].zstd <= study[f, v].raw and entries[f, v].entries == n
+    assert seen > 20
+
+
+def test_ranked_choices_are_candidates(spark):
+    full = {(r.family, r.version, r.idx): r.stored_len + 32 * r.dict_count for r in QUERIES["encode_choice"](spark, SMALLEST).collect()}
+    ranked = {(r.family, r.version, r.idx): r.stored_len + 32 * r.dict_count for r in QUERIES["encode_ranked"](spark, SMALLEST).collect()}
+    assert full.keys() == ranked.keys() and all(full[k] <= ranked[k] for k in full)
+
+
+def test_ledgers_add_up(spark):
+    b, t = base.pair_contents(base.histories(spark, SMALLEST))
+    made = patches.patch_files(b, t, base.PAIR, STABLE, level=1)
+    size = {(r.family, r.version): len(r.patch) for r in made.collect()}
+    got = QUERIES["patch_ledgers"](spark, SMALLEST).collect()
+    assert {(r.family, r.version): sum(v for k, v in r.asDict().items() if k not in base.PAIR) for r in got} == size
+
+
+def test_content_kinds_of_texts(spark, texts):
+    from corestrata.functions import classify
+
+    got = {r.content_id: (r.executable, r.architecture, r.container) for r in QUERIES["content_kinds"](spark, SMALLEST).collect()}
+    assert got == {k: (*classify.executable(t)[:2], classify.container(t)[0]) for k, t in texts.items()}
+
+
+def test_bootstraps_are_resamples(spark):
+    """The same draws, written out value by value."""
+    import numpy as np
+
+    rnd = random.Random(1)
+    values = [rnd.randrange(30) for _ in range(200)]
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 5.0), ("b", None)], "k string, v double").repartition(7)
+    got = {r.k: r for r in metrics.bootstrap_medians(df, ["k"], "v", seed=3, rounds=50).collect()}
+    v, c = np.unique(values, return_counts=True)
+    rng = np.random.default_rng(3)
+    medians = [float(np.median(np.repeat(v, rng.multinomial(200, c / 200)))) for _ in range(50)]
+    assert (got["a"].median, got["a"].low, got["a"].high) == (float(np.median(values)), float(np.quantile(medians, 0.025)), float(np.quantile(medians, 0.975)))
+    assert tuple(got["b"])[1:] == (5.0, 5.0, 5.0)
+    pairs = [(x, x + 10) for x in range(1, 40)] * 3
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in pairs] + [("z", 1.0, 0.0)], "k string, x double, y double")
+    (r,) = metrics.bootstrap_ratios(df, ["k"], "x", "y", rounds=100).collect()
+    assert r.overhead == pytest.approx(sum(x for x, _ in pairs) / sum(y for _, y in pairs) - 1) and r.low < r.overhead < r.high
+
+
+def test_full_run_of_content_defined_lanes(spark, texts):
+    got = {(r.content_id, r.mutation, r.lane): r for r in QUERIES["lab_run_cdc"](spark, SMALLEST).collect()}
+    assert len(got) == 2 * len(mutations.KINDS) * len(texts)
+    for k, t in list(texts.items())[:20]:
+        for i, kind in enumerate(mutations.KINDS):
+            e = mutations.mutate(t, kind, 64, 7 + i)
+            for lane, p in (("small", SMALL), ("warm", Profile(64, 256, 1024, True))):
+                a, b = ([x for _, _, x in pieces(y, p)] for y in (t, e.target))
+                r = got[k, kind, lane]
+                assert (r.source_chunks, r.target_chunks, r.changed_bytes) == (len(a), len(b), e.changed)
+                assert (r.reused_bytes, r.missing_bytes) == (sum(len(x) for x in b if x in a), sum(len(x) for x in b if x not in a))
+
+
+def test_running_totals_of_large_groups(spark):
+    rnd = random.Random(2)
+    rows = [(i % 3, f"p/{rnd.random()}/{i}", rnd.randrange(100)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k long, path string, length long")
+    got = {(r.k, r.path): r.off for r in metrics.running_total(df, ["k"], F.encode("path", "UTF-8"), "length", "off").collect()}
+    at = Counter()
+    for k, path, n in sorted(rows):
+        assert got[k, path] == at[k]
+        at[k] += n
+    assert metrics.running_total(df.limit(0), ["k"], F.col("path"), "length", "off").count() == 0
+
+
+def test_rows_are_pulled_in_order(spark):
+    parts = list(files.pull(spark.range(1000).orderBy("id"), 256))
+    assert [len(p) for p in parts] == [256, 256, 256, 232] and [r.id for p in parts for r in p] == list(range(1000))
+
+
+def test_unknown_policies_are_refused(spark):
+    b, t = base.pair_contents(base.histories(spark, SMALLEST))
+    with pytest.raises(ValueError, match="sweep-L99"):
+        policies.sweep(b, t, base.PAIR, SMALL, ["raw", "sweep-L99-K1-C8"])
