@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.llm.common import bounded_batches, spool
+from corestrata.llm.common import bounded_batches, spool, unspool
 from corestrata.llm.graph import components
 
 THRESHOLD = 0.93
@@ -346,10 +346,13 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, shard: int = SH
     rows, classes = _classes(table, id_col, vector_col, label_col)
     found = search(classes, threshold, shard)
     more = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("found")).withColumnRenamed("a", "c")
-    rooted = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "c")
-    placed = classes.select("c", "label", "dim", "k1", "k2", "rep", "n").join(more, "c", "left").join(rooted, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = components(found.where("kind = 1").select("a", "b"))
+    placed = classes.select("c", "label", "dim", "k1", "k2", "rep", "n").join(more, "c", "left").join(rooted.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("label", "dim", "k1", "k2", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), "component_id")
     # Written first, so that adaptive execution may split the join at a vector that many rows have.
-    good = rows.where("ok").select("id", "label", "dim", "k1", "k2").join(spool(named, "named"), ["label", "dim", "k1", "k2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
+    known = spool(named, "named")
+    for df in (classes, found, rooted):
+        unspool(df)
+    good = rows.where("ok").select("id", "label", "dim", "k1", "k2").join(known, ["label", "dim", "k1", "k2"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     lone = rows.where("not ok").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.llm.common import spool
+from corestrata.llm.common import spool, unspool
 
 #: Cells of the filter for a row, to a power of two; with two probes about one single text in 70 passes wrongly, which costs only its shuffle.
 CELLS_A_ROW = 16
@@ -65,8 +65,8 @@ def possible_repeats(rows: DataFrame, bits: int, broadcast_bytes: int = BROADCAS
     return marked(rows, "_digest", _repeated_cells(rows.select("_digest"), bits), bits, 2, (1 << bits) // 8 <= broadcast_bytes)
 
 
-def _passes(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Possible repeats and not: written rows (_id, _digest, _row) plus _maybe, and (_digest, keep_id, keep_row, group_size) of the former.
+def _passes(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written rows (_id, _digest, _row); the same plus _maybe, for possible repeats; and (_digest, keep_id, keep_row, group_size) of the former.
 
     The texts are read and digested once; both passes go over the written digests. _row tells repeated rows apart.
     """
@@ -76,7 +76,7 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, broadcast_bytes: int) -
     # Written first: the join then has nothing but two exchanges below it, so that adaptive execution may split a group that holds a large share of the rows.
     first = F.max(F.struct(F.col("_id"), (-F.col("_row")).alias("back")))
     groups = seen.where("_maybe").groupBy("_digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return seen, spool(groups.select("_digest", F.col("first._id").alias("keep_id"), (-F.col("first.back")).alias("keep_row"), "group_size"), "groups")
+    return rows, seen, spool(groups.select("_digest", F.col("first._id").alias("keep_id"), (-F.col("first.back")).alias("keep_row"), "group_size"), "groups")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -88,7 +88,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meets no other. Repeated rows count in group_size. Null doc_ids are chosen only where a group has no other,
     with a null keep_id. Empty tables give empty results. Further columns are not read, whatever they are called.
     """
-    seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
+    _, seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
     alone = seen.where("not _maybe").select("_id", "_digest", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = seen.where("_maybe").select("_id", "_digest", "_row").join(groups, "_digest").select("_id", "_digest", "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"))
     return alone.unionByName(maybe).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
@@ -132,11 +132,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Nulls, empty and long texts, ties, repeated rows and empty tables as there. Columns may have any names.
     """
-    seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
+    rows, seen, groups = _passes(docs, id_col, text_col, broadcast_bytes)
     pairs = seen.where("_maybe").groupBy("_digest", "_id").agg(F.count(F.lit(1)).alias("n")).join(groups.where("group_size > 1"), "_digest")
     stays = F.col("_id").eqNullSafe(F.col("keep_id"))
     named = pairs.where(~stays | (F.col("n") > 1)).select(row_key(F.col("_id"), F.col("_digest")).alias("_gone"), stays.alias("stays"))
     gone = spool(named, "gone")
+    unspool(groups)
+    unspool(rows)
     return one_of_gone(docs, gone, id_col, text_col, broadcast_bytes)
 
 

@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = (now.count(), now.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
         if new == mark or not new[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.spooled_at = now.spooled_at  # for unspool()
+            return out
         mark = new
         star = spool(_small_star(_large_star(now).distinct()).where("a <> b").distinct(), "edges")
         unspool(now)

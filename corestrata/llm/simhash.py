@@ -484,11 +484,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and text one stays. Ties are settled by a digest. An empty table gives none; columns may have any names.
     """
     written = signatures(docs, id_col, text_col, size)
-    rooted = components(similar_links(docs, written, id_col, text_col, size, radius, least, broadcast_bytes)).withColumnRenamed("node", "key")
-    rows = spool(written.select("id", "row", "key").join(rooted, "key", "left").select("id", "row", F.coalesce("root", "key").alias("root")), "rows")
+    rooted = components(similar_links(docs, written, id_col, text_col, size, radius, least, broadcast_bytes))
+    rows = spool(written.select("id", "row", "key").join(rooted.withColumnRenamed("node", "key"), "key", "left").select("id", "row", F.coalesce("root", "key").alias("root")), "rows")
     unspool(written)
+    unspool(rooted)
     # The name of each component with more than one row
     named = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("name.row").alias("name"))
-    members = rows.join(spool(named, "named"), "root").groupBy("row").agg(F.max(F.col("row") == F.col("name")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    named = spool(named, "named")
+    members = rows.join(named, "root").groupBy("row").agg(F.max(F.col("row") == F.col("name")).alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = spool(members.where("not stays or n > 1").select(F.col("row").alias("_gone"), "stays"), "gone")
+    unspool(named)
+    unspool(rows)
     return one_of_gone(docs, gone, id_col, text_col, broadcast_bytes)

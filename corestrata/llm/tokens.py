@@ -209,6 +209,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         often = spool(new.where("n > 1").select(F.col("digest").alias("_gone")), "often")
         once = without(named, often, F.col("_digest"), broadcast_bytes).unionByName(one_of_each(named, often, F.col("_digest"), broadcast_bytes))
         once.select("_digest", "_content").mapInArrow(_count_misses(tokenizer_path), "digest binary, n_tokens long").write.mode("append").parquet(at)
+        unspool(often)
     # Two writers may have appended the same digest. Written first, so that adaptive execution may split the join at a content that many rows have.
     counts = spool(stored().join(every.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     unspool(new)
