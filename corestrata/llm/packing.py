@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corestrata.llm.common import pair, texts
+from corestrata.llm.common import pair
 from corestrata.llm.tokens import word_cache
 
 LENGTH = 4096
@@ -23,7 +22,7 @@ HARD_STEP = 512
 #: Tokens that a task holds before it decides; the last, unfinished sequence is carried on.
 HELD = 1 << 19
 #: Texts whose new words are encoded at a time.
-TOGETHER = 256
+TOGETHER = 1000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -41,30 +40,28 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, last: bool, length: int = L
     window isn't charged: it will be carried on.
     """
     c, p = places.tolist(), (costs + SEQUENCE_COST).tolist()
+    sizes = [1 << k for k in range(length.bit_length())]
+    earlier = [np.searchsorted(places, places - n) for n in sizes]  # where a place a power of two before would stand
+    met = [np.flatnonzero(places[x] == places - n) for n, x in zip(sizes, earlier, strict=True)]
+    later, back = np.concatenate(met), np.concatenate([x[m] for x, m in zip(earlier, met, strict=True)])
+    even = back[np.argsort(later, kind="stable")].tolist()
+    first = np.searchsorted(np.sort(later), np.arange(len(c) + 1)).tolist()
     total, came = [0] * len(c), [0] * len(c)
-    even: dict[int, list[int]] = {}  # those that lie a power of two before a place
-    size = 1
-    while size <= length:
-        at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero(places[np.minimum(at, len(places) - 1)] == places - size).tolist():
-            even.setdefault(j, []).append(int(at[j]))
-        size *= 2
-    queue: deque[tuple[int, int]] = deque([(c[0], 0)])
+    values, indices, head = [c[0]], [0], 0  # the monotone queue, from head on
     for j in range(1, len(c)):
         at = c[j]
-        while at - c[queue[0][1]] > length:
-            queue.popleft()
-        value, i = queue[0]
-        f = value + length - at
-        for k in even.get(j, ()):
+        while at - c[indices[head]] > length:
+            head += 1
+        f, i = values[head] + length - at, indices[head]
+        for k in even[first[j] : first[j + 1]]:
             if total[k] < f:
                 f, i = total[k], k
         f += p[j]
         total[j], came[j] = f, i
         value = f + at
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
+        while len(values) > head and values[-1] >= value:
+            values.pop(), indices.pop()
+        values.append(value), indices.append(j)
     j = len(c) - 1
     if not last and j:
         came[j] = min(range(int(np.searchsorted(places, c[j] - length)), j), key=total.__getitem__)
@@ -135,10 +132,9 @@ def _pack(path: str, length: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
         for batch in source:
-            some = texts(batch.column(1))
-            for k in range(0, len(some), TOGETHER):
-                for doc_id, raw in zip(batch.column(0)[k : k + TOGETHER].to_pylist(), cache.ids(some[k : k + TOGETHER]), strict=True):
-                    ids = np.concatenate((np.frombuffer(raw, "<u4"), tail))
+            for k in range(0, batch.num_rows, TOGETHER):
+                for doc_id, ids in zip(batch.column(0)[k : k + TOGETHER].to_pylist(), cache.ids(batch.column(1)[k : k + TOGETHER]), strict=True):
+                    ids = np.concatenate((ids, tail))
                     packer.add(doc_id, ids, np.flatnonzero(stop[ids[:-1]]) + 1)
                 if packer.tokens >= HELD and (pieces := packer.flush(False)):
                     yield out(pieces)

@@ -10,6 +10,7 @@ from importlib.metadata import version
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +18,14 @@ from corestrata.llm.bpe import PairTable, merge_words
 from corestrata.llm.common import batches, bounded_batches, path_exists, scratch, spool, texts, unspool
 from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, only, without
 
-#: Words that one Python worker remembers; beyond, it forgets all and starts anew.
+#: Words that one Python worker remembers, in two halves; beyond, it forgets the older one.
 REMEMBERED = 700_000
 #: Longer words are encoded each time.
 LONGEST = 64
 _ENDS = frozenset(".!?;:")
 #: Characters of Latin-1 alone: their lower case and composition are the same everywhere.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]{1,100}").fullmatch
-_STOPS = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)(?=[ \n])")
+_STOPS, _APART = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([!-/:-@\[-`{-~]+)([ \n])", r"\1 \2\3"
 
 
 class WordCache:
@@ -49,7 +50,8 @@ class WordCache:
         if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in self.library.get_added_tokens_decoder().values()):
             raise ValueError(f"{path}: an added token looks at white space")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.letters = _letter_merges(json.loads(self.library.to_str()))
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -64,24 +66,49 @@ class WordCache:
             part = missing[i : i + 20_000]
             into.update(zip(part, self._encode(part), strict=True))
 
-    def _words(self, text: str) -> list[str]:
-        if not any(t in text for t in self.added):
-            text = _STOPS.sub(r" \1", text)
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def ids(self, some: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [self._words(t) for t in some]
-        missing = set().union(*split).difference(self.known) if split else set()
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as little-endian unsigned 32-bit numbers. Words that were met since the half before last are remembered."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {"": b""}, self.known
+        out = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, out, strict=True) if ids is None]
+        if not missing:
+            return out
+        again = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+        self.known.update(again)
+        missing = [w for w in missing if w not in again]
         self._fill([w for w in missing if len(w) <= LONGEST], self.known)
         once: dict[str, bytes] = {}
         self._fill([w for w in missing if len(w) > LONGEST], once)
-        if not once:
-            get = self.known.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join([self.known[w] if w in self.known else once[w] for w in words]) for words in split]
+        return [ids if ids is not None else self.known[w] if w in self.known else once[w] for w, ids in zip(words, out, strict=True)]
+
+    def _coded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a column of texts: each word's number, where each text's words begin and end, and by number the words' ids: how many, where, and all of them. Words are split and told apart in Arrow; only distinct ones become Python strings."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        apart = pc.replace_substring_regex(column, _STOPS, _APART)
+        for t in self.added:
+            apart = pc.if_else(pc.match_substring(column, t), column, apart)
+        for c in "\n\t\r":
+            apart = pc.replace_substring(apart, c, " ")
+        lists = pc.split_pattern(apart, " ")
+        words = lists.values.dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return words.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy(), size, np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text of a column; null counts as empty."""
+        word, edges, size, _, _ = self._coded(column)
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[word])))
+        return ends[edges[1:]] - ends[edges[:-1]]
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        """Each text's ids as unsigned 32-bit numbers."""
+        word, edges, size, start, flat = self._coded(column)
+        n = size[word]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+        whole = flat[np.repeat(start[word] - ends[:-1], n) + np.arange(ends[-1])]
+        return [whole[a:b] for a, b in zip(ends[edges[:-1]].tolist(), ends[edges[1:]].tolist(), strict=True)]
 
     def sentence_ends(self) -> np.ndarray:
         """By id, whether a token ends with a mark that ends sentences or clauses."""
@@ -129,12 +156,12 @@ def word_cache(path: str) -> WordCache:
 
 @functools.lru_cache(2)
 def _counter(path: str):
-    """A function from texts to token counts; one for all tasks of a Python worker."""
+    """A function from a column of texts to token counts; one for all tasks of a Python worker."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda some: [len(x) for x in model.encode(some, num_threads=1)]
+        return lambda column: [len(x) for x in model.encode(texts(column), num_threads=1)]
     try:
         cache = word_cache(path)
     except ValueError:
@@ -143,8 +170,8 @@ def _counter(path: str):
         library = Tokenizer.from_file(path)
         library.no_padding()
         library.no_truncation()
-        return lambda some: [len(x.ids) for x in library.encode_batch_fast(some, add_special_tokens=False)]
-    return lambda some: [len(ids) // 4 for ids in cache.ids(some)]
+        return lambda column: [len(x.ids) for x in library.encode_batch_fast(texts(column), add_special_tokens=False)]
+    return cache.counts
 
 
 def _count_misses(path: str):
@@ -153,7 +180,7 @@ def _count_misses(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         count = _counter(path)
-        yield from batches(source, lambda b: [b.column(0), count(texts(b.column(1)))], _COUNTS)
+        yield from batches(source, lambda b: [b.column(0), count(b.column(1))], _COUNTS)
 
     return run
 
