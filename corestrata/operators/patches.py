@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.functions import classify, codecs, fixed
+from corestrata.functions import classify, codecs, delta, fixed
 from corestrata.functions.cutting import cut
 from corestrata.functions.hashing import super_features, window_hashes
 from corestrata.functions.profiles import Malformed, Profile
@@ -85,8 +85,8 @@ def statistics(made: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def study(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile, level: int = 19) -> DataFrame:
-    """Stored bytes of a pair by the way they would be encoded: all of the target in one frame, missing chunks raw, in frames, against runs of 1, 2 or 4 base chunks, and the whole target against the whole base."""
-    lanes = ("full_zstd", "raw", "zstd", "dict_k1", "dict_k2", "dict_k4", "patch_from")
+    """Stored bytes of a pair by the way they would be encoded: all of the target in one frame, missing chunks raw, in frames, against runs of 1, 2 or 4 base chunks, the whole target against the whole base, and a delta by suffix sorting."""
+    lanes = ("full_zstd", "raw", "zstd", "dict_k1", "dict_k2", "dict_k4", "patch_from", "delta")
     schema = pa.schema([(x, pa.int64()) for x in lanes])
 
     def make(t, b):
@@ -95,6 +95,7 @@ def study(base: DataFrame, target: DataFrame, keys: list[str], profile: Profile,
         out = dict.fromkeys(lanes, 0)
         out["full_zstd"] = len(codecs.compress(t, level=level))
         out["patch_from"] = len(codecs.patch_from(t, b, level))
+        out["delta"] = len(delta.make(b, t))
         for _, chunk, at, n in wanted:
             raw = t[at : at + n]
             out["raw"] += n

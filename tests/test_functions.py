@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corestrata.functions import classify, codecs, fixed, hashing
+from corestrata.functions import classify, codecs, delta, fixed, hashing
 from corestrata.functions.cutting import Cutter, cut, cut_fixed, cut_plainly, recut_apart, spans
 from corestrata.functions.profiles import SMALL, STABLE, Malformed, Profile, Unsupported, canonical_integer, gear_table, lab_profile, mask, resolve, semantics_fingerprint
 from corestrata.operators import mutations
@@ -128,6 +128,24 @@ def test_patch_from_reaches_the_whole_base():
     assert codecs.patch_restore(codecs.patch_from(b"abc" * 100, b""), b"", 300) == b"abc" * 100
 
 
+def test_deltas():
+    rnd = random.Random(1)
+    for data in (b"", b"a", b"banana", b"abab" * 5, rnd.randbytes(300)):
+        assert delta.suffix_array(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])  # noqa: B023
+    some = lambda: bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(60)))
+    for _ in range(300):
+        b, t = some(), some()
+        for x in (t, b[: rnd.randrange(60)] + t + b[rnd.randrange(60) :]):
+            assert delta.restore(b, delta.make(b, x)) == x
+    b = rnd.randbytes(20_000)
+    t = bytearray(b[:5000] + b"new text" + b[5000:9000] + b[12000:] + b[9000:12000])
+    t[::97] = bytes(x ^ 1 for x in t[::97])
+    made = delta.make(b, bytes(t))
+    assert delta.restore(b, made) == t and len(made) < 1000  # moved stretches, each with bytes changed
+    with pytest.raises(ValueError):
+        delta.restore(b, b"something else")
+
+
 def test_window_hashes_are_those_of_the_windows_alone():
     data = random.Random(6).randbytes(3000)
     data += data[:1500]
