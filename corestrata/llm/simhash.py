@@ -20,6 +20,8 @@ BUCKET = 4096
 SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, (4, 5), 22
 #: Bands of least hashes, of which sets of similarity 0.8 share one but for 1 in 40,000: 1 - 0.8 ** 4, to the power of 20.
 BANDS, ROWS_A_BAND = 20, 4
+#: Bytes of a row of a few numbers in a broadcast table, as measured.
+ROW_BYTES = 80
 #: Members of a part of a tile, and hashes of their sets, at most about; a tile compares two parts.
 TILE, TILE_HASHES = 1024, 1 << 18
 #: Pairs of a query and a word of 64 lanes that are under way at a time.
@@ -445,9 +447,9 @@ def similar_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", te
         some = spool(some.groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
     posts = some.select(F.explode("bands").alias("h"), "key")
     met = spool(posts.groupBy("h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
-    shared = spool(posts.join(F.broadcast(met) if met.count() * 32 <= broadcast_bytes else met, "h").select("h", "key", "lead"), "shared")
+    shared = spool(posts.join(F.broadcast(met) if met.count() * ROW_BYTES <= broadcast_bytes else met, "h").select("h", "key", "lead"), "shared")
     named = spool(shared.select("key").distinct(), "named")
-    slim = spool(some.select("key", "row", "fp", "n").join(F.broadcast(named) if named.count() * 16 <= broadcast_bytes else named, "key", "left_semi"), "slim")
+    slim = spool(some.select("key", "row", "fp", "n").join(F.broadcast(named) if named.count() * ROW_BYTES <= broadcast_bytes else named, "key", "left_semi"), "slim")
     texts_ = only(docs, slim.select(F.col("row").alias("_gone")), row_key(F.col(f"`{id_col}`"), text_digest(text_col)), broadcast_bytes).groupBy("_key").agg(F.first(F.col("_own")[text_col]).alias("value"))
     sets = spool(texts_.select("value").mapInArrow(_sets(size), "key long, s array<long>"), "sets")
 
