@@ -21,7 +21,7 @@ def rolling(data: np.ndarray) -> np.ndarray:
     """At each byte the gear hash of it and all before it: sums of windows of 1, 2, 4 ... 64 bytes, each from two of half the size. Block by block, so that a block stays in the cache."""
     gear, n = gear_table(), len(data)
     out = np.empty(n, np.uint64)
-    room, spare = np.empty(BLOCK + WINDOW, np.uint64), np.empty(BLOCK + WINDOW, np.uint64)
+    room, spare = np.empty((2, min(n, BLOCK) + WINDOW), np.uint64)
     for start in range(0, n, BLOCK):
         low, end = max(0, start - WINDOW + 1), min(n, start + BLOCK)
         m = end - low

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,23 +49,24 @@ def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_S
 
     def run(source):
         for batch in source:
-            rows, sizes, data, ids, values = [], [], [], [], []
+            rows, idx, off, size, data, ids, values = [], [], [], [], [], [], []
             for r, value in enumerate(batch.column(place)):
                 raw = memoryview(value.as_buffer() or b"")  # of the batch itself: nothing is copied
-                lengths = np.array(cut(raw, profile), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                rows.append(np.full(len(lengths), r))
-                sizes.append(np.stack([np.arange(len(lengths)), starts, lengths]))
-                for i, (at, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+                lengths = cut(raw, profile)
+                starts = list(itertools.accumulate(lengths, initial=0))[:-1]
+                rows += [r] * len(lengths)
+                idx += range(len(lengths))
+                off += starts
+                size += lengths
+                for i, (at, n) in enumerate(zip(starts, lengths, strict=True)):
                     part = raw[at : at + n]
                     ids.append(digest(suite, part).hex())
                     if payload:
                         data.append(part)
                     if on_chunk:
                         values.append(on_chunk(i, at, bytes(part)))
-            take = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-            numbers = np.concatenate(sizes, axis=1) if sizes else np.empty((3, 0), np.int64)
-            out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(x) for x in numbers]
+            take = pa.array(rows, pa.int64())
+            out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(x, pa.int64()) for x in (idx, off, size)]
             names = [*keys, "idx", "off", "len"]
             for name, made, kind, use in (("payload", data, pa.binary(), payload), ("id", ids, pa.string(), True), ("value", values, pa.binary(), bool(on_chunk))):
                 if use:
