@@ -76,6 +76,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{os.path.join(sf_dir, table)}.parquet")
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table as it is read; one of fewer partitions than the cluster has cores is dealt out row by row, so that a small file, or one of a single row group, keeps all of them busy. At most a partition a core is moved."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def pair(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """Only the identifier and the value, under names of our own, so that further columns cannot clash."""
     bounded_batches(df.sparkSession)

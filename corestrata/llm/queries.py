@@ -6,23 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corestrata.llm import bpe, embeddings, exact, packing, pii, quality, secrets, simhash, tokens, warc
-from corestrata.llm.common import read
+from corestrata.llm.common import dealt, read
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.count_tokens(dealt(read(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_documents(read(spark, sf_dir, "documents"), pii.DEMO_KEY)
+    return pii.pseudonymise_documents(dealt(read(spark, sf_dir, "documents")), pii.DEMO_KEY)
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(read(spark, sf_dir, "documents"))
+    return simhash.near_groups(dealt(read(spark, sf_dir, "documents")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+    return secrets.digests(secrets.scan_secrets(dealt(read(spark, sf_dir, "documents"))))
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.score_documents(dealt(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(dealt(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
