@@ -19,7 +19,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from corestrata.llm import bpe, embeddings, exact, packing, pii, quality, secrets, simhash, tokens, warc
+from corestrata.llm import bpe, common, embeddings, exact, packing, pii, quality, secrets, simhash, tokens, warc
 from corestrata.llm.graph import components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# shared folder
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    nothing = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
+def test_small_tables_are_dealt_out(spark):
+    one = spark.range(100).coalesce(1)
+    assert common.dealt(one).rdd.getNumPartitions() == 4 and common.dealt(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+    assert sorted(r.id for r in common.dealt(one).collect()) == list(range(100))
+
+
 # 1 token counts
 
 
