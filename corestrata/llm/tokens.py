@@ -20,6 +20,10 @@ from corestrata.llm.exact import BROADCAST_BYTES, one_of_each, only, without
 
 #: Words that one Python worker remembers, in two halves; beyond, it forgets the older one.
 REMEMBERED = 700_000
+#: The same where only counts are wanted, next to shuffles that need the memory.
+COUNTED = 200_000
+#: Bytes of texts that are split at a time, about: their words take many times as much.
+SPLIT_BYTES = 4 << 20
 #: Longer words are encoded each time.
 LONGEST = 64
 _ENDS = frozenset(".!?;:")
@@ -38,9 +42,10 @@ class WordCache:
     and merged in matrices, if the tokenizer lowers letters and marks the ends of words; the library encodes the rest.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
@@ -68,7 +73,7 @@ class WordCache:
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words as little-endian unsigned 32-bit numbers. Words that were met since the half before last are remembered."""
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             self.known, self.older = {"": b""}, self.known
         out = list(map(self.known.get, words))
         missing = [w for w, ids in zip(words, out, strict=True) if ids is None]
@@ -98,17 +103,33 @@ class WordCache:
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text of a column; null counts as empty."""
-        word, edges, size, _, _ = self._coded(column)
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[word])))
-        return ends[edges[1:]] - ends[edges[:-1]]
+        out = [np.empty(0, np.int64)]
+        for part in self._parts(column):
+            word, edges, size, _, _ = self._coded(part)
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[word])))
+            out.append(ends[edges[1:]] - ends[edges[:-1]])
+        return np.concatenate(out)
+
+    @staticmethod
+    def _parts(column: pa.Array):
+        """Slices of about SPLIT_BYTES, of one text at least."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT_BYTES, "right")))
+            yield column.slice(at, end - at)
+            at = end
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """Each text's ids as unsigned 32-bit numbers."""
-        word, edges, size, start, flat = self._coded(column)
-        n = size[word]
-        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-        whole = flat[np.repeat(start[word] - ends[:-1], n) + np.arange(ends[-1])]
-        return [whole[a:b] for a, b in zip(ends[edges[:-1]].tolist(), ends[edges[1:]].tolist(), strict=True)]
+        out: list[np.ndarray] = []
+        for part in self._parts(column):
+            word, edges, size, start, flat = self._coded(part)
+            n = size[word]
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+            whole = flat[np.repeat(start[word] - ends[:-1], n) + np.arange(ends[-1])]
+            out += [whole[a:b] for a, b in zip(ends[edges[:-1]].tolist(), ends[edges[1:]].tolist(), strict=True)]
+        return out
 
     def sentence_ends(self) -> np.ndarray:
         """By id, whether a token ends with a mark that ends sentences or clauses."""
@@ -149,9 +170,9 @@ _COUNTS = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
 
 @functools.lru_cache(2)
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, remembered: int = REMEMBERED) -> WordCache:
     """One for all tasks of a Python worker."""
-    return WordCache(path)
+    return WordCache(path, remembered)
 
 
 @functools.lru_cache(2)
@@ -163,7 +184,7 @@ def _counter(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda column: [len(x) for x in model.encode(texts(column), num_threads=1)]
     try:
-        cache = word_cache(path)
+        cache = word_cache(path, COUNTED)
     except ValueError:
         from tokenizers import Tokenizer
 
@@ -196,7 +217,7 @@ def drops_blanks(path: str) -> bool:
     if path.endswith(".model"):
         return False
     try:
-        word_cache(path)
+        word_cache(path, COUNTED)
     except ValueError:
         return False
     return True

@@ -127,12 +127,16 @@ def test_token_counts_corpus(spark, sf, corpus):
     assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs_of(spark, sf), WORDS).collect()} == want
 
 
-def test_word_cache_is_the_library():
+def test_word_cache_is_the_library(monkeypatch):
     library, cache = Tokenizer.from_file(WORDS), tokens.WordCache(WORDS)
     rnd = random.Random(2)
     some = ["".join(rnd.choice(["a", "É", "é", " ", "\n", "\x1c", "\x85", " ", "\xa0", "'", "ll", "<|endoftext|>", "<|startoftext|>", "9", "!", "日", "ﬁ", "İ", "Σ", ".", ",", "the", "The", "ÉTÉ", "ing", "ß", "ÿ", "\u0301", "J\u030c", "½", "|>", "<|", "_", "$$$"]) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
     column = pa.array(some)
-    assert cache.counts(column).tolist() == [len(x) for x in cache.ids(column)]
+    whole = [x.tolist() for x in cache.ids(column)]
+    monkeypatch.setattr(tokens, "SPLIT_BYTES", 60)  # in many parts
+    cache.remembered = 40
+    assert [x.tolist() for x in cache.ids(column)] == whole and cache.counts(column).tolist() == list(map(len, whole))
+    assert cache.counts(pa.array(["a b", None, ""])).tolist() == [2, 0, 0] and len(cache.counts(pa.array([], pa.string()))) == 0
     for t, ids in zip(some, cache.ids(column), strict=True):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
     with pytest.raises(ValueError):
