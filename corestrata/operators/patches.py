@@ -1,13 +1,12 @@
 """Patches as relations: entries chosen in Arrow batches, everything else joins and aggregates."""
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corestrata.functions import classify, codecs, delta, fixed
 from corestrata.functions.cutting import cut
-from corestrata.functions.hashing import super_features, window_hashes
+from corestrata.functions.hashing import Windows, super_features
 from corestrata.functions.profiles import Malformed, Profile
 from corestrata.operators import candidates, chunking, reuse
 from corestrata.operators.arrow import each_row
@@ -237,31 +236,12 @@ def super_feature_keys(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_windows(base: DataFrame, target: DataFrame, keys: list[str], size: int, grid: int) -> DataFrame:
-    """Windows of size bytes of the base, on a grid, that occur anywhere in the target: (keys..., base_at, target_at), the first occurrence of each. Hashes meet in a join; bytes decide, content by content, so that a content is not copied for each window."""
+    """Windows of size bytes of the base, on a grid, that occur anywhere in the target: (keys..., base_at, target_at), the first occurrence of each. A pair's contents meet in one row, where hashes propose and bytes decide; of rows that repeat their keys the least place counts."""
     if size < 1 or grid < 1:
         raise ValueError("windows and grids have one byte at least")
-    schema = pa.schema([("h", pa.int64()), ("at", pa.int64())])
-
-    def windows(step):
-        def make(raw):
-            h = window_hashes(raw or b"", size)
-            at = np.arange(0, len(h), step)
-            return zip(h[at].view(np.int64).tolist(), at.tolist(), strict=True)
-
-        return make
-
-    def confirmed(b, t, pairs):
-        first: dict[int, int] = {}
-        for x, y in sorted((p["base_at"], p["at"]) for p in pairs):
-            if x not in first and b[x : x + size] == t[y : y + size]:
-                first[x] = y
-        return first.items()
-
-    b = each_row(base, keys, ["bytes"], "h long, at long", schema, windows(grid)).withColumnRenamed("at", "base_at")
-    t = each_row(target, keys, ["bytes"], "h long, at long", schema, windows(1)).join(b.select(*keys, "h").distinct(), [*keys, "h"], "left_semi")
-    met = b.join(t, [*keys, "h"]).groupBy(*keys).agg(F.collect_list(F.struct("base_at", "at")).alias("pairs"))
     found = pa.schema([("base_at", pa.int64()), ("target_at", pa.int64())])
-    return each_row(_both(base, target, keys).join(met, keys), keys, ["base_bytes", "target_bytes", "pairs"], "base_at long, target_at long", found, confirmed)
+    pairs = each_row(_both(base, target, keys), keys, ["base_bytes", "target_bytes"], "base_at long, target_at long", found, lambda b, t: Windows(b or b"", size, grid).first(t or b""))
+    return pairs.groupBy(*keys, "base_at").agg(F.min("target_at").alias("target_at"))
 
 
 def residuals(base: DataFrame, target: DataFrame, keys: list[str], level: int = 3) -> DataFrame:

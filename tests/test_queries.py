@@ -436,3 +436,27 @@ def test_unknown_policies_are_refused(spark):
     b, t = base.pair_contents(base.histories(spark, SMALLEST))
     with pytest.raises(ValueError, match="sweep-L99"):
         policies.sweep(b, t, base.PAIR, SMALL, ["raw", "sweep-L99-K1-C8"])
+
+
+def test_exact_windows_meet_in_one_row(spark):
+    """One row a pair goes to Python, not one a byte; of repeated keys the least place counts."""
+    rnd = random.Random(5)
+    b = rnd.randbytes(3000)
+    old = spark.createDataFrame([(1, bytearray(b)), (2, bytearray(b)), (3, bytearray(b"")), (4, bytearray(b[:99]))], "k int, bytes binary")
+    new = spark.createDataFrame([(1, bytearray(b[500:] + b)), (1, bytearray(b"x" + b)), (2, bytearray(b"z" * 900)), (3, bytearray(b)), (5, bytearray(b))], "k int, bytes binary")
+    df = patches.exact_windows(old, new, ["k"], 100, 64)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in df.collect()) == [(1, at, min((b[500:] + b).find(b[at : at + 100]), at + 1)) for at in range(0, 2901, 64)]
+
+
+def test_windows_of_long_contents_in_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(6)
+    b = rnd.randbytes(2 << 20)
+    t = b[1 << 20 :] + b"??" + b
+    tracemalloc.start()
+    got = hashing.Windows(b, 200, 4096).first(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == [(at, t.find(b[at : at + 200])) for at in range(0, len(b) - 199, 4096)] and peak < 16 << 20
