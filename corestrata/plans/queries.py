@@ -354,7 +354,7 @@ def coalesced_ranges(spark, sf_dir):
     SELECT l_orderkey, count(*) AS islands, CAST(sum(bytes) AS BIGINT) AS covered FROM g GROUP BY l_orderkey"""
 )
 def interval_coverage(spark, sf_dir):
-    lines = base.read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 1000).alias("start"), (F.col("l_partkey") % 1000 + F.col("l_quantity") * 4).cast("long").alias("stop"))
+    lines = base.read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 1000).alias("start"), F.rint(F.col("l_partkey") % 1000 + F.col("l_quantity") * 4).cast("long").alias("stop"))
     return metrics.coverage(lines, ["l_orderkey"])
 
 

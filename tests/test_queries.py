@@ -460,3 +460,22 @@ def test_windows_of_long_contents_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(got) == [(at, t.find(b[at : at + 200])) for at in range(0, len(b) - 199, 4096)] and peak < 16 << 20
+
+
+def test_interval_coverage_rounds_and_has_no_ties(spark, tmp_path):
+    """Ends between whole numbers round as SQL's do, halves to the even one; equal intervals count once, in whatever order they come."""
+    rnd = random.Random(7)
+    rows = [(i % 40, rnd.randrange(30) * 40, rnd.choice((0.125, 0.375, 0.6, 1.9, 10.0, 25.625))) for i in range(400)]
+    rows += [(100, at, q) for at, q in ((233, 47.0), (941, 23.0), (233, 47.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for k in {r[0] for r in rows}:
+        inside = [(s, e) for s, e in sorted((p % 1000, round(p % 1000 + q * 4)) for i, p, q in rows if i == k) if e > s]
+        merged = []
+        for s, e in inside:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        want[k] = (len(merged), sum(e - s for s, e in merged))
+    assert {r.l_orderkey: (r.islands, r.covered) for r in QUERIES["interval_coverage"](spark, str(tmp_path)).collect()} == want
