@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corestrata.functions import fixed
 from corestrata.functions.cutting import cut
-from corestrata.functions.hashing import digest
+from corestrata.functions.hashing import Digests
 from corestrata.functions.profiles import Profile
 
 def contents(table: DataFrame, keys: dict[str, Column | str], value: Column) -> DataFrame:
@@ -50,6 +50,7 @@ def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_S
     def run(source):
         for batch in source:
             rows, idx, off, size, data, ids, values = [], [], [], [], [], [], []
+            hashed = Digests(suite)
             for r, value in enumerate(batch.column(place)):
                 raw = memoryview(value.as_buffer() or b"")  # of the batch itself: nothing is copied
                 lengths = cut(raw, profile)
@@ -58,13 +59,13 @@ def cdc_chunks(content: DataFrame, profile: Profile, suite: str = fixed.SHA256_S
                 idx += range(len(lengths))
                 off += starts
                 size += lengths
-                for i, (at, n) in enumerate(zip(starts, lengths, strict=True)):
-                    part = raw[at : at + n]
-                    ids.append(digest(suite, part).hex())
-                    if payload:
-                        data.append(part)
-                    if on_chunk:
-                        values.append(on_chunk(i, at, bytes(part)))
+                parts = [raw[at : at + n] for at, n in zip(starts, lengths, strict=True)]
+                ids += hashed.add(parts)
+                if payload:
+                    data += parts
+                if on_chunk:
+                    values += [on_chunk(i, at, bytes(part)) for i, (at, part) in enumerate(zip(starts, parts, strict=True))]
+            ids += hashed.rest()
             take = pa.array(rows, pa.int64())
             out = [c.take(take) for j, c in enumerate(batch.columns) if j != place] + [pa.array(x, pa.int64()) for x in (idx, off, size)]
             names = [*keys, "idx", "off", "len"]

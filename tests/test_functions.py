@@ -471,3 +471,19 @@ def test_blocks():
     assert patches.blocks([1, 1, 1], 2, 100) == [0, 0, 1]
     assert patches.blocks([60, 60, 200, 10], 9, 100) == [0, 1, 2, 3]
     assert patches.blocks([], 2, 100) == []
+
+
+def test_blake3_of_many_contents_together(monkeypatch):
+    """Contents of all sizes are hashed in common steps, in groups of bounded size, and none differs from its digest alone."""
+    rnd = random.Random(8)
+    some = [rnd.randbytes(n) for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3072, 5000, 31744, 40000)] + [rnd.randbytes(rnd.randrange(6000)) for _ in range(300)]
+    alone = [hashing.blake3(x) for x in some]
+    assert alone[0].hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"  # published, of nothing
+    calls, compress = [], hashing._compress
+    monkeypatch.setattr(hashing, "_compress", lambda *a: calls.append(1) or compress(*a))
+    held = hashing.Digests(fixed.BLAKE3_SUITE)
+    got = [x for k in range(0, len(some), 7) for x in held.add(list(map(memoryview, some[k : k + 7])))] + held.rest()
+    assert got == [x.hex() for x in alone] and len(calls) < 40
+    monkeypatch.setattr(hashing, "BLAKE_GROUP", 4096)
+    assert hashing.blake3_all(some) == alone
+    assert hashing.Digests(fixed.SHA256_SUITE).add([b"ab"]) == [hashlib.sha256(b"ab").hexdigest()]
