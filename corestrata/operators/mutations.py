@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -29,13 +30,23 @@ class Edit:
 
 def draw(seed: int, what: str, limit: int) -> int:
     """A number below limit that depends on the seed and on what it is for, so that no draw shifts another."""
-    return int(hashlib.md5(f"{what}/{seed}".encode(), usedforsecurity=False).hexdigest()[:15], 16) % max(1, limit)
+    return _drawn(seed, what) % max(1, limit)
+
+
+@functools.lru_cache(1 << 10)
+def _drawn(seed: int, what: str) -> int:
+    return int(hashlib.md5(f"{what}/{seed}".encode(), usedforsecurity=False).hexdigest()[:15], 16)
 
 
 def filler(seed: int, what: str, size: int) -> bytes:
     return b"".join(hashlib.sha256(f"{what}/{seed}/{k}".encode()).digest() for k in range(-(-size // 32)))[:size]
 
 
+@functools.lru_cache(1 << 14)
+def _new_byte(seed: int, place: int) -> bytes:
+    return filler(seed, f"new/{place}", 1)
+
+
 def pieces(kind: str, n: int, size: int, seed: int) -> tuple[list[tuple[int, int] | bytes], str]:
     """The target of an edit of n bytes as stretches of the source and new bytes, in order, and the basis of counting. An edit that has no room gives the whole source."""
     whole: list[tuple[int, int] | bytes] = [(0, n)]
@@ -56,7 +67,7 @@ def pieces(kind: str, n: int, size: int, seed: int) -> tuple[list[tuple[int, int
         places = {low + draw(seed, f"byte/{k}", reach) for k in range(min(size, reach))}
         out, at = [], 0
         for p in sorted(places):
-            out += [(at, p), filler(seed, f"new/{p}", 1)]
+            out += [(at, p), _new_byte(seed, p)]
             at = p + 1
         return [*out, (at, n)], "differing"
     size = min(size, n // 2)
@@ -105,15 +116,21 @@ def boundary_edit(source: bytes, profile: Profile, anchor: str = "boundary", rel
     return Edit(bytes(target), at, at + 1, 1, "differing")
 
 
+def edited(source: bytes, job: tuple[str, str, int, int], profile: Profile | None) -> Edit | None:
+    """A job (name, kind, size, seed) done; a boundary edit's size is its relative place."""
+    _, kind, size, seed = job
+    return boundary_edit(source, profile, relative=size) if kind == "boundary-edit" else mutate(source, kind, size, seed)
+
+
 def _edits(place: int, names: list[str], jobs: list[tuple[str, str, int, int]], profile: Profile | None):
     def run(source):
         for batch in source:
             rows, out = [], []
             for r, raw in enumerate(batch.column(place).to_pylist()):
-                for name, kind, size, seed in jobs:
-                    e = boundary_edit(raw or b"", profile, relative=size) if kind == "boundary-edit" else mutate(raw or b"", kind, size, seed)
+                for job in jobs:
+                    e = edited(raw or b"", job, profile)
                     rows.append(r)
-                    out.append((name, None, None, None, None, None) if e is None else (name, e.target, e.start, e.end, e.changed, e.basis))
+                    out.append((job[0], None, None, None, None, None) if e is None else (job[0], e.target, e.start, e.end, e.changed, e.basis))
             take = pa.array(rows, pa.int64())
             kept = [c.take(take) for j, c in enumerate(batch.columns) if j != place]
             types = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corestrata.functions import classify, codecs, delta, fixed, hashing
-from corestrata.functions.cutting import Cutter, cut, cut_fixed, cut_plainly, recut_apart, spans
+from corestrata.functions.cutting import Cutter, cut, cut_all, cut_fixed, cut_plainly, recut_apart, spans
 from corestrata.functions.profiles import SMALL, STABLE, Malformed, Profile, Unsupported, canonical_integer, gear_table, lab_profile, mask, resolve, semantics_fingerprint
 from corestrata.operators import mutations
 from corestrata.sources import corpus, manifests, patches
@@ -487,3 +487,14 @@ def test_blake3_of_many_contents_together(monkeypatch):
     monkeypatch.setattr(hashing, "BLAKE_GROUP", 4096)
     assert hashing.blake3_all(some) == alone
     assert hashing.Digests(fixed.SHA256_SUITE).add([b"ab"]) == [hashlib.sha256(b"ab").hexdigest()]
+
+
+def test_contents_cut_together_are_cut_as_alone(monkeypatch):
+    rnd = random.Random(9)
+    some = [rnd.randbytes(rnd.randrange(4000)) for _ in range(40)] + [b"", bytes(3000), b"ab" * 900, *(b"x" * n for n in (1, 63, 64, 65, 1023, 1024, 1025))]
+    rnd.shuffle(some)
+    profiles = [SMALL, Profile(64, 256, 1024, True), Profile(240, 256, 1024), Profile(500, 512, 1100)]
+    want = [[cut_plainly(c, p) for c in some] for p in profiles]
+    assert cut_all(some, profiles) == want and cut_all([], profiles) == [[]] * 4 and cut_all([b""], profiles) == [[[]]] * 4
+    monkeypatch.setattr("corestrata.functions.cutting.SEGMENT", 1500)
+    assert cut_all(some, profiles) == want

@@ -17,7 +17,7 @@ from corestrata import cli
 from corestrata.functions import fixed, hashing
 from corestrata.functions.cutting import cut, cut_plainly
 from corestrata.functions.profiles import SMALL, STABLE, Profile, lab_profile
-from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, metrics, mutations, patches, policies, reuse, trees
+from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, lab, metrics, mutations, patches, policies, reuse, trees
 from corestrata.plans import base
 from corestrata.plans.queries import ORACLES, QUERIES
 from corestrata.sources import corpus, files, manifests
@@ -479,3 +479,22 @@ def test_interval_coverage_rounds_and_has_no_ties(spark, tmp_path):
                 merged.append([s, e])
         want[k] = (len(merged), sum(e - s for s, e in merged))
     assert {r.l_orderkey: (r.islands, r.covered) for r in QUERIES["interval_coverage"](spark, str(tmp_path)).collect()} == want
+
+
+def test_content_defined_lanes_need_no_shuffle(spark):
+    """One pass over contents gives what joins of both chunk tables give."""
+    content = base.documents(spark, SMALLEST).drop("family").where("content_id % 7 = 0")
+    jobs = [(k, k, 64, 7 + i) for i, k in enumerate(mutations.KINDS)] + [("near", "boundary-edit", 1, 0)]
+    df = lab.run(content, {"small": SMALL}, jobs, SMALL)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.content_id, r.mutation): r for r in df.collect()}
+    edited = mutations.mutated(content, jobs, SMALL).where("bytes is not null").cache()
+    pair = ["content_id", "mutation"]
+    a = chunking.cdc_chunks(edited.select(*pair).join(content, "content_id"), SMALL)
+    b = chunking.cdc_chunks(edited.select(*pair, "bytes"), SMALL)
+    survival = {(r.content_id, r.mutation): r.survival for r in metrics.boundary_survival(a, b, pair).collect()}
+    sync = {(r.content_id, r.mutation): (r.distance, r.status) for r in metrics.resynchronization(a, b, edited.select(*pair, "affected_end", "changed_bytes"), pair).collect()}
+    edited.unpersist()
+    assert got.keys() == sync.keys() and len({s for _, s in sync.values()}) == 3
+    for k, r in got.items():
+        assert (r.resync_distance, r.resync_status) == sync[k] and r.survival == survival.get(k, 1.0)
