@@ -498,3 +498,38 @@ def test_contents_cut_together_are_cut_as_alone(monkeypatch):
     assert cut_all(some, profiles) == want and cut_all([], profiles) == [[]] * 4 and cut_all([b""], profiles) == [[[]]] * 4
     monkeypatch.setattr("corestrata.functions.cutting.SEGMENT", 1500)
     assert cut_all(some, profiles) == want
+
+
+def test_longest_stretches_are_those_of_halving(monkeypatch):
+    """Length and place as halving the ordered suffixes, byte by byte, finds them; and far fewer comparisons than that takes."""
+    rnd = random.Random(10)
+
+    def halved(base, target, at):
+        order = sorted(range(len(base)), key=lambda i: base[i:])
+        low, high, best = 0, len(order), (0, 0)
+        while low < high:
+            mid = (low + high) // 2
+            place = order[mid]
+            n = 0
+            while n < min(len(base) - place, len(target) - at) and base[place + n] == target[at + n]:
+                n += 1
+            best = max(best, (n, -place))
+            if at + n == len(target) or (place + n < len(base) and base[place + n] > target[at + n]):
+                high = mid
+            else:
+                low = mid + 1
+        return best[0], -best[1]
+
+    for letters in (b"ab", b"\0\xff", bytes(range(256)), b"abcdefgh "):
+        for _ in range(6):
+            base = bytes(rnd.choices(letters, k=rnd.randrange(90)))
+            target = base[20:60] + bytes(rnd.choices(letters, k=rnd.randrange(60))) + base[-9:]
+            find = delta._Longest(base, target)
+            assert [find(at) for at in range(len(target))] == [halved(base, target, at) for at in range(len(target))]
+            assert delta.suffix_array(base).tolist() == sorted(range(len(base)), key=lambda i: base[i:])  # noqa: B023
+    words = [bytes(rnd.choices(b"abcdefghijklmnop", k=rnd.randrange(2, 12))) for _ in range(400)]
+    base, more = (b" ".join(rnd.choice(words) for _ in range(n)) for n in (800, 150))
+    calls, common = [], delta._common
+    monkeypatch.setattr(delta, "_common", lambda *a: calls.append(1) or common(*a))
+    made = delta.make(base, base + more)
+    assert delta.restore(base, made) == base + more and len(calls) < len(more)
