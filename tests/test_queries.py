@@ -10,6 +10,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from corestrata.functions import fixed, hashing
 from corestrata.functions.cutting import cut, cut_plainly
 from corestrata.functions.profiles import SMALL, STABLE, Profile, lab_profile
 from corestrata.operators import candidates, chunking, envelopes, families, identity, incremental, lab, metrics, mutations, patches, policies, reuse, trees
+from corestrata.operators.arrow import each_row
 from corestrata.plans import base
 from corestrata.plans.queries import ORACLES, QUERIES
 from corestrata.sources import corpus, files, manifests
@@ -498,3 +500,20 @@ def test_content_defined_lanes_need_no_shuffle(spark):
     assert got.keys() == sync.keys() and len({s for _, s in sync.values()}) == 3
     for k, r in got.items():
         assert (r.resync_distance, r.resync_status) == sync[k] and r.survival == survival.get(k, 1.0)
+
+
+def test_contents_go_to_python_in_small_batches(spark):
+    """A batch of pairs holds few megabytes, so that neither side's memory grows with the partition; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    rows = spark.range(40, numPartitions=1).select(F.col("id").alias("k"), F.expr("encode(repeat('x', 1000000), 'UTF-8')").alias("bytes"))
+    sized = lambda: each_row(rows, ["k"], ["bytes"], "n long", pa.schema([("n", pa.int64())]), lambda raw: [(len(raw),)])
+    try:
+        spark.conf.set(key, str(64 << 20))
+        assert sorted((r.k, r.n) for r in sized().collect()) == [(k, 1000000) for k in range(40)]
+        assert int(spark.conf.get(key).rstrip("b")) <= 8 << 20
+        spark.conf.set(key, str(1 << 20))
+        sized()
+        assert int(spark.conf.get(key).rstrip("b")) == 1 << 20
+    finally:
+        spark.conf.set(key, was)
