@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch for Python: whole texts travel, so batches stay small.
 BATCH_ROWS = 1000
+#: Hadoop's checked local files get their modes, and those of their .crc files, from a chmod each, and a process that a JVM starts is at first a second one with all of the JVM's memory: one who adds up processes finds twice an executor. Raw local files take none; instead of .crc files Parquet's own checksums of pages are held against. Other file systems ignore this.
+_RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+_VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +44,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as written to path, a folder of the shared one, and reread."""
+    df.write.options(**_RAW).parquet(path)
+    return df.sparkSession.read.schema(df.schema).options(**_VERIFIED).parquet(path)
+
+
 def spool(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and returns the table: the lineage ends here and a lost executor costs no more than a reread."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, tag)
+    out = written(df, path)
     out.spooled_at = path
     return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corestrata.llm.common import batches, bounded_batches, pair, spool, texts, unspool
 from corestrata.llm.exact import BROADCAST_BYTES, one_of_gone, only, row_key, text_digest
-from corestrata.llm.graph import components
+from corestrata.llm.graph import components, roots
 
 SEED = 42
 SHINGLE = 3
@@ -146,26 +146,11 @@ def bucket_links(values: np.ndarray, buckets: np.ndarray, radius: int = RADIUS)
     found = list(bucket_hits(values, buckets, radius))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    root = _roots(len(values), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+    root = roots(len(values), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
     linked = np.flatnonzero(root != np.arange(len(values)))
     return values[linked], values[root[linked]]
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least member of each one's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        while (new != (deeper := new[new])).any():
-            new = deeper
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _masks(radius: int) -> list[list[int]]:
     """By level, masks of bits that a bucket's members share. A node's free bits are cut into radius + 1 parts, of which one at least is equal in a pair within radius; each part makes a child."""
     levels: list[list[int]] = []

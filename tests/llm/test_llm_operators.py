@@ -80,6 +80,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_rounds(spark):
+    rnd = random.Random(2)
+    pairs = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(280)] + [(-(1 << 63), (1 << 63) - 1), (7, None), (5, 5)] + [(i, i + 1) for i in range(500, 560)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    one, rounds = ({(r.node, r.root) for r in components(links, n).collect()} for n in (1 << 20, 0))
+    assert one == rounds and (((1 << 63) - 1), -(1 << 63)) in one and all(r < n for n, r in one)
+
+
 # shared folder
 
 

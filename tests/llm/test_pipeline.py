@@ -1,6 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
 import collections
+import glob
 import os
 import subprocess
 import sys
@@ -12,6 +13,8 @@ from test_llm_operators import EDGE, check_pieces, edge_docs, slow_exact, slow_s
 from test_near_copies import slow_kept
 
 from corestrata.llm import quality, secrets
+from corestrata.llm.common import spool
+from corestrata.llm.graph import components
 
 
 def test_stages(spark, sf, tmp_path):
@@ -75,3 +78,40 @@ def test_a_missing_dependency_is_told():
     assert run("public_tokenizers").returncode != 0
     gone = run("corestrata.llm")
     assert gone.returncode == 0 and gone.stdout.strip().endswith("False")
+
+
+def processes(spark, tmp_path, work):
+    """work()'s result, and the commands that the JVM started meanwhile."""
+    recording = spark._jvm.jdk.jfr.Recording()
+    recording.enable("jdk.ProcessStart")
+    recording.start()
+    out = work()
+    recording.stop()
+    recording.dump(spark._jvm.java.io.File(str(tmp_path / "started.jfr")).toPath())
+    recording.close()
+    events = spark._jvm.jdk.jfr.consumer.RecordingFile.readAllEvents(spark._jvm.java.io.File(str(tmp_path / "started.jfr")).toPath())
+    return out, [e.getString("command") for e in events]
+
+
+def test_intermediate_files_start_few_processes(spark, tmp_path):
+    """A process that an executor starts is at first a second one with all of its memory, so the fewer the better."""
+    out, started = processes(spark, tmp_path, lambda: spool(spark.range(100, numPartitions=4), "quiet"))
+    assert started and not [c for c in started if ".crc" in c]  # files and folders still get their modes so
+    assert sorted(r.id for r in out.collect()) == list(range(100))
+
+    links = spark.range(0, 1000, 1, 50).select("id", (F.col("id") + 1).alias("next")).toDF("a", "b")
+    rooted, started = processes(spark, tmp_path, lambda: components(links))
+    assert len([c for c in started if ".parquet" in c]) == 1  # a file, not some for each round
+    assert rooted.count() == 1000 and not rooted.where("root <> 0").count()
+
+
+def test_damaged_intermediate_files_are_told(spark):
+    out = spool(spark.range(100_000, numPartitions=1), "damaged")
+    (file,) = glob.glob(f"{out.spooled_at.removeprefix('file:').replace('//', '/')}/*.parquet")
+    with open(file, "r+b") as f:
+        f.seek(os.path.getsize(file) // 2)
+        byte = f.read(1)
+        f.seek(-1, os.SEEK_CUR)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        out.agg(F.sum("id")).collect()
