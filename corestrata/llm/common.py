@@ -17,6 +17,8 @@ BATCH_ROWS = 1000
 #: Hadoop's checked local files get their modes, and those of their .crc files, from a chmod each, and a process that a JVM starts is at first a second one with all of the JVM's memory: one who adds up processes finds twice an executor. Raw local files take none; instead of .crc files Parquet's own checksums of pages are held against. Other file systems ignore this.
 _RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
 _VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
+#: Rows of a few numbers that are written as few files.
+FEW = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,11 @@ def spool(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def few_files(df: DataFrame, most: int) -> DataFrame:
+    """df, of a few numbers a row and of most rows at most: up to FEW are written by at most a task a core, whatever the number of shuffle partitions."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if most <= FEW else df
+
+
 def unspool(df: DataFrame) -> None:
     """Deletes a table of spool() once nothing will read it."""
     path = getattr(df, "spooled_at", None)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corestrata.llm.common import batches, bounded_batches, pair, spool, texts, unspool
+from corestrata.llm.common import batches, bounded_batches, few_files, pair, spool, texts, unspool
 from corestrata.llm.exact import BROADCAST_BYTES, one_of_gone, only, row_key, text_digest
 from corestrata.llm.graph import components, roots
 
@@ -431,9 +431,10 @@ def similar_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", te
     if some.agg(F.count(F.lit(1)) > F.count_distinct("key")).first()[0]:  # of equal sets one serves
         some = spool(some.groupBy("key").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
     posts = some.select(F.explode("bands").alias("h"), "key")
-    met = spool(posts.groupBy("h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
+    met = spool(few_files(posts.groupBy("h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"), BANDS * some.count()), "buckets")
     shared = spool(posts.join(F.broadcast(met) if met.count() * ROW_BYTES <= broadcast_bytes else met, "h").select("h", "key", "lead"), "shared")
-    named = spool(shared.select("key").distinct(), "named")
+    most = shared.count()
+    named = spool(few_files(shared.select("key").distinct(), most), "named")
     slim = spool(some.select("key", "row", "fp", "n").join(F.broadcast(named) if named.count() * ROW_BYTES <= broadcast_bytes else named, "key", "left_semi"), "slim")
     texts_ = only(docs, slim.select(F.col("row").alias("_gone")), row_key(F.col(f"`{id_col}`"), text_digest(text_col)), broadcast_bytes).groupBy("_key").agg(F.first(F.col("_own")[text_col]).alias("value"))
     sets = spool(texts_.select("value").mapInArrow(_sets(size), "key long, s array<long>"), "sets")
@@ -441,13 +442,13 @@ def similar_links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", te
     stars = shared.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     a, b = (slim.select(F.col("key").alias(x), F.col("fp").alias(f"f{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius) & (least[1] * F.least("na", "nb") >= least[0] * F.greatest("na", "nb"))
-    pairs = spool(stars.join(a, "a").join(b, "b").where(near).select("a", "b"), "pairs")
+    pairs = spool(few_files(stars.join(a, "a").join(b, "b").where(near).select("a", "b"), most), "pairs")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     found = spool(both.where(sum(least) * common >= least[0] * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
     of = components(found).withColumnRenamed("node", "key")
-    placed = spool(shared.select("h", "key").join(slim.join(of, "key", "left").select("key", "fp", "n", F.coalesce("root", "key").alias("root")), "key"), "placed")
+    placed = spool(few_files(shared.select("h", "key").join(slim.join(of, "key", "left").select("key", "fp", "n", F.coalesce("root", "key").alias("root")), "key"), most), "placed")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_HASHES)).cast("long")
     mixed = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts")).where("low < high").select("h", "parts")
     tiled = placed.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -477,9 +478,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     unspool(rooted)
     # The name of each component with more than one row
     named = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("name.row").alias("name"))
-    named = spool(named, "named")
+    most = rows.count()
+    named = spool(few_files(named, most), "named")
     members = rows.join(named, "root").groupBy("row").agg(F.max(F.col("row") == F.col("name")).alias("stays"), F.count(F.lit(1)).alias("n"))
-    gone = spool(members.where("not stays or n > 1").select(F.col("row").alias("_gone"), "stays"), "gone")
+    gone = spool(few_files(members.where("not stays or n > 1").select(F.col("row").alias("_gone"), "stays"), most), "gone")
     unspool(named)
     unspool(rows)
     return one_of_gone(docs, gone, id_col, text_col, broadcast_bytes)

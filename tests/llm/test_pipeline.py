@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import EDGE, check_pieces, edge_docs, slow_exact, slow_secrets
 from test_near_copies import slow_kept
 
-from corestrata.llm import quality, secrets
+from corestrata.llm import quality, secrets, simhash
 from corestrata.llm.common import spool
 from corestrata.llm.graph import components
 
@@ -115,3 +115,24 @@ def test_damaged_intermediate_files_are_told(spark):
         f.write(bytes([byte[0] ^ 1]))
     with pytest.raises(Exception, match="(?i)crc|checksum"):
         out.agg(F.sum("id")).collect()
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Few shuffle partitions or many: tables of a few rows take no more tasks than there are cores."""
+    made = []
+    monkeypatch.setattr(simhash, "spool", lambda df, tag: made.append((tag, spool(df, tag))) or made[-1][1])
+    monkeypatch.setattr(simhash, "unspool", lambda df: None)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        words = [f"w{i}" for i in range(400)]
+        rows = [(100 * k + c, " ".join(words[k : k + 60] + [str(c)])) for k in range(0, 300, 5) for c in range(3)]
+        kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+        assert sorted(r.doc_id for r in kept) == slow_kept(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [(tag, len(glob.glob(f"{df.spooled_at.removeprefix('file:').replace('//', '/')}/*.parquet"))) for tag, df in made]
+    small = [(tag, n) for tag, n in files if tag in ("buckets", "named", "pairs", "placed", "gone")]
+    assert len(small) == 6 and all(0 < n <= 4 for _, n in small), files
